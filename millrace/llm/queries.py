@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_tree, fertility, secret_scan, token_count
+from . import bpe_tree, fertility, line_dedup, secret_scan, token_count, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +50,40 @@ def op5(spark, sf_dir):
     return fertility.judge(measured)
 
 
+_KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op6_line_dedup", f"""with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+lines as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from split),
+keyed as (select *, {_KEY} as k from lines),
+common as (select k, max(doc_id) as last from keyed where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
+marked as (select keyed.*, common.k is not null and doc_id < last as lost from keyed left join common using (k))
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count(*) filter (lost) as bigint) as n_dropped,
+ sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256 from marked group by doc_id""")
+def op6(spark, sf_dir):
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
+_RULES = ", ".join(f"('{text.split('/')[0]}', '{text[text.index('/'):]}', '{verdict}')" for text, verdict in URL_RULES)
+_HOSTS = ", ".join(f"('{h}')" for h in url_filter.BLOCKED_HOSTS)
+
+
+@query("op7_url_filter", f"""with p as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+ coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages),
+r(h, s, v) as (values {_RULES}), b(h) as (values {_HOSTS}),
+hits as (select page_id, h || s as rule, v, row_number() over (partition by page_id order by length(h || s) desc, h || s) as n from p join r
+ on (host = h or ends_with(host, '.' || h)) and starts_with(path, s)),
+listed as (select distinct page_id from p join b on host = h or ends_with(host, '.' || h))
+select p.page_id, host, path, rule, coalesce(v, case when listed.page_id is not null then 'block' else 'allow' end) as verdict
+from p left join hits on p.page_id = hits.page_id and n = 1 left join listed on p.page_id = listed.page_id""")
+def op7(spark, sf_dir):
+    layers = [URL_RULES, [(h, "block") for h in url_filter.BLOCKED_HOSTS]]
+    judged = url_filter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"), layers, keep=["page_id"])
+    return judged.select("page_id", "host", "path", F.when(F.col("layer") == 0, F.col("fits")).alias("rule"), F.col("said").alias("verdict"))
+
+
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
     return secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"]))
