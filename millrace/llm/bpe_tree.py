@@ -27,7 +27,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts
+from .common import Memo, map_texts, ship
 
 #: Characters in a leaf; longer texts are halved.
 LEAF_CHARS = 16_384
@@ -242,6 +242,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 def _encode_long(rows: DataFrame, id_col: str, path: str, leaf_chars: int, schema: str, columns) -> DataFrame:
     """Cut, spread the leaves, encode each on its own, bring a text's leaves together, join."""
+    ship(rows.sparkSession)
     id_type = rows.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

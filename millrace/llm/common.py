@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,6 +17,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MEMO_ENTRIES = 500_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this library to the executors, once in a session, so that their Python can import it."""
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(sc, "_millrace_sent", False) or not os.path.isdir(package):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "millrace.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._millrace_sent = True
+
+
 class Memo(dict):
     """``memo[key]`` computes what is missing. Call :meth:`trim` now and then: it bounds the memory."""
 
@@ -39,6 +59,7 @@ def map_texts(
     the new columns. ``keep`` lists the input columns that stay (default: all); where a kept column has
     the name of a new one, the new one replaces it.
     """
+    ship(df.sparkSession)
     new = T._parse_datatype_string(schema)
     kept = [c for c in (df.columns if keep is None else keep) if c not in new.names]
     out_schema = T.StructType([*[df.schema[c] for c in kept], *new.fields])

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, fertility, line_dedup, secret_scan, token_count, url_filter
+from . import bpe_tree, fertility, language_id, line_dedup, secret_scan, token_count, toxicity, url_filter
+from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,12 +39,34 @@ def op1(spark, sf_dir):
     return bpe_tree.digest(bpe_tree.encode(table(spark, sf_dir, "documents", "doc_id", "text"), WORD_BPE))
 
 
+@query("op2_language_id")
+def op2(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("part", remainder("doc_id", 3))
+    model = language_id.learn(docs.filter("part <> 1"), PIECES)
+    held_out = F.coalesce(F.col("part") == 1, F.lit(False)).alias("held_out")
+    return language_id.predict(docs.select("doc_id", held_out, "text"), model, PIECES, keep=["doc_id", "held_out"])
+
+
 @query("op3_token_count")
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_count.count_tokens(docs, PIECES, keep=["doc_id"]).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str, keep: list[str]) -> DataFrame:
+    """``docs`` with score and predicted; learned from the labels outside the held-out fourth."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(remainder("doc_id", 4) != 2)
+    scored = toxicity.score(docs, toxicity.learn(docs.select("doc_id", "text"), labels), keep=keep)
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op4_toxicity")
+def op4(spark, sf_dir):
+    held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", held_out, "text")
+    return toxic_scores(spark, docs, sf_dir, ["doc_id", "held_out"])
+
+
 @query("op5_fertility")
 def op5(spark, sf_dir):
     measured = fertility.measure(table(spark, sf_dir, "documents", "doc_id", "text"), PIECES, BYTE_RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
