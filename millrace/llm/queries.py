@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, fertility, language_id, line_dedup, secret_scan, token_count, toxicity, url_filter
+from . import bpe_tree, decontaminate, fertility, language_id, line_dedup, order_minhash, secret_scan, token_count, toxicity, url_filter
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,20 @@ def op7(spark, sf_dir):
     return judged.select("page_id", "host", "path", F.when(F.col("layer") == 0, F.col("fits")).alias("rule"), F.col("said").alias("verdict"))
 
 
+@query("op8_decontaminate")
+def op8(spark, sf_dir):
+    """A row for each document and test item that it holds."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate.find_leaks(docs, items, keep=["doc_id"])
+    return found.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+
+@query("op9_order_minhash")
+def op9(spark, sf_dir):
+    """A row for each document with its class."""
+    return order_minhash.classify(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
     return secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), keep=["doc_id"]))
