@@ -18,7 +18,7 @@ give their ids, as by the library's default. Repeated rows of one id are each re
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -292,8 +292,8 @@ def _encode_long(rows: DataFrame, id_col: str, path: str, leaf_chars: int, schem
     return encoded.groupBy(id_col, "__key").applyInPandas(join, f"`{id_col}` {id_type}, {schema}")
 
 
-def digest(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest(encoded: DataFrame, id_col: str = "doc_id", more: Sequence[str] = ()) -> DataFrame:
     """n_tokens and the digests of ids and decoded text."""
     listed = F.array_join(F.col("ids").cast("array<string>"), " ")
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), sha(listed).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), sha(listed).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"), *more)

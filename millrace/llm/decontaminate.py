@@ -190,18 +190,19 @@ SCHEMA = "__hits array<struct<item_id:long,bm25:double,overlap:double,question_o
 def find_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None,
     keep: list[str] | None = None, threshold: float = THRESHOLD, items_at_once: int = ITEMS_AT_ONCE,
+    hits: str = "hits",
 ) -> DataFrame:
     """Add ``hits``, the test items that each text holds (an empty array for a clean text)."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "hits"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != hits]
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     listed = items.select(F.col(item_id).cast("long").alias("id"), F.coalesce(item_text, F.lit("")).alias("q"), answer.alias("a"))
     parts = max(1, -(-listed.count() // items_at_once))
-    out = docs.select(*kept, F.col(text_col).alias("__text_in")).withColumn("hits", F.expr(f"cast(array() as {SCHEMA.split(' ', 1)[1]})"))
+    out = docs.select(*kept, F.col(text_col).alias("__text_in")).withColumn(hits, F.expr(f"cast(array() as {SCHEMA.split(' ', 1)[1]})"))
     for k in range(parts):
         # about items_at_once rows; the index of a part is what is sent
         rows = listed.filter(F.pmod(F.xxhash64("id", "q"), F.lit(parts)) == k).orderBy("id", "q").collect() if parts > 1 else listed.orderBy("id", "q").collect()
         index = ItemIndex([(r.id, *(question_answer(r.q) if r.a is None else (r.q, r.a))) for r in rows], threshold)
         sent = docs.sparkSession.sparkContext.broadcast(index)
         searched = map_texts(out, lambda sent=sent: sent.value.columns, SCHEMA, "__text_in")
-        out = searched.withColumn("hits", F.concat("hits", "__hits")).drop("__hits")
-    return out.select(*[F.col("__text_in").alias(c) if c == text_col else F.col(c) for c in kept], "hits")
+        out = searched.withColumn(hits, F.concat(hits, "__hits")).drop("__hits")
+    return out.select(*[F.col("__text_in").alias(c) if c == text_col else F.col(c) for c in kept], hits)

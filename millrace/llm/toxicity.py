@@ -324,13 +324,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return model
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``score``: the higher, the likelier toxic."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """Add ``out``: the higher, the likelier toxic."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def make():
         own, hits_of = sent.value, Hits(sent.value.voters)
 
-        return lambda texts: {"score": [own.score(*hits_of.count(t)) for t in texts]}
+        return lambda texts: {out: [own.score(*hits_of.count(t)) for t in texts]}
 
-    return map_texts(docs, make, "score double", text_col, keep)
+    return map_texts(docs, make, f"{out} double", text_col, keep)
