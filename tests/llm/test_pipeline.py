@@ -1,0 +1,127 @@
+"""Toxicity, and the pipeline against a brute-force version of its stages."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from millrace.llm import queries, toxicity
+
+from .helpers import SCHEMA, clash, odd, prose
+from .test_dedup import LINE, classes_plainly, edited, lines_plainly
+
+SF = "/root/testdata/sf0.01"
+LABELS = "doc_id long, toxic int"
+
+
+def toxic_text(seed):
+    rng = random.Random(seed)
+    words = prose(80, seed).split()
+    for _ in range(5):
+        words.insert(rng.randrange(len(words)), rng.choice(["idiot", "moron", "grumblefex", "grumblesnor"]))
+    return " ".join(words)
+
+
+def labelled(n=200):
+    return [(i, toxic_text(i) if i % 5 == 0 else prose(80, i)) for i in range(n)], [(i, int(i % 5 == 0)) for i in range(n)]
+
+
+def test_induced_words_are_learned(spark):
+    docs, labels = labelled()
+    model = toxicity.learn(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS))
+    assert any("grumble".startswith(v.entry[1:8]) for v in model.voters)
+    fresh = [(1, " ".join(["grumblefex grumblesnor", prose(60, 9001)])), (2, prose(60, 9002)), (3, "you idiot " + prose(60, 9003))]
+    scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(fresh, SCHEMA), model).collect()}
+    assert scores[1] > 0.3 and scores[3] > 0.3 and scores[2] < 0.3
+    first = [v.entry for v in model.voters].index("=idiot")
+    assert model.accuracies[first, 0] > 10 * model.accuracies[first, 1]
+    assert model.correlations.shape == (len(model.voters),) * 2 and (model.discounts <= 1).all()
+
+
+def test_label_model_finds_accuracies_without_labels(spark):
+    rng, votes = random.Random(2), Counter()
+    for _ in range(4000):
+        y = rng.random() < 0.2
+        fired = tuple(j for j, (a, b) in enumerate([(0.8, 0.05), (0.7, 0.02), (0.6, 0.1)]) if rng.random() < (a if y else b))
+        votes[fired] += 1
+    table = spark.createDataFrame([(list(f), None, n) for f, n in votes.items()], "fired array<int>, label int, n long")
+    a, prior, *_ = toxicity.label_model(table, 3, rounds=25)
+    assert abs(prior - 0.2) < 0.06 and (abs(a[:, 0] - [0.8, 0.7, 0.6]) < 0.12).all() and (a[:, 1] < 0.15).all()
+
+
+def test_repeating_voters_count_for_less(spark):
+    rng, votes = random.Random(3), Counter()
+    for _ in range(3000):
+        y = rng.random() < 0.3
+        one, two = rng.random() < (0.7 if y else 0.05), rng.random() < (0.7 if y else 0.05)
+        votes[tuple(j for j, fires in enumerate([one, one, one, two]) if fires), int(y)] += 1
+    table = spark.createDataFrame([(list(f), y, n) for (f, y), n in votes.items()], "fired array<int>, label int, n long")
+    *_, discounts, correlations = toxicity.label_model(table, 4)
+    assert discounts[0] < 0.4 < 0.9 < discounts[3] and correlations[0, 1] > 0.9 > 0.2 > abs(correlations[0, 3])
+
+
+def test_odd_documents_and_no_labels(spark):
+    nothing = spark.createDataFrame([], LABELS)
+    model = toxicity.learn(odd(spark), nothing)
+    rows = toxicity.score(clash(odd(spark), "score"), model).collect()
+    assert all(r.score < 0.3 for r in rows) and len({r.score for r in rows if r.doc_id in (1, 2, 3, 4)}) == 1
+    assert toxicity.score(spark.createDataFrame([(1, "what an IDIOT")], SCHEMA), model).first().score > 0.3
+    assert toxicity.score(spark.createDataFrame([], SCHEMA), model).collect() == []
+    odd_labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (99, 1), (5, 0)], LABELS)
+    toxicity.learn(odd(spark), odd_labels)
+    toxicity.learn(spark.createDataFrame([], SCHEMA), odd_labels)
+
+
+def test_held_out_quality(spark):
+    rows = queries.QUERIES["op4_toxicity"](spark, SF).collect()
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert all((r.predicted == 1) == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    assert {r.doc_id for r in rows if r.held_out} == {r.doc_id for r in rows if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
+    right = sum(p == t for p, t in held) / len(held)
+    assert right > 0.95, right
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    docs, labels = labelled()
+    rng = random.Random(9)
+    docs = [(i, t + f"\n{LINE}" if i % 7 == 1 else t) for i, t in docs]
+    docs += [(1000 + k, edited(docs[11 + k][1], rng)) for k in range(3)] + [(1010, docs[17][1])]
+    items = [(k, prose(30, 5000 + k) + ".\nAnswer " + prose(5, 5100 + k)) for k in range(3)]
+    docs += [(2000 + k, f"{prose(100, 5200 + k)} {t} {prose(50, 5300 + k)}") for k, (_, t) in enumerate(items)] + [(3000, None), (3001, "")]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    table = [(i, t, "en", "src", len(t or "")) for i, t in docs]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, LABELS).write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return folder, docs, items
+
+
+def test_pipeline_equals_brute_force(spark, corpus):
+    folder, docs, items = corpus
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    rows = [(i, t) for i, t in docs if "idiot" not in (t or "") and "moron" not in (t or "") and "grumble" not in (t or "")]
+    rows = [(i, t) for i, _, _, t in lines_plainly(rows)]
+    first = {min(g) for g in classes_plainly(rows)}
+    rows = [(i, t) for i, t in rows if i in first and not any(item in t for _, item in items)]
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    want = {}
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), ids)
+    assert {i: (r.n_tokens, r.ids_sha256, r.ids) for i, r in out.items()} == want
+    assert len(out) < len(docs) - 40
+
+
+def test_stages_keep_the_columns_of_documents(spark, corpus):
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, corpus[0])
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    changed = corpus_pipeline.lines(spark, spark.read.parquet(f"{corpus[0]}/documents.parquet"), corpus[0])
+    assert all(r.n_chars == len(r.text or "") for r in changed.collect())
