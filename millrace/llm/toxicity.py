@@ -175,7 +175,7 @@ def induce_voters(sample: DataFrame, most: int = MOST_VOTERS, candidates: int =
         rates = max(t.n_hits, 0.5) / words_tox, max(c["n_hits"], 0.5) / words_clean
         for column, least_hits, least_rate in (("n_held", 1, 0.0), ("n_often", 2, 0.004)):
             p, q = (t[column] + 0.5) / (n_tox + 1), (c[column] + 0.5) / (n_clean + 1)
-            found.append((p * math.log(p / q) if p > 4 * q else 0.0, e, int(t[column]), Voter(e, least_hits, least_rate, *rates)))
+            found.append((p * math.log(p / q) if p > 6 * q else 0.0, e, int(t[column]), Voter(e, least_hits, least_rate, *rates)))
     found.sort(key=lambda f: (-f[0], -len(f[1]), f[1]))
     voters: dict[str, Voter] = {}
     supports: dict[str, int] = {}
@@ -234,12 +234,15 @@ def label_model(signatures: DataFrame, m: int, rounds: int = ROUNDS) -> tuple[np
     a = np.tile([0.2, 0.002], (m, 1))
     prior, discount, correlation = 0.1, np.ones(m), np.eye(m)
     label = (math.log(0.95 / 0.01), math.log(0.05 / 0.99))
+    n, p = F.col("n"), F.col("p")
+    mass, miss = F.sum(n * p), F.sum(n * (1 - p))
+    given = {r.label for r in signatures.filter("label is not null").select("label").distinct().collect()}
     for k in range(rounds):
-        weights, rest = _log_odds(a, discount)
-        rest += math.log(prior / (1 - prior))
-        p = _posterior(F.col("fired"), F.col("label"), weights, rest, label)
-        judged = signatures.withColumn("p", p)
-        mass, miss = F.sum(F.col("n") * F.col("p")), F.sum(F.col("n") * (1 - F.col("p")))
+        if k == 0 and given >= {0, 1}:  # begin with what the labels say
+            judged = signatures.filter("label is not null").withColumn("p", F.when(F.col("label") == 1, 0.95).otherwise(0.01))
+        else:
+            weights, rest = _log_odds(a, discount)
+            judged = signatures.withColumn("p", _posterior(F.col("fired"), F.col("label"), weights, rest + math.log(prior / (1 - prior)), label))
         sums = {r.label: (r.t, r.c) for r in judged.groupBy("label").agg(mass.alias("t"), miss.alias("c")).collect()}
         t, c = (sum(v[i] for v in sums.values()) for i in (0, 1))
         if t + c == 0:
@@ -250,12 +253,12 @@ def label_model(signatures: DataFrame, m: int, rounds: int = ROUNDS) -> tuple[np
         a = np.clip((fires + [0.2, 0.02]) / (np.array([t, c]) + [2.0, 20.0]), 1e-6, 0.98)
         a[:, 0] = np.maximum(a[:, 0], a[:, 1])  # a voter never speaks for the clean class
         prior = min(0.5, max(1e-4, (t + 1) / (t + c + 10)))
-        if 1 in sums and 0 in sums:
+        if k and given >= {0, 1}:
             lt = (sums[1][0] + 1) / (sums[1][0] + sums[0][0] + 2)
             lc = (sums[1][1] + 1) / (sums[1][1] + sums[0][1] + 50)
             lt, lc = min(0.999, max(0.5, lt)), min(0.2, max(1e-3, lc))
             label = (math.log(lt / lc), math.log((1 - lt) / (1 - lc)))
-        if k == rounds - 2:  # the last round counts repeating voters for less
+        if k in (0, rounds - 2):  # voters that repeat each other count for less
             two = judged.select(F.explode("fired").alias("i"), "fired", "n", "p").select("i", F.explode("fired").alias("j"), "n", "p")
             both = np.zeros((m, m))
             for r in two.groupBy("i", "j").agg(mass.alias("t")).collect():

@@ -34,7 +34,7 @@ def test_induced_words_are_learned(spark):
     docs, labels = labelled()
     model = toxicity.learn(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS))
     assert any("grumble".startswith(v.entry[1:8]) for v in model.voters)
-    fresh = [(1, " ".join(["grumblefex grumblesnor", prose(60, 9001)])), (2, prose(60, 9002)), (3, "you idiot " + prose(60, 9003))]
+    fresh = [(1, " ".join(["grumblefex grumblesnor", prose(60, 9001)])), (2, prose(60, 9002)), (3, "you idiot, such a moron, idiot " + prose(60, 9003))]
     scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(fresh, SCHEMA), model).collect()}
     assert scores[1] > 0.3 and scores[3] > 0.3 and scores[2] < 0.3
     first = [v.entry for v in model.voters].index("=idiot")
