@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plans as P
+from . import sinks, sources
 from .functions import decode_half, decode_month
 from .operators import (
-    equi_join, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns, reduce_rows, select_rows, tagged_union,
+    equi_join, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns, reduce_rows, select_rows, summary, tagged_union,
 )
 from .scratch import new_folder
 from .streaming import completed_rows, stream_filter, stream_top_k
@@ -337,6 +338,49 @@ def gate(spark, sf_dir):
     return completed_rows(_messages(table(spark, sf_dir, "events")))
 
 
+def _as_csv(spark: SparkSession, sf_dir: str, amount=None) -> str:
+    """The events as files of the transactions dataset; the folder."""
+    value = F.col("value")
+    path = new_folder(spark, "transactions")
+    table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("transaction_id"), (F.col("user_id") % 10).alias("store_id"), F.lit(1).alias("payment_method_id"), F.lit(None).cast("string").alias("voucher_id"),
+        F.col("user_id").cast("double").alias("user_id"), value.alias("original_amount"), F.lit(0.0).alias("discount_applied"),
+        (value if amount is None else amount).alias("final_amount"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+    ).write.option("header", True).csv(path)
+    return path
+
+
+_SCANNED = """select cast(event_id as varchar) as transaction_id, cast(year(ts) as integer) as year, cast(user_id % 10 as integer) as store_id, user_id,
+ cast(month(ts) as integer) as month, cast(hour(ts) as integer) as hour, value as final_amount from events"""
+
+
+@query("csv_transactions_scan", _SCANNED)
+def csv_scan(spark, sf_dir):
+    """Header check, typed scan, calendar parts and "13060.0" as a number."""
+    return sources.transactions(sources.read_dataset(spark, _as_csv(spark, sf_dir), "transactions"))
+
+
+@query("csv_malformed_dropped", _SCANNED + " where event_id % 10 <> 3")
+def csv_dropped(spark, sf_dir):
+    amount = F.when(F.col("event_id") % 10 == 3, "n/a").otherwise(F.col("value").cast("string"))
+    return sources.transactions(sources.read_dataset(spark, _as_csv(spark, sf_dir, amount), "transactions", "DROPMALFORMED"))
+
+
+@query("result_files_round_trip", Q1_SQL.replace("event_id as", "cast(event_id as varchar) as"))
+def result_files(spark, sf_dir):
+    """The first report through its headerless session files."""
+    path = sinks.write_result(q1(spark, sf_dir), new_folder(spark, "results"), "session", "query_1")
+    return sources.read_result(spark, path, "query_1")
+
+
+@query("comparison_summary", "select * from (values ('q1', 'matched'), ('q4', 'different'), ('q5', 'missing')) t(name, status)")
+def comparison(spark, sf_dir):
+    """Result sets held against each other: the first report and its stream twin, buyers with and without the last rank."""
+    s = event_sources(spark, sf_dir)
+    expected = {"q1": q1(spark, sf_dir), "q4": P.top_buyers(s, 3), "q5": q1(spark, sf_dir)}
+    return summary(spark, expected, {"q1": stream_q1(spark, sf_dir), "q4": P.top_buyers(s, 2)})
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return as_transactions(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir))
