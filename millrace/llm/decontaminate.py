@@ -22,7 +22,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import groupby, repeat
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,7 +36,8 @@ ANSWER = re.compile(r"(?s)^(.*[\n.!?])\s*(\S.*)$")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
+FIRST = itemgetter(0)
 ITEMS_AT_ONCE = 2_000
 GROUP_CHARS = 4_000_000
 
@@ -77,54 +79,51 @@ class ItemIndex:
                 if k == len(by_term):
                     by_term.append([])
                 by_term[k].append((i, x / own))
-        self.postings = [(np.array([i for i, _ in p], np.int32), np.array([x for _, x in p])) for p in by_term]
+        self.postings = by_term
         self.n_blocks = max(1, -(-n // BLOCK_ITEMS))
         self.block_max = np.zeros((len(by_term), self.n_blocks), np.float32)
         for k, p in enumerate(by_term):
             for i, x in p:
                 self.block_max[k, i // BLOCK_ITEMS] = max(self.block_max[k, i // BLOCK_ITEMS], x * (1 + 1e-6))
+        self.blocks: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in range(self.n_blocks)]
+        for k, p in enumerate(by_term):
+            for block, group in groupby(p, lambda e: e[0] // BLOCK_ITEMS):
+                own = list(group)
+                self.blocks[block][k] = ([i for i, _ in own], [x for _, x in own], max(x for _, x in own))
         self.item_shingles = [shingles(w, min(SHINGLE, len(w))) for w in self.words]
 
     # Search.
 
-    def wand(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
-        """Items of ``blocks`` whose score for these distinct terms is at least the threshold."""
-        wanted, found, least = sorted(blocks), [], self.threshold - 1e-9
-        for block in wanted:
-            lo, hi = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-            cursors = []  # [item, place, term, maximum in this block]
-            for t in terms:
-                items = self.postings[t][0]
-                at = int(np.searchsorted(items, lo))
-                if at < len(items) and items[at] < hi:
-                    cursors.append([int(items[at]), at, t, float(self.block_max[t, block])])
-            while cursors:
-                cursors.sort(key=lambda c: c[0])
-                bound, pivot = 0.0, None
-                for c in cursors:
-                    bound += c[3]
-                    if bound >= least:
-                        pivot = c[0]
-                        break
-                if pivot is None:
+    def wand(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """Items of a block whose score for these distinct terms is at least the threshold."""
+        postings, found, least = self.blocks[block], [], self.threshold - 1e-9
+        # cursors: item, place in the posting, posting (items, impacts, largest impact)
+        cursors = [[p[0][0], 0, p] for p in map(postings.get, terms) if p is not None]
+        while cursors:
+            cursors.sort(key=FIRST)
+            bound, pivot = 0.0, None
+            for item, _, p in cursors:
+                bound += p[2]
+                if bound >= least:
+                    pivot = item
                     break
-                if cursors[0][0] == pivot:
-                    score = sum(float(self.postings[t][1][at]) for item, at, t, _ in cursors if item == pivot)
-                    if score >= least:
-                        found.append((pivot, score))
-                    target = pivot + 1
-                else:
-                    target = pivot
-                moved = []
-                for c in cursors:
-                    if c[0] < target:
-                        items = self.postings[c[2]][0]
-                        c[1] += int(np.searchsorted(items[c[1] :], target))
-                        if c[1] >= len(items) or items[c[1]] >= hi:
-                            continue
-                        c[0] = int(items[c[1]])
+            if pivot is None:
+                break
+            target = pivot
+            if cursors[0][0] == pivot:
+                score = sum(p[1][at] for item, at, p in cursors if item == pivot)
+                if score >= least:
+                    found.append((pivot, score))
+                target += 1
+            moved = []
+            for c in cursors:
+                items = c[2][0]
+                while c[1] < len(items) and items[c[1]] < target:
+                    c[1] += 1
+                if c[1] < len(items):
+                    c[0] = items[c[1]]
                     moved.append(c)
-                cursors = moved
+            cursors = moved
         return found
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float, float]:
@@ -157,8 +156,8 @@ class ItemIndex:
         bounds = np.add.reduceat(self.block_max[term], first, axis=0)
         last = np.r_[first[1:], len(term)]
         for k in np.flatnonzero((bounds >= self.threshold - 1e-6).any(axis=1)).tolist():
-            blocks = set(np.flatnonzero(bounds[k] >= self.threshold - 1e-6).tolist())
-            hits = self.wand(term[first[k] : last[k]].tolist(), blocks)
+            terms = term[first[k] : last[k]].tolist()
+            hits = [h for block in np.flatnonzero(bounds[k] >= self.threshold - 1e-6).tolist() for h in self.wand(terms, block)]
             if not hits:
                 continue
             p = int(passage[first[k]])
