@@ -5,6 +5,9 @@ aborts the session: its rows are dropped and none is released.
 Messages have the columns ``session_id string, expected long, n_messages long`` and one payload
 column. A data message has ``expected`` null and ``n_messages`` its weight (a batch that was filtered
 away still counts: its payload is null). An end marker has ``expected`` set and weight 0.
+
+The streaming form keeps state, so the session needs the RocksDB state store provider
+(``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
