@@ -19,9 +19,12 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator, Sequence
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import unicodedata
 from pyspark.sql import DataFrame
@@ -33,8 +36,8 @@ from .common import Memo, map_texts, ship
 LEAF_CHARS = 16_384
 #: Characters on either side of a join in the first window.
 FIRST_WINDOW = 32
-#: Longest chunk of text without white space that the memo may hold.
-MEMO_CHARS = 48
+#: Characters at either end of a leaf for which the places of the tokens are kept.
+END_CHARS = 512
 
 # White space of the tokenizer's \s, and its pattern of words.
 BLANKS = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
@@ -49,6 +52,17 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class Half(NamedTuple):
+    """A stretch of normalised text from byte ``base`` on, its ids, and the bytes where its first and its
+    last tokens start (of as many tokens as are listed)."""
+
+    text: str
+    base: int
+    ids: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+
+
 class TreeEncoder:
     def __init__(self, path: str, first_window: int = FIRST_WINDOW):
         from tokenizers import Tokenizer
@@ -83,23 +97,19 @@ class TreeEncoder:
     def plain_ids(self, normal: str) -> list[int]:
         """Ids of a normalised text, whole."""
         chunks = [c for c in BLANKS.split(normal) if c] if SEPARATORS.search(normal) else normal.split()
-        out: list[int] = []
-        memo, extend = self.memo, out.extend
-        for c in chunks:
-            extend(memo[c] if len(c) <= MEMO_CHARS else self.chunk_ids(c))
-        return out
+        return list(chain.from_iterable(map(self.memo.__getitem__, chunks)))
 
     def spanned(self, normal: str, base: int = 0) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, str]]]:
         """Ids, the byte where each starts (from ``base``), and the words as (first token, end, kind)."""
         ids: list[int] = []
         starts: list[int] = []
-        words = []
+        words: list[tuple[int, int, str]] = []
         at, place = 0, base
         for m in WORDS.finditer(normal):
             place += len(normal[at : m.start()].encode())
             at = m.end()
             first, word = len(ids), m.group()
-            for i in self.memo[word] if len(word) <= MEMO_CHARS else self.word_ids(word):
+            for i in self.memo[word]:
                 ids.append(i)
                 starts.append(place)
                 place += self.sizes[i]
@@ -108,24 +118,48 @@ class TreeEncoder:
 
     # Tree.
 
-    def join(self, text: str, cut: int, left: tuple, right: tuple, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of ``text`` (which begins at byte ``base``) from those of text[:cut] and text[cut:]."""
-        (l_ids, l_starts), (r_ids, r_starts) = left[:2], right[:2]
+    def leaf(self, text: str, base: int = 0) -> Half:
+        """Encode a leaf. Starts are kept for its two ends only, up to a blank behind END_CHARS: what stands
+        between blanks is encoded on its own anyway."""
+        lo = BLANKS.search(text, END_CHARS)
+        hi = max((text.rfind(c, 0, max(0, len(text) - END_CHARS)) for c in " \n\t"), default=-1)
+        if lo is None or hi <= lo.start():
+            ids, starts, _ = self.spanned(text, base)
+            return Half(text, base, ids, starts, starts)
+        cut = lo.start()
+        head, tail = self.spanned(text[:cut], base), self.spanned(text[hi:], base + len(text[:hi].encode()))
+        middle = np.array(self.plain_ids(text[cut:hi]), np.int64)
+        return Half(text, base, np.concatenate([head[0], middle, tail[0]]), head[1], tail[1])
+
+    def join(self, left: Half, right: Half) -> Half:
+        """The half that two neighbours make."""
+        text, cut = left.text + right.text, len(left.text)
         reach = self.first_window
         while reach < max(cut, len(text) - cut):
+            if reach > END_CHARS // 2:  # beyond the starts that were kept
+                left, right = self.known(left), self.known(right)
             a, b = max(0, cut - reach), min(len(text), cut + reach)
-            ids, starts, words = self.spanned(text[a:b], base + len(text[:a].encode()))
-            head = self._agrees(ids, starts, words, l_ids, l_starts, True) if a else (0, 0)
-            tail = self._agrees(ids, starts, words, r_ids, r_starts, False) if b < len(text) else (len(ids), len(r_ids))
+            ids, starts, words = self.spanned(text[a:b], left.base + len(text[:a].encode()))
+            head = self._agrees(ids, starts, words, left, True) if a else (0, 0)
+            tail = self._agrees(ids, starts, words, right, False) if b < len(text) else (len(ids), len(right.ids))
             if head and tail and head[0] <= tail[0]:
-                join = lambda l, w, r: np.concatenate([l[: head[1]], w[head[0] : tail[0]], r[tail[1] :]])  # noqa: E731, E741
-                return join(l_ids, ids, r_ids), join(l_starts, starts, r_starts)
+                both = np.concatenate([left.ids[: head[1]], ids[head[0] : tail[0]], right.ids[tail[1] :]])
+                after = len(right.ids) - tail[1]
+                return Half(text, left.base, both, left.head[: head[1]], right.tail[max(0, len(right.tail) - after) :])
             reach *= 2
-        return self.spanned(text, base)[:2]
+        return self.known(Half(text, left.base, None, None, None))
+
+    def known(self, half: Half) -> Half:
+        """The half with the starts of all its tokens, encoded as a whole."""
+        if half.ids is not None and len(half.head) == len(half.ids):
+            return half
+        ids, starts, _ = self.spanned(half.text, half.base)
+        return Half(half.text, half.base, ids, starts, starts)
 
     @staticmethod
-    def _agrees(ids, starts, words, side_ids, side_starts, at_head: bool) -> tuple[int, int] | None:
-        """Where window and side hold the same token: (index in window, index in side).
+    def _agrees(ids: np.ndarray, starts: np.ndarray, words: list, side: Half, at_head: bool) -> tuple[int, int] | None:
+        """Where window and half hold the same token: (index in window, index in half). The window's head
+        is compared with the left half's tail, its tail with the right half's head.
 
         Cut words at the window's edge count only if they are runs of letters: the words next to a cut
         run of letters are what they are in the whole text, while a cut run of marks can hide a
@@ -141,25 +175,20 @@ class TreeEncoder:
             while n and (words[n - 1][2] != "letters" or n > 1 and words[n - 2][2] != "letters"):
                 n -= 1
             hi = words[n - 1][1] if n else 0
+        own, shift = (side.tail, len(side.ids) - len(side.tail)) if at_head else (side.head, 0)
         order = range(lo + 1, hi) if at_head else range(hi - 2, lo - 1, -1)  # never the token at the cut itself
         for i in order:
-            j = int(np.searchsorted(side_starts, starts[i]))
-            if j < len(side_ids) and side_starts[j] == starts[i] and side_ids[j] == ids[i]:
-                return (i, j)
+            j = int(np.searchsorted(own, starts[i]))
+            if j < len(own) and own[j] == starts[i] and side.ids[shift + j] == ids[i]:
+                return (i, shift + j)
         return None
 
-    def fold(self, parts: list[str], leaves: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Join neighbouring leaves, then neighbouring pairs, up to the root. Starts are bytes in the text."""
-        while len(parts) > 1:
-            next_parts, next_leaves, base = [], [], 0
-            for k in range(0, len(parts), 2):
-                text = "".join(parts[k : k + 2])
-                both = self.join(text, len(parts[k]), leaves[k], leaves[k + 1], base) if k + 1 < len(parts) else leaves[k]
-                next_parts.append(text)
-                next_leaves.append(both)
-                base += len(text.encode())
-            parts, leaves = next_parts, next_leaves
-        return leaves[0][0]
+    def fold(self, halves: list[Half]) -> np.ndarray:
+        """Join neighbouring leaves, then neighbouring pairs, up to the root; its ids."""
+        while len(halves) > 1:
+            pairs = [halves[k : k + 2] for k in range(0, len(halves), 2)]
+            halves = [self.join(*p) if len(p) == 2 else p[0] for p in pairs]
+        return halves[0].ids
 
     def segments(self, text: str) -> list[str | int]:
         """The text as normalised parts and the ids of special tokens between them."""
@@ -181,15 +210,11 @@ class TreeEncoder:
             elif len(part) <= leaf_chars:
                 out += self.plain_ids(part)
             else:
-                cut = halves(part, leaf_chars)
-                out += self.fold(cut, self.encode_leaves(cut)).tolist()
-        return out
-
-    def encode_leaves(self, parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        base, out = 0, []
-        for p in parts:
-            out.append(self.spanned(p, base)[:2])
-            base += len(p.encode())
+                base, leaves = 0, []
+                for text_part in halves(part, leaf_chars):
+                    leaves.append(self.leaf(text_part, base))
+                    base += len(text_part.encode())
+                out += self.fold(leaves).tolist()
         return out
 
     def decode(self, ids) -> str:
@@ -210,6 +235,8 @@ def encoder(path: str) -> TreeEncoder:
     return TreeEncoder(path)
 
 
+#: How a leaf's arrays travel.
+PACKED = {"ids": np.uint32, "head": np.int64, "tail": np.int64}
 _LEAF = "seg int, special int, leaf int, leaf_text string, base long"
 
 
@@ -218,7 +245,9 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = "ids array<int>" + ", decoded string" * decoded
 
     def columns(enc: TreeEncoder, ids: list) -> dict:
-        out = {"ids": [np.asarray(i, np.int32) for i in ids]}
+        sizes = [len(i) for i in ids]
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(sizes))
+        out = {"ids": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), flat)}
         return out | ({"decoded": [enc.decode(i) for i in ids]} if decoded else {})
 
     def short() -> object:
@@ -237,10 +266,10 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(f"`{id_col}`").alias(id_col), text.alias("__t"))
     is_long = F.length("__t") > leaf_chars
     here = map_texts(rows.filter(~is_long), short, schema, "__t", [id_col])
-    return here.unionByName(_encode_long(rows.filter(is_long), id_col, tokenizer_path, leaf_chars, schema, columns))
+    return here.unionByName(_encode_long(rows.filter(is_long), id_col, tokenizer_path, leaf_chars, schema, decoded))
 
 
-def _encode_long(rows: DataFrame, id_col: str, path: str, leaf_chars: int, schema: str, columns) -> DataFrame:
+def _encode_long(rows: DataFrame, id_col: str, path: str, leaf_chars: int, schema: str, decoded: bool) -> DataFrame:
     """Cut, spread the leaves, encode each on its own, bring a text's leaves together, join."""
     ship(rows.sparkSession)
     id_type = rows.schema[id_col].dataType.simpleString()
@@ -271,11 +300,12 @@ def _encode_long(rows: DataFrame, id_col: str, path: str, leaf_chars: int, schem
     def encode_leaf(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
-            spans = [enc.spanned(t, b)[:2] for t, b in zip(pdf["leaf_text"], pdf["base"], strict=True)]
+            leaves = [enc.leaf(t, b) for t, b in zip(pdf["leaf_text"], pdf["base"], strict=True)]
             enc.memo.trim()
-            yield pdf.drop(columns="base").assign(ids=[s[0] for s in spans], starts=[s[1] for s in spans])
+            packed = {name: [getattr(h, name).astype(kind).tobytes() for h in leaves] for name, kind in PACKED.items()}
+            yield pdf.assign(**packed)
 
-    encoded = spread.mapInPandas(encode_leaf, f"`{id_col}` {id_type}, __key string, seg int, special int, leaf int, leaf_text string, copies long, ids array<long>, starts array<long>")
+    encoded = spread.mapInPandas(encode_leaf, f"`{id_col}` {id_type}, __key string, seg int, special int, leaf int, leaf_text string, base long, copies long, ids binary, head binary, tail binary")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         enc, ids = encoder(path), []
@@ -283,9 +313,10 @@ def _encode_long(rows: DataFrame, id_col: str, path: str, leaf_chars: int, schem
             if part["special"].iloc[0] >= 0:
                 ids.append(int(part["special"].iloc[0]))
             else:
-                ids += enc.fold(list(part["leaf_text"]), list(zip(map(np.asarray, part["ids"]), map(np.asarray, part["starts"]), strict=True))).tolist()
+                unpacked = [[np.frombuffer(x, kind).astype(np.int64) for x in part[name]] for name, kind in PACKED.items()]
+                ids += enc.fold(list(map(Half, part["leaf_text"], part["base"], *unpacked))).tolist()
         n = int(pdf["copies"].iloc[0])
-        out = pd.DataFrame({k: v * n for k, v in columns(enc, [ids]).items()})
+        out = pd.DataFrame({"ids": [np.asarray(ids, np.int32)] * n} | ({"decoded": [enc.decode(ids)] * n} if decoded else {}))
         out.insert(0, id_col, pd.Series([pdf[id_col].iloc[0]] * n, dtype=pdf[id_col].dtype))
         return out
 

@@ -7,14 +7,18 @@ import tempfile
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Entries that a memo of one Python worker may hold; beyond it the memo starts afresh.
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 400_000
+#: Bytes of text that are worked on at a time; a longer single text is taken alone.
+GROUP_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,14 +39,17 @@ def ship(spark: SparkSession) -> None:
 
 
 class Memo(dict):
-    """``memo[key]`` computes what is missing. Call :meth:`trim` now and then: it bounds the memory."""
+    """``memo[key]`` computes what is missing; keys of over ``longest`` characters are not remembered.
+    Call :meth:`trim` now and then: it bounds the memory."""
 
-    def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES):
+    def __init__(self, compute: Callable, entries: int = MEMO_ENTRIES, longest: int = 64):
         super().__init__()
-        self.compute, self.entries = compute, entries
+        self.compute, self.entries, self.longest = compute, entries, longest
 
     def __missing__(self, key):
-        value = self[key] = self.compute(key)
+        value = self.compute(key)
+        if len(key) <= self.longest:
+            self[key] = value
         return value
 
     def trim(self) -> None:
@@ -69,15 +76,25 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
-        for batch in batches:
-            added = compute(batch.column(len(kept)).to_pylist())
-            columns = [batch.column(i).cast(fields.field(i).type) for i in range(len(kept))]
-            columns += [pa.array(added[f.name], type=fields.field(f.name).type) for f in new.fields]
-            yield pa.RecordBatch.from_arrays(columns, schema=fields)
+        for whole in batches:
+            for batch in pieces(whole, len(kept)):
+                added = compute(batch.column(len(kept)).to_pylist())
+                columns = [batch.column(i).cast(fields.field(i).type) for i in range(len(kept))]
+                columns += [x if isinstance(x := added[f.name], pa.Array) else pa.array(x, type=fields.field(f.name).type) for f in new.fields]
+                yield pa.RecordBatch.from_arrays(columns, schema=fields)
 
     return source.mapInArrow(run, out_schema)
 
 
+def pieces(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about GROUP_BYTES of the text column each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes, dtype=np.int64) // GROUP_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(lo, hi - lo)
+
+
 def remainder(doc_id: str, modulus: int):
     """crc32 of the id as text, modulo: the fixed split of the held-out rows. Null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
