@@ -137,12 +137,16 @@ def _judge(paths: tuple[str, ...]) -> UrlJudge:
 
 
 def send(spark: SparkSession, data: bytes) -> str:
-    """Send an array to all executors; its name there."""
+    """Send an array to all executors, once in a session; its name there."""
     name = f"digests-{xxhash.xxh64_hexdigest(data)}.bin"
+    sent = spark.sparkContext.__dict__.setdefault("_millrace_files", set())
+    if name in sent:
+        return name
     local = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
     with open(local, "wb") as f:
         f.write(data)
     spark.sparkContext.addFile(local)
+    sent.add(name)
     return name
 
 

@@ -162,6 +162,12 @@ def test_urls(spark, by_join):
     assert got == want
 
 
+def test_one_list_serves_many_calls(spark):
+    pages = spark.createDataFrame([(1, URLS[0])], "page_id long, url string")
+    for _ in range(2):
+        assert url_filter.judge_urls(pages, layers()).first().said == "allow"
+
+
 def test_urls_of_an_empty_table_and_bad_entries(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), layers()).collect() == []
     with pytest.raises(ValueError):
