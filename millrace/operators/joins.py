@@ -1,4 +1,4 @@
-"""Inner equi-joins with the reference projections. Spark picks the physical join: a small side is
+"""Inner equi-joins with their projections. Spark picks the physical join: a small side is
 broadcast only under its size threshold, everything else is a sort-merge join that AQE can split."""
 
 from __future__ import annotations
