@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import math
+import sys
 from array import array
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from .common import Memo, map_texts
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
 GROUP_CHARS = 4_000_000
+#: Tokens and bytes of words that the tables may hold between groups of texts.
+TABLE_TOKENS, TABLE_BYTES = 8_000_000, 32_000_000
 
 
 @dataclass(frozen=True)
@@ -83,6 +86,7 @@ class Fertility:
     def number(self, word: bytes) -> int:
         """Measure a new word, append it to the tables, and give its row there."""
         text = word.decode()
+        self.held += len(word)
         ids = self.pieces.encode(text)
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
@@ -93,7 +97,8 @@ class Fertility:
 
     def renew(self) -> None:
         """Empty tables and memo. Row 0 is no word."""
-        self.memo = Memo(self.number)
+        self.memo = Memo(self.number, longest=sys.maxsize)  # equal words have equal numbers, however long
+        self.held = 0
         self.flat, self.ends = array("i"), array("q", [0])
         self.fallbacks, self.byte_tokens, self.scripts = array("i", [0]), array("i", [0]), array("b", [0])
 
@@ -104,7 +109,7 @@ class Fertility:
         tables = [np.frombuffer(x, x.typecode) for x in (self.flat, self.ends, self.fallbacks, self.byte_tokens, self.scripts)]
         out = [self.measure(t, w, *tables) for t, w in zip(texts, numbered, strict=True)]
         del tables  # the arrays can't grow while they are viewed
-        if len(self.memo) > self.memo.entries:
+        if len(self.memo) > self.memo.entries or len(self.flat) > TABLE_TOKENS or self.held > TABLE_BYTES:
             self.renew()
         return out
 

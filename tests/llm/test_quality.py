@@ -53,6 +53,25 @@ def test_fertility_measures_equal_plain_ones():
     assert math.isclose(found["chars_per_piece"][0], words_and_lines(text)[1] / len(ids))
 
 
+def test_long_words_repeat():
+    f = fertility.Fertility(*FILES)
+    lines = ["中文" * 12 + "字", "https://example.com/" + "a/b" * 40, "Zm9v" * 5000]
+    text = "\n".join(lines * 100)
+    assert all(len(w.encode()) > 64 for w in lines)
+    for _ in range(2):
+        assert f.columns([text, lines[0]])["n_repeat_words"] == [300, 0]
+    assert len(f.scripts) == 4  # row 0, and a row for each of the words
+
+
+def test_tables_of_long_words_stay_small(monkeypatch):
+    monkeypatch.setattr(fertility, "TABLE_BYTES", 1000)
+    f = fertility.Fertility(*FILES)
+    for k in range(5):
+        word = f"{k}x" * 600
+        assert f.columns([" ".join([word] * 9)])["n_repeat_words"] == [9]
+        assert len(f.scripts) == 1 and not f.memo
+
+
 def test_bands_reject(spark):
     noise = " ".join("\U0001d504\U0001f9ff" for _ in range(80))  # byte fallbacks only
     row = fertility.judge(fertility.measure(spark.createDataFrame([(1, noise)], SCHEMA), *FILES)).first()
