@@ -2,7 +2,7 @@
 
 A value behind a word like "password" is cut into the segments that make it cheapest to guess: common
 words (also in leet spelling or capitals), dates, repeats, keyboard walks, and brute force for what is
-left. Dynamic programming finds the cheapest cut exactly. The cost is log10 of the guesses; a value
+left. Dynamic programming finds the cheapest cut of the whole value exactly. The cost is log10 of the guesses; a value
 that costs enough is reported as a secret of kind ``guess``. The fixed kinds are always reported.
 
 Null text counts as empty: no spans. Spans are code points, end exclusive, over the whole text.
@@ -32,7 +32,7 @@ ASSIGN = re.compile(f"({_any_case(['password', 'passwd', 'secret', 'token'])}|[A
 ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{32,}")  # a run is matched whole, so this equals: a run, then at least 32 long
 CONTEXT_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "apikey", "api_key", "credential", "bearer")
-CONTEXT = re.compile(f"(?:{_any_case(CONTEXT_WORDS)})[\"']?(?:\\x20{{0,4}}(?::=|=>|->|[:=])\\x20{{0,4}}|\\x20(?:is|was)\\x20)[\"']?([^\\s\"'<>|,;]{{6,128}})")
+CONTEXT = re.compile(f"(?:{_any_case(CONTEXT_WORDS)})[\"']?(?:\\x20{{0,4}}(?::=|=>|->|[:=])\\x20{{0,4}}|\\x20(?:is|was)\\x20)[\"']?([^\\s\"'<>|,;]{{6,}})")
 
 # Frequent passwords and words, most frequent first.
 COMMON = (
@@ -49,12 +49,11 @@ DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:[12]\d|3[01
 
 
 class GuessCost:
-    def __init__(self, words: Iterable[str] = COMMON, longest: int = 128):
+    def __init__(self, words: Iterable[str] = COMMON):
         self.rank = {}
         for i, w in enumerate(words):
             self.rank.setdefault(w, i + 1)
         self.longest_word = max(map(len, self.rank))
-        self.longest = longest
         self.place = {c: (r, k) for r, row in enumerate(KEY_ROWS) for k, c in enumerate(row)}
 
     @staticmethod
@@ -62,10 +61,9 @@ class GuessCost:
         size = 10 * any(c.isdigit() for c in text) + 26 * any(c.islower() for c in text) + 26 * any(c.isupper() for c in text)
         return max(10, size + 33 * any(not c.isalnum() for c in text))
 
-    def segments(self, value: str) -> list[list[tuple[int, float, str]]]:
-        """For each start, the ends, costs and kinds of the segments that begin there."""
-        n, low = len(value), value.lower()
-        low = low if len(low) == n else value
+    def fixed(self, value: str) -> list[list[tuple[int, float, str]]]:
+        """For each start, the ends, costs and kinds of single characters, words, dates and repeated blocks."""
+        n, low = len(value), self.lowered(value)
         plain = low.translate(LEET)
         each = math.log10(self.alphabet(value))
         out: list[list[tuple[int, float, str]]] = [[] for _ in range(n)]
@@ -79,17 +77,31 @@ class GuessCost:
                         break
             if (m := DATE.match(value, i)) is not None:
                 out[i].append((m.end(), 2.1 if m.end() - i == 4 else 4.6, "date"))
+        for size in range(2, min(16, n // 2) + 1):  # a block again and again
+            same = 0  # characters from i on that equal those a block later
+            for i in range(n - size - 1, -1, -1):
+                same = same + 1 if value[i] == value[i + size] else 0
+                if same >= size:
+                    times = 1 + same // size
+                    out[i].append((i + times * size, size * each + math.log10(times), "repeat"))
+        return out
+
+    @staticmethod
+    def lowered(value: str) -> str:
+        low = value.lower()
+        return low if len(low) == len(value) else value
+
+    def segments(self, value: str) -> list[list[tuple[int, float, str]]]:
+        """For each start, the ends, costs and kinds of all segments that begin there: quadratic in long runs."""
+        n, low = len(value), self.lowered(value)
+        each = math.log10(self.alphabet(value))
+        out = self.fixed(value)
+        for i in range(n):
             j = i + 1
             while j < n and value[j] == value[i]:
                 j += 1
             if j - i >= 3:
                 out[i] += [(k, each + math.log10(k - i), "repeat") for k in range(i + 3, j + 1)]
-            for size in range(2, min(16, (n - i) // 2) + 1):  # a block again and again
-                times = 1
-                while value[i + times * size : i + (times + 1) * size] == value[i : i + size]:
-                    times += 1
-                if times >= 2:
-                    out[i].append((i + times * size, size * each + math.log10(times), "repeat"))
             j, turns, way = i + 1, 0, None
             while j < n and (step := self.step(low[j - 1], low[j])) is not None:
                 turns += way is not None and step != way
@@ -106,13 +118,57 @@ class GuessCost:
         (r, k), (s, m) = self.place[a], self.place[b]
         return (s - r, m - k) if (r, k) != (s, m) and abs(s - r) <= 1 and abs(m - k) <= 1 else None
 
+    @staticmethod
+    def best(starts: list[tuple[float, int]], end: int) -> tuple[float, int]:
+        """The least of cost + log10 of the length over the starts of a run's segments to ``end``. An earlier
+        start that is as cheap as a later one stays so for all later ends, so the later one is dropped; so is
+        an earlier one that costs as much before the length counts."""
+        kept: list[tuple[float, int]] = []
+        least = math.inf
+        for cost, i in starts:
+            while kept and kept[-1][0] >= cost:
+                kept.pop()
+            if (price := cost + math.log10(end - i)) < least:
+                kept.append((cost, i))
+                least = price
+        starts[:] = kept
+        return least, kept[-1][1]
+
     def cheapest(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
-        """log10 of the guesses, and the cut that needs them. Each further patterned segment costs a factor of 2."""
-        value = value[: self.longest]
-        n = len(value)
+        """log10 of the guesses, and the cut that needs them. Each further patterned segment costs a factor of 2.
+        All of :meth:`segments` take part, but long runs and walks are not listed: they keep the starts that
+        can still be the best."""
+        n, low = len(value), self.lowered(value)
         cost, came = [0.0] + [math.inf] * n, [None] * (n + 1)
-        begun = self.segments(value)
+        begun = self.fixed(value)
+        each, walk = math.log10(self.alphabet(value)), math.log10(47)
+        run, way_from = 0, 0  # where the run of equal characters, and the walk, up to here begin
+        runs: list[tuple[float, int]] = []
+        walks: list[tuple[float, int]] = []
+        turns, way = [0] * n, None  # turns of the walk up to each character
         for i in range(n):
+            if i:
+                if value[i] != value[i - 1]:
+                    run, runs = i, []
+                step = self.step(low[i - 1], low[i])
+                if step is None:
+                    way_from, walks = i, []
+                else:
+                    turns[i] = turns[i - 1] + (way is not None and step != way)
+                way = step
+            k = i - 2  # the last start of a segment of three that ends behind this character
+            begins = cost[k] + (0.3 if k else 0.0) if k >= 0 else 0.0
+            if k >= run:
+                runs.append((begins, k))
+                price, at = self.best(runs, i + 1)
+                if price + each < cost[i + 1]:
+                    cost[i + 1], came[i + 1] = price + each, (at, "repeat")
+            if k >= way_from:
+                walks.append((begins - 0.9 * turns[k + 1], k))
+                price, at = self.best(walks, i + 1)
+                price += walk + 0.9 * turns[i]
+                if price < cost[i + 1]:
+                    cost[i + 1], came[i + 1] = price, (at, "walk")
             for j, price, kind in begun[i]:
                 price += cost[i] + (0.3 if i and kind != "brute" else 0.0)
                 if price < cost[j]:

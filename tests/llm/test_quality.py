@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 from collections import Counter
 
@@ -133,6 +134,32 @@ def test_guess_cost_is_the_least_of_all_cuts(value):
     assert math.isclose(g.cheapest(value)[0], min(every(0, True)))
 
 
+def test_guess_cost_equals_listing_all_segments():
+    g, rng = secret_scan.GuessCost(), random.Random(8)
+    for _ in range(300):
+        parts = ["a" * rng.randrange(1, 9), "qwqw"[: rng.randrange(5)] * rng.randrange(9), "zxcvbnm", "asdfdsa", "pass", "assss", "P@ssw0rd", "2000", "x9K#"]
+        value = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) or "a"
+        cost, begun = [0.0] + [math.inf] * len(value), g.segments(value)
+        for i in range(len(value)):
+            for j, price, kind in begun[i]:
+                cost[j] = min(cost[j], cost[i] + price + (0.3 if i and kind != "brute" else 0.0))
+        found, cut = g.cheapest(value)
+        assert math.isclose(found, cost[-1]) and [0, *[j for _, j, _ in cut]] == [*[i for i, _, _ in cut], len(value)]
+
+
+@pytest.mark.parametrize("n", [128, 129, 5000])
+def test_long_values_are_taken_whole(n):
+    rng, cost = random.Random(n), secret_scan.GuessCost().cheapest
+    value = "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(n))
+    spans = secret_scan.Scanner().scan(f"the token: {value}. And more")
+    assert [s[:3] for s in spans if s[0] == "guess"] == [("guess", 11, 11 + n)]
+    late = "k" * n + "xK9#mQ2$vL7%"  # cheap at first
+    assert cost(late)[0] > cost("k" * n)[0] + 10
+    assert [s[:3] for s in secret_scan.Scanner().scan(f"the secret is {late} ")] == [("guess", 14, 14 + len(late))]
+    for cheap in ("k" * n, ("qw" * n)[:n], ("xyz" * n)[: n - n % 3]):
+        assert cost(cheap)[0] < 10 and not secret_scan.Scanner().scan(f"the secret is {cheap} ")
+
+
 def test_guess_cost_orders_values():
     cost = lambda v: secret_scan.GuessCost().cheapest(v)[0]
     values = ["password", "P@ssw0rd2020", "qwertyuiop12", "xK9#mQ2$vL7!"]
