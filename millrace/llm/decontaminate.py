@@ -9,30 +9,36 @@ postings, a pivot where the maxima could reach the threshold, block maxima to sk
 the threshold is then verified: shares of its five-word shingles, question words and answer words that
 the passage holds.
 
-An item is a question and, behind it, an answer: the text after the last line break or sentence end
-(if that leaves both sides words), or a column of its own. The index is sent to the executors, in parts of ``ITEMS_AT_ONCE`` items; each part is one pass over
-the texts, so any number of items works. Null and empty texts and items without words match nothing;
+An item is a question and, behind it, an answer: a column of its own, or the last line, if it has the
+words of a shingle and others stand before it. The end of a sentence says nothing of an answer: an item
+without one is judged by its shingles. The index is sent to the executors, in parts of ``ITEMS_AT_ONCE``
+items; each part is one pass over the texts, so any number of items works. Counts of items and of words,
+and the longest item, are those of all parts, so parts change no result. Null and empty texts and items without words match nothing;
 items of fewer than five words must stand in the passage as they are. Repeated rows and items are each
 reported.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import groupby, repeat
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from ..scratch import written
+from .common import map_texts, ship
 
 WORDS = re.compile(r"\w+")
-ANSWER = re.compile(r"(?s)^(.*[\n.!?])\s*(\S.*)$")
+ANSWER = re.compile(r"(?s)^(.*\n)\s*(\S.*)$")
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.8, 0.5
@@ -48,13 +54,23 @@ def shingles(words: list[str], width: int) -> Counter:
 
 def question_answer(text: str) -> tuple[str, str]:
     """The item's text in two; without a place to cut, all of it is the question."""
-    m = ANSWER.match(text.rstrip().rstrip(".!?"))
-    return (m[1], m[2]) if m and WORDS.search(m[1]) and WORDS.search(m[2]) else (text, "")
+    m = ANSWER.match(text.rstrip())
+    return (m[1], m[2]) if m and WORDS.search(m[1]) and len(WORDS.findall(m[2])) >= SHINGLE else (text, "")
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Of all items with words: how many, their words, the words of the longest, and items for each word."""
+
+    n: int
+    n_words: int
+    longest: int
+    df: dict[str, int]
 
 
 class ItemIndex:
-    def __init__(self, items: Iterable[tuple[int, str, str]], threshold: float = THRESHOLD):
-        """``items``: (id, question, answer)."""
+    def __init__(self, items: Iterable[tuple[int, str, str]], threshold: float = THRESHOLD, totals: Totals | None = None):
+        """``items``: (id, question, answer). ``totals``: of all items, if these are a part of them."""
         self.threshold = threshold
         self.ids, self.words, self.parts = [], [], []
         for item_id, question, answer in items:
@@ -63,16 +79,17 @@ class ItemIndex:
                 self.ids.append(item_id)
                 self.words.append(q + a)
                 self.parts.append((Counter(q), Counter(a)))
-        self.longest = max(map(len, self.words), default=1)
         self.number: dict[str, int] = {}
         n = len(self.ids)
-        average = sum(map(len, self.words)) / max(1, n)
         tfs = [Counter(w) for w in self.words]
-        df = Counter(t for tf in tfs for t in tf)
+        if totals is None:
+            totals = Totals(n, sum(map(len, self.words)), max(map(len, self.words), default=1), Counter(t for tf in tfs for t in tf))
+        self.longest, df = totals.longest, totals.df
+        average = totals.n_words / max(1, totals.n)
         by_term: list[list[tuple[int, float]]] = []
         for i, tf in enumerate(tfs):
             norm = K1 * (1 - B + B * len(self.words[i]) / average)
-            raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in tf.items()}
+            raw = {t: math.log(1 + (totals.n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in tf.items()}
             own = sum(raw.values())
             for t, x in raw.items():
                 k = self.number.setdefault(t, len(self.number))
@@ -186,6 +203,25 @@ class ItemIndex:
 SCHEMA = "__hits array<struct<item_id:long,bm25:double,overlap:double,question_overlap:double,answer_overlap:double,first_word:int>>"
 
 
+def item_totals(listed: DataFrame) -> Iterator[Totals]:
+    """The totals of all items (id, q, a, part), for each part in turn with the counts of its own words."""
+    ship(listed.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            cut = [(q, a) if isinstance(a, str) else question_answer(q) for q, a in zip(pdf["q"], pdf["a"], strict=True)]
+            words = [WORDS.findall(q.lower()) + WORDS.findall(a.lower()) for q, a in cut]
+            yield pd.DataFrame({"part": pdf["part"], "n_words": [len(w) for w in words], "terms": [sorted(set(w)) for w in words]})
+
+    counted = written(listed.select("q", "a", "part").mapInPandas(count, "part int, n_words int, terms array<string>"), "items").filter("n_words > 0")
+    size = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"), F.max("n_words").alias("longest")).first()
+    each = counted.select("part", F.explode("terms").alias("term"))
+    df = written(each.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "item-terms")
+    for k in itertools.count():
+        own = each.filter(F.col("part") == k).select("term").distinct().join(df, "term").collect()  # words of about items_at_once items
+        yield Totals(size.n, size.words or 0, size.longest or 1, {r.term: r.df for r in own})
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", answer_col: str | None = None,
     keep: list[str] | None = None, threshold: float = THRESHOLD, items_at_once: int = ITEMS_AT_ONCE,
@@ -196,11 +232,14 @@ def find_leaks(
     answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
     listed = items.select(F.col(item_id).cast("long").alias("id"), F.coalesce(item_text, F.lit("")).alias("q"), answer.alias("a"))
     parts = max(1, -(-listed.count() // items_at_once))
+    if parts > 1:
+        listed = written(listed.withColumn("part", F.pmod(F.xxhash64("id", "q"), F.lit(parts)).cast("int")), "listed")
+        totals = item_totals(listed)
     out = docs.select(*kept, F.col(text_col).alias("__text_in")).withColumn(hits, F.expr(f"cast(array() as {SCHEMA.split(' ', 1)[1]})"))
     for k in range(parts):
         # about items_at_once rows; the index of a part is what is sent
-        rows = listed.filter(F.pmod(F.xxhash64("id", "q"), F.lit(parts)) == k).orderBy("id", "q").collect() if parts > 1 else listed.orderBy("id", "q").collect()
-        index = ItemIndex([(r.id, *(question_answer(r.q) if r.a is None else (r.q, r.a))) for r in rows], threshold)
+        rows = (listed.filter(F.col("part") == k) if parts > 1 else listed).orderBy("id", "q").collect()
+        index = ItemIndex([(r.id, *(question_answer(r.q) if r.a is None else (r.q, r.a))) for r in rows], threshold, next(totals) if parts > 1 else None)
         sent = docs.sparkSession.sparkContext.broadcast(index)
         searched = map_texts(out, lambda sent=sent: sent.value.columns, SCHEMA, "__text_in")
         out = searched.withColumn(hits, F.concat(hits, "__hits")).drop("__hits")

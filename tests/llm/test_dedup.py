@@ -213,6 +213,23 @@ def test_leaks(spark):
         assert {i: sorted(h) for i, h in found if h} == want
 
 
+def test_parts_change_no_result(spark):
+    items = spark.createDataFrame(ITEMS + [(20 + k, prose(25 + k, 600 + k)) for k in range(8)], "item_id long, text string")
+    docs = spark.createDataFrame(leak_rows(), SCHEMA)
+    whole, parted = (
+        Counter((r.doc_id, tuple(sorted((h.item_id, round(h.bm25, 9), h.overlap, h.first_word) for h in r.hits))) for r in decontaminate.find_leaks(docs, items, items_at_once=n).collect())
+        for n in (2000, 3)
+    )
+    assert whole == parted
+
+
+def test_an_item_without_its_last_words_is_found(spark):
+    body = prose(40, 61) + ". " + prose(30, 62)
+    items = spark.createDataFrame([(1, body + ". Ñ."), (2, prose(60, 63) + ".\nÑ"), (3, prose(60, 64) + ". " + prose(4, 65) + ".")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{prose(50, 66)} {body} {prose(50, 67)}"), (2, prose(60, 63)), (3, prose(60, 64)), (4, prose(60, 68) + ". Ñ.")], SCHEMA)
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.find_leaks(docs, items).collect()} == {1: [1], 2: [2], 3: [3], 4: []}
+
+
 def test_search_equals_scoring_everything():
     index = decontaminate.ItemIndex([(i, *decontaminate.question_answer(t or "")) for i, t in ITEMS] + [(50 + k, prose(25, k), "") for k in range(60)], threshold=0.2)
     rng = random.Random(6)
