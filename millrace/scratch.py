@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``. Where it is unset: the warehouse on a
-    cluster, a temporary folder in local mode (driver and executors are then one machine)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where it is unset: a temporary folder in
+    local mode (driver and executors are then one machine), ValueError on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if not sc.master.startswith("local[") and sc.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors can reach")
     global _local
     if _local is None:
         _local = tempfile.mkdtemp(prefix="spark-")
@@ -35,7 +35,15 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     """Cut the lineage: write as Parquet to the shared folder and read back."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path, partitionBy=partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out._written_to = path
+    return out
+
+
+def remove_tables(*tables: DataFrame) -> None:
+    """Delete what :func:`written` gave, once nothing will read it again."""
+    for df in tables:
+        remove(df.sparkSession, df._written_to)
 
 
 def remove(spark: SparkSession, path: str) -> None:
