@@ -17,7 +17,6 @@ give their ids, as by the library's default. Repeated rows of one id are each re
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 from itertools import chain
 from typing import NamedTuple
@@ -30,7 +29,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts, ship
+from .common import Memo, map_texts, ship, tool
 
 #: Characters in a leaf; longer texts are halved.
 LEAF_CHARS = 16_384
@@ -230,9 +229,8 @@ def halves(text: str, leaf_chars: int) -> list[str]:
     return parts
 
 
-@functools.cache
 def encoder(path: str) -> TreeEncoder:
-    return TreeEncoder(path)
+    return tool(("bpe", path), lambda: TreeEncoder(path))
 
 
 #: How a leaf's arrays travel.

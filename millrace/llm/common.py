@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,30 @@ def ship(spark: SparkSession) -> None:
     sc._millrace_sent = True
 
 
+_held: tuple[Hashable, object] | None = None
+
+
+def tool(key: Hashable, make: Callable[[], object]):
+    """What ``make`` builds (a tokenizer with its memo, say), kept in this Python worker from task to task
+    until an operator asks for another one. So the tools of earlier stages never add up."""
+    global _held
+    if _held is None or _held[0] != key:
+        _held = None
+        release()
+        _held = (key, make())
+    return _held[1]
+
+
+def release() -> None:
+    """Give memory that is free back to the system: Spark keeps its Python workers for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 class Memo(dict):
     """``memo[key]`` computes what is missing; keys of over ``longest`` characters are not remembered.
     Call :meth:`trim` now and then: it bounds the memory."""
@@ -82,6 +108,9 @@ def map_texts(
                 columns = [batch.column(i).cast(fields.field(i).type) for i in range(len(kept))]
                 columns += [x if isinstance(x := added[f.name], pa.Array) else pa.array(x, type=fields.field(f.name).type) for f in new.fields]
                 yield pa.RecordBatch.from_arrays(columns, schema=fields)
+                del added, columns
+        del compute
+        release()
 
     return source.mapInArrow(run, out_schema)
 

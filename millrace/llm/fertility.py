@@ -12,7 +12,6 @@ Null text counts as having no words, and fails the base rule. Whole texts are me
 from __future__ import annotations
 
 import base64
-import functools
 import math
 import sys
 from array import array
@@ -21,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import Memo, map_texts
+from .common import Memo, map_texts, tool
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\r\x0b\x0c"
@@ -173,9 +172,8 @@ def repeated_words(words: np.ndarray) -> int:
     return int(hit.sum())
 
 
-@functools.cache
 def fertility(piece_model: str, byte_ranks: str, pattern: str) -> Fertility:
-    return Fertility(piece_model, byte_ranks, pattern)
+    return tool(("fertility", piece_model, byte_ranks, pattern), lambda: Fertility(piece_model, byte_ranks, pattern))
 
 
 def measure(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

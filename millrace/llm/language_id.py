@@ -16,7 +16,6 @@ language are not learned from; without any training text all texts are ``und``.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator, Sequence
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, ship
+from .common import map_texts, ship, tool
 
 WORDS = re.compile(r"[^\W\d_]+")
 BLOCK = 32
@@ -169,10 +168,12 @@ def vocabulary(model_path: str) -> tuple[list[str], np.ndarray]:
     return pieces, probs / probs.sum()
 
 
-@functools.cache
 def trellis(model_path: str) -> tuple[Trellis, np.ndarray]:
-    pieces, probs = vocabulary(model_path)
-    return Trellis(pieces), probs
+    def make():
+        pieces, probs = vocabulary(model_path)
+        return Trellis(pieces), probs
+
+    return tool(("trellis", model_path), make)
 
 
 class Model:

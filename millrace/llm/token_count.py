@@ -12,14 +12,13 @@ without spaces costs n log n. Columns of the input stay, except those named like
 
 from __future__ import annotations
 
-import functools
 import heapq
 import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_texts
+from .common import Memo, map_texts, tool
 
 SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -90,10 +89,8 @@ class HeapMerger:
         return {"n_tokens": out}
 
 
-@functools.cache
 def merger(path: str) -> HeapMerger:
-    """One for each Python worker, so that its memo lives from task to task."""
-    return HeapMerger.load(path)
+    return tool(("merger", path), lambda: HeapMerger.load(path))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

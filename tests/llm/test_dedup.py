@@ -1,7 +1,10 @@
 """Line dedup, near-dedup, decontamination."""
 
 import itertools
+import os
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -11,6 +14,7 @@ from millrace.llm import decontaminate, line_dedup, order_minhash
 
 from .helpers import ODD, SCHEMA, clash, odd, prose
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 LINE = "This line is shared by many documents, more than forty characters"
 
 
@@ -205,8 +209,8 @@ def leak_rows():
 def test_leaks(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     rows = leak_rows()
-    for at_once in (2000, 3):
-        out = decontaminate.find_leaks(clash(spark.createDataFrame(rows, SCHEMA), "hits", "item_id"), items, items_at_once=at_once)
+    for part_words in (10**6, 120):
+        out = decontaminate.find_leaks(clash(spark.createDataFrame(rows, SCHEMA), "hits", "item_id"), items, part_words=part_words)
         found = [(r.doc_id, [h.item_id for h in r.hits]) for r in out.collect()]
         assert len(found) == len(rows)
         want = {100 + i: [i] for i in range(5)} | {200 + i: [i] for i in range(1, 5)} | {300: [10], 400: [1, 2]}
@@ -217,8 +221,8 @@ def test_parts_change_no_result(spark):
     items = spark.createDataFrame(ITEMS + [(20 + k, prose(25 + k, 600 + k)) for k in range(8)], "item_id long, text string")
     docs = spark.createDataFrame(leak_rows(), SCHEMA)
     whole, parted = (
-        Counter((r.doc_id, tuple(sorted((h.item_id, round(h.bm25, 9), h.overlap, h.first_word) for h in r.hits))) for r in decontaminate.find_leaks(docs, items, items_at_once=n).collect())
-        for n in (2000, 3)
+        Counter((r.doc_id, tuple(sorted((h.item_id, round(h.bm25, 9), h.overlap, h.first_word) for h in r.hits))) for r in decontaminate.find_leaks(docs, items, part_words=n).collect())
+        for n in (10**6, 120)
     )
     assert whole == parted
 
@@ -230,19 +234,58 @@ def test_an_item_without_its_last_words_is_found(spark):
     assert {r.doc_id: [h.item_id for h in r.hits] for r in decontaminate.find_leaks(docs, items).collect()} == {1: [1], 2: [2], 3: [3], 4: []}
 
 
-def test_search_equals_scoring_everything():
-    index = decontaminate.ItemIndex([(i, *decontaminate.question_answer(t or "")) for i, t in ITEMS] + [(50 + k, prose(25, k), "") for k in range(60)], threshold=0.2)
+def scored_plainly(index, terms):
+    scores = Counter()
+    for t in terms:
+        for i, x in zip(index.items[t], index.impacts[t], strict=True):
+            scores[i] += x
+    return {i: x for i, x in scores.items() if x >= index.least}
+
+
+def test_search_equals_scoring_everything(monkeypatch):
+    """Live blocks and cursors find just the items that a score of all of them finds."""
+    items = [(i, *decontaminate.question_answer(t or "")) for i, t in ITEMS] + [(50 + k, prose(25 + k % 50, k), "") for k in range(300)]
     rng = random.Random(6)
-    for _ in range(60):
-        words = prose(100, rng.randrange(10**6)).split() + rng.choice(index.words)[: rng.randrange(30)]
-        terms = sorted({index.number[w] for w in words if w in index.number})
-        scores = Counter()
-        for t in terms:
-            for i, x in index.postings[t]:
-                scores[i] += x
-        want = {i for i, x in scores.items() if x >= 0.2}
-        blocks = [b for b in range(index.n_blocks) if index.block_max[terms, b].sum() >= 0.2]
-        assert {i for b in blocks for i, _ in index.wand(terms, b)} == want
+    for cells in (2_000_000, 50):  # all at once, and a passage or two at a time
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        for index in decontaminate.ItemIndex(items, threshold=0.3).classes:
+            passages = []
+            for _ in range(40):
+                words = prose(100, rng.randrange(10**6)).split()
+                for i in rng.sample(range(len(index.numbers)), min(3, len(index.numbers))):
+                    words += rng.sample(own := [t for t, k in index.term.items() if i in index.items[k]], rng.randrange(len(own) + 1))
+                passages.append(sorted({index.term[w] for w in words if w in index.term}))
+            places = np.repeat(np.arange(40), list(map(len, passages)))
+            found = {p: dict(index.wand(terms.tolist(), live.tolist())) for p, terms, live in index.live(places, np.concatenate(passages).astype(np.int64))}
+            want = {p: scored_plainly(index, terms) for p, terms in enumerate(passages)}
+            assert any(want.values())
+            for p in range(40):
+                got = found.get(p, {})
+                assert got.keys() == want[p].keys() and all(abs(x - want[p][i]) < 1e-9 for i, x in got.items())
+
+
+def test_leaks_with_text_ids_and_long_items(spark):
+    items = [("a", prose(30, 11)), ("long", prose(700, 12)), ("b", prose(5, 13))]
+    docs = [(1, f"{prose(40, 21)} {items[0][1]} {prose(900, 22)} {items[1][1]} {prose(30, 23)}"), (2, prose(3000, 24)), (3, items[1][1][:2000])]
+    for part_words in (10**6, 200):
+        out = decontaminate.find_leaks(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id string, text string"), part_words=part_words)
+        assert {r.doc_id: sorted(h.item_id for h in r.hits) for r in out.collect()} == {1: ["a", "long"], 2: [], 3: []}
+
+
+def test_a_worker_stays_small_with_many_items():
+    """Peak of one process that indexes 2,000 items and searches 4 MB of text."""
+    code = """
+import random, resource, sys
+from millrace.llm import decontaminate as D
+from tests.llm.helpers import prose
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+index = D.ItemIndex([(i, prose(40, i), "") for i in range(2000)])
+texts = [prose(600, 10**6 + i) for i in range(1300)]
+index.columns(texts)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()[-1])
+    assert grown < 200, grown
 
 
 def test_no_items_no_documents(spark):
