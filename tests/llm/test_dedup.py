@@ -106,10 +106,10 @@ def test_banded_alignment_equals_the_full_table():
 def test_sketches_know_the_order_of_words():
     s = order_minhash.Sketcher()
     a, b = s.words(prose(200, 1)), s.words(prose(200, 2))
-    share = lambda x, y: (s.sketch(x)[0] == s.sketch(y)[0]).mean()
+    share = lambda x, y: (s.sketch(x)[1] == s.sketch(y)[1]).mean()  # noqa: E731  (sketches of one k-mer know no order)
     assert share(np.r_[a, b], np.r_[a, b]) == 1 and share(a, b) == 0
     assert 0 < share(np.r_[a, b], np.r_[b, a]) < 0.85  # nearly the same shingles, other order
-    assert len(set(s.labelled(np.zeros(12, np.uint64)).tolist())) == 8  # equal k-mers are told apart
+    assert len(set(s.labelled(np.zeros(12, np.uint64), 5).tolist())) == 8  # equal k-mers are told apart
 
 
 def edited(text, rng, share=0.05):
@@ -162,6 +162,50 @@ def test_classes_equal_brute_force(spark):
     assert all(min(g) == c for c, g in groups.items())
 
 
+@pytest.mark.parametrize("n", [5, 6, 8, 10, 15, 20, 40, 60, 100, 300])
+def test_candidates_meet(n):
+    """Of random edits at a similarity of 0.8 or a little more, nine in ten share a sketch of the first size."""
+    rng, sketch = np.random.default_rng(n), order_minhash.Sketcher.sketch
+    for share in (0.2, 0.15, 0.1):
+        shared = 0
+        for _ in range(200):
+            a = rng.integers(0, 2**62, n).astype(np.uint64)
+            b = a.copy()
+            b[rng.choice(n, int(share * n + 1e-9), replace=False)] = rng.integers(0, 2**62, int(share * n + 1e-9)).astype(np.uint64)
+            shared += bool(np.isin(sketch(a)[0], sketch(b)[0]).any())
+        assert shared >= 180, (share, shared)
+
+
+def test_lengths_that_allow_the_similarity_share_a_scheme():
+    fits = lambda n: {s.k for s in order_minhash.SCHEMES if s.least <= n <= s.most}
+    assert all(fits(m) & fits(n) for n in range(1, 200) for m in range(1, n + 1) if m >= 0.8 * n)
+
+
+def test_recall_in_a_crowd(spark):
+    """Pairs at every similarity from 0.8, chains of edits, and a passage that all share: links against all pairs."""
+    rng, rows = random.Random(31), []
+    for k in range(120):
+        base = prose([6, 12, 30, 60, 120, 250][k % 6], 40_000 + k)
+        rows += [(10 * k, base), (10 * k + 1, edited(base, rng, [0.19, 0.15, 0.1, 0.05][k % 4]))]
+    text = prose(150, 41_000)
+    for k in range(40):  # each is like its neighbours only
+        rows.append((5000 + k, text))
+        text = edited(text, rng, 0.08)
+    passage = prose(60, 42_000)
+    for k in range(60):  # one in three has a near copy, all share a passage
+        base = f"{passage} {prose(90, 43_000 + k)}"
+        rows += [(6000 + 10 * k, base)] + ([(6001 + 10 * k, edited(base, rng, 0.12))] if k % 3 == 0 else [])
+    want = [g for g in classes_plainly(rows) if len(g) > 1]
+    out = {r.doc_id: r for r in order_minhash.classify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for lo, hi in ((0, 5000), (5000, 6000), (6000, 9000)):
+        pairs = [(x, y) for g in want for x, y in itertools.pairwise(g) if lo <= x < hi]
+        found = sum(out[x].class_id == out[y].class_id for x, y in pairs)
+        assert found >= 0.9 * len(pairs), (lo, found, len(pairs))
+    assert all((r.n_links > 0) == any(r.doc_id in g for g in want) or r.n_links == 0 for r in out.values())
+    whole = {i: min(g) for g in classes_plainly(rows) for i in g}
+    assert all(whole[r.doc_id] == whole[r.class_id] for r in out.values())  # nothing is linked that should not be
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = near_rows()
     docs = clash(spark.createDataFrame(rows, SCHEMA), "class_id", "words")
@@ -188,9 +232,11 @@ def test_no_ids_and_one_id_for_two_texts(spark):
 
 def test_components(spark):
     chain = [(bytes([k]), bytes([k + 1])) for k in range(40)] + [(b"x", b"y"), (b"z", b"y")]
-    out = order_minhash.components(spark.createDataFrame(chain, "a binary, c binary"))
-    roots = {bytes(r.node): bytes(r.root) for r in out.collect()}
+    out = order_minhash.stars(spark.createDataFrame(chain, "a binary, c binary"))
+    roots = {bytes(r.a): bytes(r.c) for r in out.collect()}
     assert {roots[bytes([k])] for k in range(1, 41)} == {bytes([0])} and roots[b"y"] == roots[b"z"] == b"x"
+    with pytest.raises(RuntimeError):
+        order_minhash.stars(spark.createDataFrame(chain, "a binary, c binary"), rounds=1)
 
 
 # Benchmark items.
