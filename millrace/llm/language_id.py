@@ -9,9 +9,11 @@ over all training texts, the expected number of times that each piece is used in
 forward and a backward pass under a common first model, and the sums are smoothed. The driver gets a
 row for each language and piece, however large the corpus is.
 
-Words are runs of letters (and letter-like numbers) in lower case; a run of over ``BLOCK`` characters
-is taken in blocks. Null texts, and texts without a letter, are ``und`` with score 0. Texts without a
-language are not learned from; without any training text all texts are ``und``.
+Words are runs of letters (and letter-like numbers) in lower case, of any length: the sums run along the
+whole of a word and are scaled on the way, a very long one in slices that hand on the last sums. Null
+texts, and texts without a letter, are ``und`` with score 0. Texts without a language are not learned
+from; without any training text all texts are ``und``. Repeated rows are each counted and predicted.
+Other columns stay, but those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,21 +29,21 @@ from pyspark.sql import functions as F
 from .common import map_texts, ship, tool
 
 WORDS = re.compile(r"[^\W\d_]+")
-BLOCK = 32
-#: Longest piece, in characters with the space mark.
-LONGEST = 16
-#: A position's probability is scaled by this, so that products stay within a double's range.
-SCALE = 12.0
-GROUP_CHARS, TABLE_ROWS, COUNT_ROWS = 4_000_000, 400_000, 200_000
+#: A position's probability is scaled by this, and sums anew after so many positions, to stay within a double's range.
+SCALE, RESCALE = 12.0, 24
+#: Characters of a word that are taken at once; when learning, with so many more on either side that do not count.
+SLICE, MARGIN = 4096, 256
+GROUP_CHARS, COUNT_ROWS = 1_000_000, 200_000
+#: Numbers (characters by languages) that a sum works on, and that the table of words holds.
+CELLS, TABLE_CELLS = 500_000, 8_000_000
 UNKNOWN = "und"
-#: Languages that a model may hold: it is sent to every task.
-MOST_LANGUAGES = 1000
+#: Bytes of a model, which is sent to every task: pieces by languages.
+MODEL_BYTES = 1 << 30
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def letters(text: str) -> list[str]:
-    words = WORDS.findall(text.lower())
-    return words if all(len(w) <= BLOCK for w in words) else [w[i : i + BLOCK] for w in words for i in range(0, len(w), BLOCK)]
+    return WORDS.findall(text.lower())
 
 
 class Trellis:
@@ -80,10 +82,10 @@ class Trellis:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, at, -1)
 
-    def arcs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(from node, to node, piece) of all arcs, the first node of each word and its length with mark.
-        A word of n characters has n + 1 nodes in a row."""
-        marked = ["▁" + w for w in words]
+    def arcs(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(from node, to node, piece) of all arcs, the first node of each word and its length. The words
+        have their space marks already. A word of n characters has n + 1 nodes in a row."""
+        words = marked
         sizes = np.array([len(w) for w in marked], np.int64)
         codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
         first_char = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(words) else sizes
@@ -115,39 +117,117 @@ class Trellis:
 
     def forward(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """log probability of each word under each column of ``probs`` (pieces x languages)."""
-        start, end, piece, first, sizes = self.arcs(words)
-        total = self.run(start, end, piece, first, sizes, probs)[first + sizes]
-        return np.log(np.maximum(total, 1e-300)) - (sizes * np.log(SCALE))[:, None]
+        out = np.zeros((len(words), probs.shape[1]))
+        group, size = [], 0
+        for i, w in enumerate(words):
+            if len(w) >= SLICE:
+                out[i] = self._long("▁" + w, probs)
+                continue
+            group.append(i)
+            size += (len(w) + 2) * probs.shape[1]
+            if size > CELLS:
+                self._forward(words, group, probs, out)
+                group, size = [], 0
+        self._forward(words, group, probs, out)
+        return out
 
-    def run(self, start, end, piece, first, sizes, probs) -> np.ndarray:
-        """Forward sums at every node; probabilities scaled by SCALE for each character."""
+    def _forward(self, words: list[str], group: list[int], probs: np.ndarray, out: np.ndarray) -> None:
+        if group:
+            start, end, piece, first, sizes = self.arcs(["▁" + words[i] for i in group])
+            alpha, shift = self.run(start, end, piece, first, sizes, probs)
+            out[group] = np.log(alpha[first + sizes]) + shift[first + sizes] - (sizes * np.log(SCALE))[:, None]
+
+    def _long(self, marked: str, probs: np.ndarray) -> np.ndarray:
+        """The same for one long word, slice by slice: the sums before a slice's first characters are handed on."""
+        reach = len(self.by_length)
+        before, shift = np.ones((1, probs.shape[1])), np.zeros(probs.shape[1])  # sums at the nodes up to the slice's start
+        for at in range(0, len(marked), SLICE):
+            lead = len(before) - 1
+            part = marked[at - lead : at + SLICE]
+            start, end, piece, first, sizes = self.arcs([part])
+            fresh = end > lead
+            alpha, moved = self.run(start[fresh], end[fresh], piece[fresh], first, sizes, probs, before)
+            tail = alpha[-reach:] if len(part) >= reach else alpha
+            before = tail / tail[-1] * np.exp(moved[-len(tail) :] - moved[-1])  # all by the last one
+            shift = shift + moved[-1] + np.log(tail[-1])
+        return shift - len(marked) * np.log(SCALE)
+
+    def run(self, start, end, piece, first, sizes, probs, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Forward sums at every node, and the logs of their scales: probabilities are scaled by SCALE for each
+        character, sums by their word's last sum every RESCALE characters. ``before``: the sums at the first
+        nodes, which are then given."""
         nodes = int(first[-1] + sizes[-1] + 1) if len(first) else 0
-        alpha = np.zeros((nodes, probs.shape[1]))
-        alpha[first] = 1.0
-        depth = np.zeros(nodes, np.int64)
-        depth[:] = np.arange(nodes) - np.repeat(first, sizes + 1)
+        alpha, shift = np.zeros((nodes, probs.shape[1])), np.zeros((nodes, probs.shape[1]))
+        given = 1
+        if before is None:
+            alpha[first] = 1.0
+        else:
+            given = len(before)
+            alpha[:given] = before
+        depth = np.arange(nodes) - np.repeat(first, sizes + 1)
         weight = probs[piece] * (SCALE ** (end - start))[:, None]
         order = np.lexsort((end, depth[end]))
         start, end, weight = start[order], end[order], weight[order]
-        cuts = np.searchsorted(depth[end], np.arange(1, int(sizes.max(initial=0)) + 2))
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        longest = int(sizes.max(initial=0))
+        cuts = np.searchsorted(depth[end], np.arange(1, longest + 2))
+        reach, scale = len(self.by_length), np.zeros((len(first), probs.shape[1]))
+        for d, lo, hi in zip(range(1, longest + 1), cuts[:-1], cuts[1:], strict=True):
             if lo < hi:
                 into = np.flatnonzero(np.r_[True, np.diff(end[lo:hi]) > 0])
                 alpha[end[lo:hi][into]] = np.add.reduceat(alpha[start[lo:hi]] * weight[lo:hi], into, axis=0)
-        return alpha
+            if longest > RESCALE and d >= given:
+                going = np.flatnonzero(sizes >= d)
+                at = first[going] + d
+                shift[at] = scale[going]
+                if d % RESCALE == 0:
+                    by = alpha[at]
+                    scale[going] += np.log(by)
+                    for back in range(min(reach, d + 1)):  # the sums that later ones are made of
+                        alpha[at - back] /= by
+                        shift[at - back] = scale[going]
+        return alpha, shift
 
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """Expected uses of each piece (pieces x languages) in words of these counts (words x languages),
         under one model ``probs`` (pieces)."""
-        start, end, piece, first, sizes = self.arcs(words)
-        alpha = self.run(start, end, piece, first, sizes, probs[:, None])[:, 0]
+        out = np.zeros((len(self.pieces), counts.shape[1]))
+        group: list[str] = []
+        owner: list[int] = []
+        core: list[tuple[int, int]] = []  # the positions whose pieces count
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if group:
+                out.__iadd__(self._expected(group, counts[owner], probs, np.array(core)))
+            for x in (group, owner, core):
+                x.clear()
+            size = 0
+
+        for i, w in enumerate(words):
+            marked = "▁" + w
+            for at in range(0, len(marked), SLICE):
+                lo, hi = max(0, at - MARGIN), min(len(marked), at + SLICE + MARGIN)
+                group.append(marked[lo:hi])
+                owner.append(i)
+                core.append((at - lo, min(len(marked), at + SLICE) - lo))
+                size += hi - lo + 1
+                if size > CELLS // 8:
+                    flush()
+        flush()
+        return out
+
+    def _expected(self, marked: list[str], counts: np.ndarray, probs: np.ndarray, core: np.ndarray) -> np.ndarray:
+        start, end, piece, first, sizes = self.arcs(marked)
+        alpha, up = (x[:, 0] for x in self.run(start, end, piece, first, sizes, probs[:, None]))
         # backward: the same sums over the mirrored nodes
         nodes = len(alpha)
         mirror = np.repeat(2 * first + sizes, sizes + 1) - np.arange(nodes)
-        beta = self.run(mirror[end], mirror[start], piece, first, sizes, probs[:, None])[:, 0][mirror]
-        word = np.repeat(np.arange(len(words)), sizes + 1)[start]
-        total = np.maximum(alpha[first + sizes], 1e-300)
-        share = alpha[start] * probs[piece] * SCALE ** (end - start) * beta[end] / total[word]
+        beta, down = (x[:, 0][mirror] for x in self.run(mirror[end], mirror[start], piece, first, sizes, probs[:, None]))
+        word = np.repeat(np.arange(len(marked)), sizes + 1)[start]
+        last = (first + sizes)[word]
+        inside = (start - first[word] >= core[word, 0]) & (start - first[word] < core[word, 1])
+        share = inside * alpha[start] * probs[piece] * SCALE ** (end - start) * beta[end] / alpha[last] * np.exp(up[start] + down[end] - up[last])
         return np.stack([np.bincount(piece, share * counts[word, k], minlength=len(self.pieces)) for k in range(counts.shape[1])], axis=1)
 
 
@@ -159,7 +239,7 @@ def vocabulary(model_path: str) -> tuple[list[str], np.ndarray]:
     pieces, weights = [""], [1e-4]
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and len(p) <= LONGEST and p == p.lower():
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and p == p.lower():
             body = p.removeprefix("▁")
             if not body or WORDS.fullmatch(body):
                 pieces.append(p)
@@ -198,10 +278,9 @@ def learn(docs: DataFrame, model_path: str, lang_col: str = "lang", text_col: st
             counts = np.zeros((len(words), len(seen)))
             for k, own in enumerate(seen.values()):
                 counts[np.fromiter(map(place.__getitem__, own), np.int64, len(own)), k] = np.fromiter(own.values(), float, len(own))
-            for lo in range(0, len(words), 20_000):
-                part = lattice.expected(words[lo : lo + 20_000], counts[lo : lo + 20_000], first)
-                for k, lang in enumerate(seen):
-                    sums[lang] = sums.get(lang, 0.0) + part[:, k]
+            part = lattice.expected(words, counts, first)
+            for k, lang in enumerate(seen):
+                sums[lang] = sums.get(lang, 0.0) + part[:, k]
             seen.clear()
 
         for batch in batches:
@@ -221,9 +300,9 @@ def learn(docs: DataFrame, model_path: str, lang_col: str = "lang", text_col: st
     counted = texts.mapInArrow(count, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
     rows = counted.toPandas()  # a row for each language and piece
     languages = sorted(rows["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     pieces, first = vocabulary(model_path)
+    if 8 * len(pieces) * len(languages) > MODEL_BYTES:
+        raise ValueError(f"{len(languages)} languages: their model has over {MODEL_BYTES} bytes")
     uses = np.zeros((len(pieces), len(languages)))
     uses[rows["piece"].to_numpy(), rows["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(int)] = rows["uses"].to_numpy()
     # a little of the first model keeps every piece possible
@@ -238,6 +317,7 @@ class Predictor:
 
     def renew(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0  # characters
         self.logs = np.zeros((0, len(self.model.languages)))
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
@@ -252,7 +332,7 @@ class Predictor:
         return {"lang_pred": labels, "score": scores}
 
     def _group(self, texts: list[str | None], labels: list[str], scores: list[float]) -> None:
-        if len(self.number) > TABLE_ROWS:
+        if len(self.number) * (20 + len(self.model.languages)) > TABLE_CELLS or self.held > 8 * TABLE_CELLS:
             self.renew()
         number, known = self.number, len(self.number)
         rows = []
@@ -264,8 +344,8 @@ class Predictor:
                 rows.append(None)
         fresh = list(number)[known:] if len(number) > known else []
         if fresh and self.model.languages:
-            logs = [self.lattice.forward(fresh[lo : lo + 20_000], self.model.probs) for lo in range(0, len(fresh), 20_000)]
-            self.logs = np.concatenate([self.logs, *logs])
+            self.held += sum(map(len, fresh))
+            self.logs = np.concatenate([self.logs, self.lattice.forward(fresh, self.model.probs)])
         for own in rows:
             if own is None or not self.model.languages:
                 labels.append(UNKNOWN)

@@ -45,8 +45,51 @@ def test_forward_and_expectation_equal_enumeration():
     assert np.allclose(trellis.expected(words, np.arange(1.0, 7)[:, None], probs)[:, 0], uses)
 
 
-def test_long_words_go_in_blocks():
-    assert L.letters("A" * 70 + " b2c") == ["a" * 32, "a" * 32, "a" * 6, "b", "c"]
+def forward_plainly(trellis, word, probs):
+    """log of the sum over all segmentations, a position at a time."""
+    number = {p: i for i, p in enumerate(trellis.pieces)}
+    text, reach = "▁" + word, len(trellis.by_length)
+    logs = [0.0]
+    for j in range(1, len(text) + 1):
+        into = []
+        for i in range(max(0, j - reach), j):
+            piece = number.get(text[i:j]) or (0 if j - i == 1 else None)
+            if piece is not None:
+                into.append(logs[i] + np.log(probs[piece]))
+        logs.append(np.logaddexp.reduce(into))
+    return logs[-1]
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    trellis, probs = L.trellis(PIECES)
+    other = np.random.default_rng(1).dirichlet(np.ones(len(probs)))
+    words = ["thereandhere" * 5, "漢" * 300, "über" * 200, "zq" * 700 + "the", "a"]
+    want = [[forward_plainly(trellis, w, p) for p in (probs, other)] for w in words]
+    assert np.allclose(trellis.forward(words, np.stack([probs, other], 1)), want)
+    uses = trellis.expected(words, np.ones((5, 1)), probs)
+    monkeypatch.setattr(L, "SLICE", 100)
+    assert np.allclose(trellis.forward(words, np.stack([probs, other], 1)), want)
+    assert np.allclose(trellis.expected(words, np.ones((5, 1)), probs), uses, atol=1e-6)
+    assert L.letters("A" * 70 + " b2c") == ["a" * 70, "b", "c"]
+
+
+def test_predictions_equal_brute_force(spark):
+    """The whole query on a small table: learned uses by enumeration, scores by plain sums."""
+    docs = [(1, "the thing of the other", "en"), (2, "der und die nicht", "de"), (3, "the und of die", None)]
+    model = L.learn(spark.createDataFrame(docs, "doc_id long, text string, lang string"), PIECES)
+    trellis, first = L.trellis(PIECES)
+    for k, (lang, text) in enumerate([("de", docs[1][1]), ("en", docs[0][1])]):
+        uses = np.zeros(len(first))
+        for w in text.split():
+            all_cuts = cuts(trellis, w, first)
+            total = sum(p for _, p in all_cuts)
+            for pieces, p in all_cuts:
+                for piece in pieces:
+                    uses[piece] += p / total
+        assert model.languages[k] == lang and np.allclose(model.probs[:, k], 0.95 * uses / uses.sum() + 0.05 * first)
+    for r in L.predict(spark.createDataFrame(docs, "doc_id long, text string, lang string"), model, PIECES).collect():
+        logs = [sum(forward_plainly(trellis, w, model.probs[:, k]) for w in r.text.split()) for k in (0, 1)]
+        assert r.lang_pred == model.languages[int(np.argmax(logs))] and np.isclose(r.score, 1 / (1 + np.exp(min(logs) - max(logs))))
 
 
 def test_held_out_accuracy_and_inputs(spark):
