@@ -10,13 +10,18 @@ the three encodings. If no window agrees, the pair is encoded as a whole.
 
 The tokenizer is a file of the tokenizers library with a lower-casing BPE of word ends. Its merges are
 the library's own; splitting into words, the memo of words, leaves, windows and joins are made here.
+Text with a code point that Python's tables don't know (a newer one, or none) is normalised and split
+into words by the library's own parts, as its tables may differ there.
 
 Null text counts as empty: no tokens, decoded to the empty text. Special tokens' strings inside a text
-give their ids, as by the library's default. Repeated rows of one id are each returned.
+give their ids, as by the library's default. Repeated rows of one id are each returned. Texts of any
+length are encoded whole. Only the id column is kept, so other columns can't clash.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator, Sequence
 from itertools import chain
 from typing import NamedTuple
@@ -51,6 +56,13 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def unknown_letters() -> re.Pattern:
+    """Any code point that has no meaning in Python's Unicode tables."""
+    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]
+    ranges = [f"{chr(c)}-" if a else chr(c - 1) for c, (a, b) in enumerate(zip([*unknown, False], [False, *unknown], strict=True)) if a != b]
+    return re.compile(f"[{''.join(ranges)}]")
+
+
 class Half(NamedTuple):
     """A stretch of normalised text from byte ``base`` on, its ids, and the bytes where its first and its
     last tokens start (of as many tokens as are listed)."""
@@ -71,6 +83,8 @@ class TreeEncoder:
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special_split = regex.compile("|".join(map(regex.escape, self.specials)))
         self.letters = byte_letters()
+        self.unknown = unknown_letters()
+        self.library_normal, self.library_words = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         vocab = tokenizer.get_vocab()
         self.tokens = [""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -80,8 +94,17 @@ class TreeEncoder:
 
     # Text to tokens.
 
+    def is_odd(self, text: str) -> bool:
+        return not text.isascii() and self.unknown.search(text) is not None
+
+    def places(self, normal: str) -> list[tuple[int, int]]:
+        """Start and end of each word of a normalised text."""
+        return [place for _, place in self.library_words(normal)] if self.is_odd(normal) else [m.span() for m in WORDS.finditer(normal)]
+
     def normalise(self, text: str) -> str:
         """NFC and lower case, letter by letter (no final sigma). White space stays: it only separates."""
+        if self.is_odd(text):
+            return self.library_normal(text)
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
@@ -95,6 +118,8 @@ class TreeEncoder:
 
     def plain_ids(self, normal: str) -> list[int]:
         """Ids of a normalised text, whole."""
+        if self.is_odd(normal):
+            return [i for lo, hi in self.places(normal) for i in self.word_ids(normal[lo:hi])]
         chunks = [c for c in BLANKS.split(normal) if c] if SEPARATORS.search(normal) else normal.split()
         return list(chain.from_iterable(map(self.memo.__getitem__, chunks)))
 
@@ -104,11 +129,12 @@ class TreeEncoder:
         starts: list[int] = []
         words: list[tuple[int, int, str]] = []
         at, place = 0, base
-        for m in WORDS.finditer(normal):
-            place += len(normal[at : m.start()].encode())
-            at = m.end()
-            first, word = len(ids), m.group()
-            for i in self.memo[word]:
+        odd = self.is_odd(normal)
+        for lo, hi in self.places(normal):
+            place += len(normal[at:lo].encode())
+            at = hi
+            first, word = len(ids), normal[lo:hi]
+            for i in self.word_ids(word) if odd else self.memo[word]:
                 ids.append(i)
                 starts.append(place)
                 place += self.sizes[i]

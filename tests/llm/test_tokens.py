@@ -45,6 +45,26 @@ def test_joins_use_windows_not_whole_texts(library):
     assert max(whole) <= 4096
 
 
+def test_every_code_point_is_encoded_as_by_the_library(library):
+    """Also those that are unassigned or newer than Python's tables, alone and next to letters, digits, marks."""
+    encoder = bpe_tree.TreeEncoder(WORD_BPE)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}b {c} {c}'s 1{c}" for c in points[i : i + 16]) for i in range(0, len(points), 16)]
+    for lo in range(0, len(texts), 5000):
+        for text, want in zip(texts[lo : lo + 5000], library.encode_batch(texts[lo : lo + 5000], add_special_tokens=False), strict=True):
+            assert encoder.encode(text) == want.ids, ascii(text)
+        encoder.memo.clear()
+
+
+def test_unknown_code_points_in_a_tree(library):
+    encoder, rng = bpe_tree.TreeEncoder(WORD_BPE, first_window=8), random.Random(12)
+    for _ in range(150):
+        text = "".join(rng.choice([*PARTS, "\u0378", "\ua7cb", "\U0001c400", "\u1c89"]) for _ in range(rng.randrange(80)))
+        want = library.encode(text, add_special_tokens=False).ids
+        for leaf in (7, 30, 10**9):
+            assert encoder.encode(text, leaf) == want, (leaf, text)
+
+
 def rows_of(df):
     return Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in df.collect())
 
