@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and guess costs of values that stand in a credential's place.
 
 A value behind a word like "password" is cut into the segments that make it cheapest to guess: common
-words (also in leet spelling or capitals), dates, repeats, keyboard walks, and brute force for what is
+passwords and words (also in leet spelling or capitals; the words and their ranks are those of a public
+vocabulary), dates, repeats, keyboard walks, and brute force for what is
 left. Dynamic programming finds the cheapest cut of the whole value exactly. The cost is log10 of the guesses; a value
 that costs enough is reported as a secret of kind ``guess``. The fixed kinds are always reported.
 
-Null text counts as empty: no spans. Spans are code points, end exclusive, over the whole text.
+Null text counts as empty: no spans. Spans are code points, end exclusive, over the whole text, however
+long; repeated rows are each scanned. Other columns stay, but one named like the output is replaced.
 """
 
 from __future__ import annotations
 
-import functools
+import base64
 import math
 import re
 from collections.abc import Iterable
@@ -18,7 +20,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, tool
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -48,6 +50,13 @@ LEET = str.maketrans("4@83610!57$", "aabegiolsts")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:[12]\d|3[01]|0?[1-9])|(?:[12]\d|3[01]|0?[1-9])[-/.]?(?:0?[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
 
 
+def vocabulary_words(byte_ranks: str) -> list[str]:
+    """The lower-case words of three letters or more among a vocabulary's pieces that begin a word, most frequent first."""
+    with open(byte_ranks, "rb") as f:
+        ranked = sorted((int(rank), base64.b64decode(piece)) for piece, rank in map(bytes.split, f))
+    return [w.decode() for _, piece in ranked if piece[:1] == b" " and len(w := piece[1:]) >= 3 and w.isalpha() and w.islower()]
+
+
 class GuessCost:
     def __init__(self, words: Iterable[str] = COMMON):
         self.rank = {}
@@ -182,8 +191,9 @@ class GuessCost:
 
 
 class Scanner:
-    def __init__(self, least_cost: float = 10.0, words: Iterable[str] = COMMON):
-        self.cost, self.least_cost = GuessCost(words), least_cost
+    def __init__(self, least_cost: float = 10.0, words: Iterable[str] = ()):
+        """``words``: further than the common passwords, most frequent first."""
+        self.cost, self.least_cost = GuessCost([*COMMON, *words]), least_cost
 
     def scan(self, text: str | None) -> list[tuple[str, int, int, float]]:
         """(kind, start, end, cost) by start, then kind; the cost of a fixed kind is that of its value."""
@@ -208,17 +218,16 @@ class Scanner:
         return {"found": [[{"kind": k, "start": a, "end": b, "log10_guesses": c} for k, a, b, c in self.scan(t)] for t in texts]}
 
 
-@functools.cache
-def scanner(least_cost: float) -> Scanner:
-    return Scanner(least_cost)
+def scanner(least_cost: float, byte_ranks: str | None) -> Scanner:
+    return tool(("scanner", least_cost, byte_ranks), lambda: Scanner(least_cost, vocabulary_words(byte_ranks) if byte_ranks else ()))
 
 
 SCHEMA = "found array<struct<kind:string,start:int,end:int,log10_guesses:double>>"
 
 
-def scan_secrets(docs: DataFrame, least_cost: float = 10.0, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``found``: the spans of each text."""
-    return map_texts(docs, lambda: scanner(least_cost).columns, SCHEMA, text_col, keep)
+def scan_secrets(docs: DataFrame, byte_ranks: str | None = None, least_cost: float = 10.0, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``found``: the spans of each text. ``byte_ranks``: a file of ranked pieces, for the words."""
+    return map_texts(docs, lambda: scanner(least_cost, byte_ranks).columns, SCHEMA, text_col, keep)
 
 
 def span_digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
