@@ -160,6 +160,16 @@ def test_long_values_are_taken_whole(n):
         assert cost(cheap)[0] < 10 and not secret_scan.Scanner().scan(f"the secret is {cheap} ")
 
 
+def test_words_of_a_public_vocabulary_make_a_passphrase_cheap():
+    words = secret_scan.vocabulary_words(queries.BYTE_RANKS)
+    assert len(words) > 10_000 and words[0] == "the" and all(w == w.lower() for w in words)
+    g = secret_scan.GuessCost([*secret_scan.COMMON, *words])
+    for value, cut in (("correcthorsebatterystaple", ["correct", "horse", "battery", "staple"]), ("thequickbrownhorse", ["the", "quick", "brown", "horse"])):
+        assert [value[i:j] for i, j, kind in g.cheapest(value)[1] if kind == "word"] == cut
+        assert g.cheapest(value)[0] < secret_scan.GuessCost().cheapest(value)[0]
+    assert g.cheapest("xK9#mQ2$vL7!pR4&")[0] > 20
+
+
 def test_guess_cost_orders_values():
     cost = lambda v: secret_scan.GuessCost().cheapest(v)[0]
     values = ["password", "P@ssw0rd2020", "qwertyuiop12", "xK9#mQ2$vL7!"]
@@ -214,6 +224,26 @@ def test_one_list_serves_many_calls(spark):
         assert url_filter.judge_urls(pages, layers()).first().said == "allow"
 
 
+def test_lists_may_be_tables(spark, monkeypatch):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    tables = [spark.createDataFrame(list(x), "entry string, verdict string") for x in layers()]
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(url_filter.judge_urls(pages, layers()))
+    assert rows(url_filter.judge_urls(pages, tables)) == want
+    monkeypatch.setattr(url_filter, "MAX_BYTES", 100)
+    assert rows(url_filter.judge_urls(pages, tables)) == want
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(pages, [spark.createDataFrame([("a.b", "maybe")], "entry string, verdict string")])
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 500_000 + "x.org/es/1", "http://x.com/en/" + "p/" * 500_000, "http://" + "h" * 1_000_000, "http://" + "." * 1_000_000 + "spam-farm.example.org"]
+    assert max(len(url_filter.candidates(*url_filter.split_url(u), [0, 4], 3)) for u in urls) <= 6
+    out = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), layers()).collect()
+    want = [judge_plainly(u, queries.URL_RULES, url_filter.BLOCKED_HOSTS) for u in urls]
+    assert [(r.host, r.path, r.fits if r.layer == 0 else None, r.said) for r in sorted(out, key=lambda r: r.page_id)] == want
+
+
 def test_urls_of_an_empty_table_and_bad_entries(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string"), layers()).collect() == []
     with pytest.raises(ValueError):
