@@ -57,13 +57,37 @@ def test_lines(spark, batches, fanout):
 
 
 def test_runs_are_disjoint_and_levelled(spark):
-    runs = line_dedup.LineRuns(spark, "bigint", fanout=2)
+    runs = line_dedup.LineRuns(spark, fanout=2)
     for k in range(5):
-        runs.add(spark.createDataFrame([(h, h, 1, k) for h in range(k, k + 10)], "h1 long, h2 long, n_docs long, max_doc long"))
+        runs.add(line_dedup.batch_run(spark.createDataFrame([(h, h, d) for h in range(k, k + 10) for d in (k, 10 + k)], "h1 long, h2 long, doc long")))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
-    held = runs._read([p for level in runs.levels for p in level])
-    assert held.count() == held.select("h1").distinct().count() == 14
-    assert {(r.h1, r.n_docs, r.max_doc) for r in runs.counted().collect()} == {(h, len(k := [k for k in range(5) if k <= h < k + 10]), max(k)) for h in range(14)}
+    held = [r.h1 for level in runs.levels for name in level for r in spark.table(name).collect()]
+    assert len(held) == len(set(held)) == 14
+    assert {(r.h1, r.n_docs, r.max_doc) for r in runs.counted().collect()} == {(h, 2 * len(k := [k for k in range(5) if k <= h < k + 10]), 10 + max(k)) for h in range(14)}
+    runs.drop()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith(runs.name)]
+
+
+def test_runs_are_joined_without_a_shuffle(spark):
+    runs = line_dedup.LineRuns(spark, fanout=4)
+    for k in range(2):
+        runs.add(line_dedup.batch_run(spark.createDataFrame([(h, h, k) for h in range(100)], "h1 long, h2 long, doc long")))
+    a, b = (spark.table(n) for n in (*runs.levels[0],))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for joined in (a.join(b.select("h1", "h2"), ["h1", "h2"], "left_anti"), runs._merged([*runs.levels[0]])):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        runs.drop()
+
+
+def test_one_text_of_very_many_lines(spark):
+    many = "\n".join([LINE] * 20_000 + [f"a line of its own, of more than forty characters, number {k}" for k in range(20_000)])
+    rows = [(1, many), (1, "another text of the same id\n" + LINE), *[(10 + k, LINE) for k in range(5)], (None, many)]
+    out = {(r.doc_id, r.n_lines, r.n_dropped, len(r.text or "")) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {(i, n, d, len(t)) for i, n, d, t in lines_plainly(rows)}
 
 
 def test_lines_of_an_empty_table(spark):
