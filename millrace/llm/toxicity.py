@@ -1,20 +1,24 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon words and word starts. A short fixed lexicon is always there; more entries are
-induced from labelled texts: words and word starts that toxic texts hold far oftener than others. A
-voter fires on a text where its entry is frequent enough. A generative label model then treats the
-true class as hidden and estimates, by expectation maximisation over the votes of all texts, how often
-each voter fires on either class (its accuracies); given labels take part as one more voter that may
-err. From the joint firings of each pair it estimates the voters' correlations, and voters that repeat
-each other count for less. Its posteriors are the targets of a linear (logistic) classifier, fitted on
-a bounded sample, and the classifier scores every text.
-
-What reaches the driver: counts for each voter and each pair of voters, and features of at most
-``sample_rows`` labelled texts. Votes are counted over all texts.
-
-Null and empty texts get the score of a text without any entry. Label rows without a class, or for
-unknown ids, teach nothing; an id labelled twice counts as toxic if it once is. Without a toxic and a
-clean label, the fixed lexicon alone decides.
+Voters are lexicon words, word starts and patterns. A short fixed lexicon and the patterns (its words
+spelled out or masked, abusive phrases) are always there; more entries are induced from labelled texts:
+words and word starts that toxic texts hold far oftener than others, counted over all labelled texts.
+Entries of some support are voters of their own; the rarer ones, if a test tells them from chance, vote
+together, in a voter for each band of strength, so none is left out for number. A voter fires on a text where its
+entries are frequent enough. A generative label model then treats the true class as hidden and
+estimates, by expectation maximisation over the votes of all texts, how often each voter fires on either
+class (its accuracies); given labels take part as one more voter that may err. From the joint firings of
+each pair it estimates the voters' correlations, and voters that repeat each other count for less. Its
+posteriors are the targets of a linear (logistic) classifier, fitted on a bounded sample, and the
+classifier scores every text.
+
+What reaches the driver: the significant entries, counts for each voter and each pair of voters, and
+features of at most ``sample_rows`` labelled texts. Entries and votes are counted over all texts.
+
+Null and empty texts get the score of a text without any entry. Very long texts are read whole. Label
+rows without a class, or for unknown ids, teach nothing; an id labelled twice counts as toxic if it once
+is; repeated rows each count. Without a toxic and a clean label, the fixed voters alone decide. Other
+columns stay, but one named like the output is replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
-from .common import Memo, map_texts, ship
+from ..scratch import remove_tables, written
+from .common import Memo, map_texts, release, ship
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
@@ -41,8 +45,17 @@ LEXICON = (
     "idiot moron stupid dumb loser trash scum clown pathetic worthless disgusting garbage filth vermin imbecile retard "
     "bastard bitch asshole whore slut jerk creep freak"
 ).split()
+# Common English abuse of several words.
+PHRASES = ("shut up", "go to hell", "drop dead", "kill yourself", "piece of shit", "son of a", "hate you", "you make me sick", "nobody likes you", "waste of space")
+SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._*-]){3,}[^\W_](?![^\W_])")
+MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[*@!$01345]+[^\W\d_]+")
+UNMASK = str.maketrans("@!$01345", "aisoieas")
 SAMPLE_ROWS = 20_000
-MOST_VOTERS = 64
+#: An entry's toxic share over its clean share at least, and toxic texts that hold it.
+LEAST_LIFT, LEAST_TEXTS = 6.0, 3
+#: Share of the toxic texts that an entry needs for a voter of its own; the test value (G squared) against
+#: chance of the others, which are many more, and their bands of lift.
+OWN_SHARE, LEAST_TEST, BANDS = 0.02, 25.0, (6.0, 20.0, 60.0)
 ROUNDS = 6
 
 
@@ -51,8 +64,26 @@ def entries_of(word: str) -> list[str]:
     return ["=" + word, *["^" + word[:k] for k in PREFIXES if k < len(word)]]
 
 
+def _known(word: str) -> bool:
+    """Whether a masked word can be one of the lexicon: letters for signs, or any letter for an asterisk."""
+    if "*" not in word:
+        return word.translate(UNMASK) in LEXICON
+    return any(len(w) == len(word) and all(a in ("*", b) for a, b in zip(word, w, strict=True)) for w in LEXICON)
+
+
+def patterns_in(lower: str) -> list[str]:
+    """Names of the patterns, once for each place in a lower-case text."""
+    out = [f"~{p}" for p in PHRASES if p in lower]
+    out += ["~spelled" for m in SPELLED.finditer(lower) if re.sub(r"[ ._*-]", "", m[0]) in LEXICON]
+    return out + ["~masked" for m in MASKED.finditer(lower) if _known(m[0])]
+
+
+PATTERNS = ("~spelled", "~masked", *[f"~{p}" for p in PHRASES])
+
+
 @dataclass(frozen=True)
 class Voter:
+    #: "=word", "^word start", "~pattern", or "+band"
     entry: str
     least_hits: int = 1
     #: hits for each word
@@ -64,13 +95,18 @@ class Voter:
 class Hits:
     """Counts of the voters' entries in a text."""
 
-    def __init__(self, voters: Sequence[Voter]):
-        place = {v.entry: i for i, v in enumerate(voters)}
-        self.memo = Memo(lambda w: tuple([place[e] for e in entries_of(w) if e in place]))
+    def __init__(self, voters: Sequence[Voter], pooled: dict[str, int] | None = None):
+        """``pooled``: the rarer entries, each with its voter."""
+        place = {v.entry: i for i, v in enumerate(voters)} | (pooled or {})
+        self.place = place
+        self.memo = Memo(lambda w: tuple({place[e] for e in entries_of(w) if e in place}))
 
     def count(self, text: str | None) -> tuple[dict[int, int], int]:
-        words = WORDS.findall(text.lower()) if text else []
+        lower = text.lower() if text else ""
+        words = WORDS.findall(lower)
         hits = Counter(chain.from_iterable(map(self.memo.__getitem__, words)))
+        for name in patterns_in(lower):
+            hits[self.place[name]] += 1
         self.memo.trim()
         return hits, len(words)
 
@@ -78,6 +114,8 @@ class Hits:
 @dataclass
 class Model:
     voters: list[Voter]
+    #: the rarer entries, each with its voter
+    pooled: dict[str, int]
     #: of the label model: fires on toxic, fires on clean, share of toxic texts, discounts
     accuracies: np.ndarray
     prior: float
@@ -113,89 +151,109 @@ def features(voters: Sequence[Voter], hits: dict[int, int], n_words: int) -> np.
 # Voters.
 
 
-def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, rows: int) -> DataFrame:
-    """Labelled texts (toxic int, text string), at most ``rows``, chosen by a hash of the id."""
-    known = labels.filter("toxic is not null").groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    # broadcast: at most ``rows`` ids and labels
-    picked = docs.select(F.col(id_col), F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(chosen), id_col)
-    return written(picked.select(F.col("toxic").cast("int").alias("toxic"), "text"), "toxic-sample")
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Labelled texts (id, toxic int, text string)."""
+    known = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+    return texts.join(known, "id")
 
 
-def _entry_counts(sample: DataFrame, wanted: set[str] | None) -> DataFrame:
-    """For each entry: texts that hold it, texts that hold it often, and all its hits."""
+def _entry_counts(labelled: DataFrame) -> DataFrame:
+    """For each entry and class: texts that hold it, texts that hold it often, and all its hits. The entry ""
+    counts texts and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, often, every = Counter(), Counter(), Counter()
+        counts = {c: (Counter(), Counter(), Counter()) for c in (0, 1)}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hits, held, often = counts[int(toxic > 0)]
                 words = Counter(WORDS.findall(text.lower()))
                 total = sum(words.values())
                 own: Counter = Counter()
                 for w, n in words.items():
                     for e in entries_of(w):
-                        if wanted is None or e in wanted:
-                            own[e] += n
-                every.update(own)
+                        own[e] += n
+                own[""] = total
+                hits.update(own)
                 held.update(own.keys())
                 often.update([e for e, n in own.items() if n >= 2 and n >= 0.004 * total])
-            if len(every) > 500_000:
-                yield _counted(every, held, often)
-                held, often, every = Counter(), Counter(), Counter()
-        if every:
-            yield _counted(every, held, often)
-
-    counts = sample.select("text").mapInArrow(run, "entry string, n_hits long, n_held long, n_often long")
-    return counts.groupBy("entry").agg(F.sum("n_hits").alias("n_hits"), F.sum("n_held").alias("n_held"), F.sum("n_often").alias("n_often"))
-
-
-def _counted(every: Counter, held: Counter, often: Counter) -> pa.RecordBatch:
-    names = list(every)
-    return pa.RecordBatch.from_pydict({
-        "entry": pa.array(names, pa.string()), "n_hits": pa.array([every[e] for e in names], pa.int64()),
-        "n_held": pa.array([held[e] for e in names], pa.int64()), "n_often": pa.array([often[e] for e in names], pa.int64()),
-    })
-
-
-def induce_voters(sample: DataFrame, most: int = MOST_VOTERS, candidates: int = 4000) -> list[Voter]:
-    """The fixed lexicon and the entries that tell toxic texts best."""
-    n_words = F.size(F.split("text", r"\s+"))
-    size = {r.toxic: (r.n, max(1, r.words)) for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.sum(n_words).alias("words")).collect()}
-    fixed = [Voter("=" + w) for w in LEXICON]
-    if 1 not in size or 0 not in size:
-        return fixed
-    (n_tox, words_tox), (n_clean, words_clean) = size[1], size[0]
-    least = max(3, 0.005 * n_tox)
-    tox = _entry_counts(sample.filter("toxic = 1"), None).filter(F.col("n_held") >= least)
-    tox = tox.orderBy(F.desc("n_often"), F.desc("n_held"), "entry").limit(candidates).toPandas().set_index("entry")
-    clean = _entry_counts(sample.filter("toxic = 0"), set(tox.index)).toPandas().set_index("entry")
-    found = []
-    for e, t in tox.iterrows():
-        c = clean.loc[e] if e in clean.index else Counter()
-        rates = max(t.n_hits, 0.5) / words_tox, max(c["n_hits"], 0.5) / words_clean
-        for column, least_hits, least_rate in (("n_held", 1, 0.0), ("n_often", 2, 0.004)):
-            p, q = (t[column] + 0.5) / (n_tox + 1), (c[column] + 0.5) / (n_clean + 1)
-            found.append((p * math.log(p / q) if p > 6 * q else 0.0, e, int(t[column]), Voter(e, least_hits, least_rate, *rates)))
+                if len(hits) > 200_000:
+                    yield _counted(int(toxic > 0), *counts[int(toxic > 0)])
+                    for c in counts[int(toxic > 0)]:
+                        c.clear()
+        for c, (hits, held, often) in counts.items():
+            if hits:
+                yield _counted(c, hits, held, often)
+        release()
+
+    counts = labelled.select("toxic", "text").mapInArrow(run, "entry string, toxic int, hits long, held long, often long")
+    return counts.groupBy("entry").agg(*[F.sum(F.when(F.col("toxic") == c, F.col(n)).otherwise(0)).alias(f"{n}_{c}") for n in ("hits", "held", "often") for c in (0, 1)])
+
+
+def _counted(toxic: int, hits: Counter, held: Counter, often: Counter) -> pa.RecordBatch:
+    names = list(hits)
+    columns = {n: pa.array([c[e] for e in names], pa.int64()) for n, c in (("hits", hits), ("held", held), ("often", often))}
+    return pa.RecordBatch.from_pydict({"entry": pa.array(names, pa.string()), "toxic": pa.array([toxic] * len(names), pa.int32()), **columns})
+
+
+def _tested(column: str, n_tox: int, n_clean: int):
+    """Columns of the lift and the test value of texts counted in ``column``: toxic against clean texts."""
+    t, c = F.col(f"{column}_1"), F.col(f"{column}_0")
+    lift = ((t + 0.5) / (n_tox + 1)) / ((c + 0.5) / (n_clean + 1))
+    expected = (t + c) * (n_tox / (n_tox + n_clean))
+    test = 2 * (t * F.log(t / expected) + F.when(c > 0, c * F.log(c / (t + c - expected))).otherwise(0.0))
+    return F.when(t >= LEAST_TEXTS, lift).otherwise(0.0).alias(f"lift_{column}"), F.when(t >= LEAST_TEXTS, test).otherwise(0.0).alias(f"test_{column}")
+
+
+def induce_voters(labelled: DataFrame) -> tuple[list[Voter], dict[str, int]]:
+    """The fixed voters and those of the entries that tell toxic texts; and the rarer entries with their voters."""
+    fixed = [Voter(e) for e in (*["=" + w for w in LEXICON], *PATTERNS)]
+    counts = written(_entry_counts(labelled), "entries")
+    size = counts.filter("entry = ''").first()
+    if size is None or not size.held_1 or not size.held_0:
+        remove_tables(counts)
+        return fixed, {}
+    tested = counts.filter("entry <> ''").select("*", *_tested("held", size.held_1, size.held_0), _tested("often", size.held_1, size.held_0)[0])
+    own = f"held_1 >= {OWN_SHARE * size.held_1} and greatest(lift_held, lift_often) > {LEAST_LIFT}"
+    rows = tested.filter(f"{own} or lift_held > {LEAST_LIFT} and test_held > {LEAST_TEST}").collect()  # what the voters are made of
+    remove_tables(counts)
+    words_tox, words_clean = max(1, size.hits_1), max(1, size.hits_0)
+    found, rare = [], []
+    for r in rows:
+        rates = max(r.hits_1, 0.5) / words_tox, max(r.hits_0, 0.5) / words_clean
+        if r.held_1 < OWN_SHARE * size.held_1:
+            rare.append((r.entry, r.lift_held, r.hits_1, r.hits_0))
+            continue
+        for column, least_hits, least_rate in (("held", 1, 0.0), ("often", 2, 0.004)):
+            t, lift = r[f"{column}_1"], r[f"lift_{column}"]
+            if lift > LEAST_LIFT:
+                found.append(((t + 0.5) / (size.held_1 + 1) * math.log(lift), r.entry, t, Voter(r.entry, least_hits, least_rate, *rates)))
     found.sort(key=lambda f: (-f[0], -len(f[1]), f[1]))
     voters: dict[str, Voter] = {}
     supports: dict[str, int] = {}
-    for score, e, support, voter in found:
-        if score <= 0 or len(voters) == most:
-            break
+    for _, e, support, voter in found:
         # an entry that covers the texts of one that is there, at its start or end, says nothing new
         if not any(e[1:].startswith(o[1:]) and support <= supports[o] and support > 0.9 * supports[o] or o[1:].startswith(e[1:]) and support < 1.1 * supports[o] for o in voters):
             voters[e], supports[e] = voter, support
-    return [*voters.values(), *[v for v in fixed if v.entry not in voters]]
+    out = [*voters.values(), *[v for v in fixed if v.entry not in voters]]
+    pooled: dict[str, int] = {}
+    for k, least in enumerate(BANDS):
+        most = BANDS[k + 1] if k + 1 < len(BANDS) else math.inf
+        own = [r for r in rare if least < r[1] <= most and r[0] not in voters]
+        if own:
+            pooled |= {r[0]: len(out) for r in own}
+            out.append(Voter(f"+{k}", 1, 0.0, sum(r[2] for r in own) / words_tox, max(0.5, sum(r[3] for r in own)) / words_clean))
+    return out, {e: i for e, i in pooled.items() if e not in {v.entry for v in out}}
 
 
 # Label model.
 
 
-def votes(docs: DataFrame, labels: DataFrame | None, voters: Sequence[Voter], id_col: str, text_col: str) -> DataFrame:
+def votes(docs: DataFrame, labels: DataFrame | None, voters: Sequence[Voter], pooled: dict[str, int], id_col: str, text_col: str) -> DataFrame:
     """How many texts have each set of firing voters and label: (fired, label, n)."""
 
     def make():
-        hits_of = Hits(voters)
+        hits_of = Hits(voters, pooled)
 
         def run(texts):
             out = []
@@ -207,12 +265,14 @@ def votes(docs: DataFrame, labels: DataFrame | None, voters: Sequence[Voter], id
         return run
 
     fired = map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "fired array<int>", "text", ["id"])
+    nobody = fired.filter("id is null").withColumn("label", F.lit(None).cast("int"))  # without an id: no label, and no need to meet
+    fired = fired.filter("id is not null")
     if labels is not None:
         known = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("label"))
         fired = fired.join(known, "id", "left")
     else:
         fired = fired.withColumn("label", F.lit(None).cast("int"))
-    return written(fired.groupBy("fired", "label").agg(F.count(F.lit(1)).alias("n")), "toxic-votes")
+    return written(fired.unionByName(nobody).groupBy("fired", "label").agg(F.count(F.lit(1)).alias("n")), "toxic-votes")
 
 
 def _log_odds(a: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float]:
@@ -290,18 +350,20 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """``labels``: rows (id, toxic 0/1) that may be learned from. Votes are counted over all of ``docs``."""
+    """``labels``: rows (id, toxic 0/1) that may be learned from. Entries are counted over all labelled texts
+    and votes over all of ``docs``; the classifier is fitted on at most ``sample_rows`` labelled texts."""
     ship(docs.sparkSession)
-    sample = _sample(docs, labels, id_col, text_col, sample_rows)
-    voters = induce_voters(sample)
+    labelled = _labelled(docs, labels, id_col, text_col)
+    voters, pooled = induce_voters(labelled)
     m = len(voters)
-    signatures = votes(docs, labels, voters, id_col, text_col)
+    signatures = votes(docs, labels, voters, pooled, id_col, text_col)
     a, prior, label, discount, correlation = label_model(signatures, m)
+    remove_tables(signatures)
     weights, rest = _log_odds(a, discount)
     rest += math.log(prior / (1 - prior))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hits_of = Hits(voters)
+        hits_of = Hits(voters, pooled)
         for batch in batches:
             xs, ys = [], []
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -313,9 +375,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 xs.append([{"i": int(i), "v": float(x[i])} for i in used])
                 ys.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.list_(pa.struct([("i", pa.int32()), ("v", pa.float64())]))), pa.array(ys, pa.float64())], ["x", "y"])
+        release()
 
-    found = sample.mapInArrow(rows, "x array<struct<i:int,v:double>>, y double").collect()  # at most sample_rows
-    model = Model(voters, a, prior, discount, correlation, np.zeros(1 + 2 * m + 2))
+    # ids by a hash, so that the sample does not depend on the order of rows; repeated rows stay within the bound
+    chosen = labels.filter("toxic is not null").select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sample = labelled.join(F.broadcast(chosen), "id", "left_semi").select("toxic", "text")  # at most sample_rows ids
+    found = sample.mapInArrow(rows, "x array<struct<i:int,v:double>>, y double").limit(sample_rows).collect()
+    model = Model(voters, pooled, a, prior, discount, correlation, np.zeros(1 + 2 * m + 2))
     if sum(r.y > 0.5 for r in found) and sum(r.y < 0.5 for r in found):
         x = np.zeros((len(found), 1 + 2 * m + 2))
         for k, r in enumerate(found):
@@ -329,10 +395,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """Add ``out``: the higher, the likelier toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # some numbers for each voter, and the significant entries
 
     def make():
-        own, hits_of = sent.value, Hits(sent.value.voters)
+        own, hits_of = sent.value, Hits(sent.value.voters, sent.value.pooled)
 
         return lambda texts: {out: [own.score(*hits_of.count(t)) for t in texts]}
 

@@ -5,6 +5,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
@@ -42,6 +43,67 @@ def test_induced_words_are_learned(spark):
     assert model.correlations.shape == (len(model.voters),) * 2 and (model.discounts <= 1).all()
 
 
+def test_patterns_fire():
+    names = lambda t: sorted(set(toxicity.patterns_in(t.lower())))
+    assert names("You I D I O T, m-o-r-o-n") == ["~spelled"] and names("such an id!ot, a m*ron and tr4sh") == ["~masked"]
+    assert names("Just SHUT UP") == ["~shut up"] and names("a b c d, plan-b, h2o, 3.14, C*-algebra") == []
+
+
+def test_rare_entries_vote_together(spark):
+    """Insults of which each is in few of the toxic texts are learned all the same."""
+    rng = random.Random(6)
+    rare = [f"zq{chr(97 + k % 26)}{chr(97 + k // 26)}vex" for k in range(300)]
+    docs, labels = [], []
+    for i in range(12_000):
+        words = prose(12, i).split()
+        if i % 2 == 0:
+            words.insert(3, rng.choice(rare))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 2 == 0)))
+    model = toxicity.learn(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS), sample_rows=2000)
+    known = {v.entry for v in model.voters} | set(model.pooled)
+    assert all(any(e in known for e in toxicity.entries_of(w)) for w in rare)
+    scores = [r.score for r in toxicity.score(spark.createDataFrame([(k, f"{prose(12, 90_000 + k)} {w}") for k, w in enumerate(rare)], SCHEMA), model).collect()]
+    assert sum(x >= 0.3 for x in scores) > 0.95 * len(scores)
+
+
+def test_learning_equals_brute_force(spark):
+    """Entry counts, votes, the label model and the scores, each against plain Python."""
+    docs, labels = labelled(150)
+    docs = [*docs, (None, "idiot"), (900, None), (901, "You I.D.I.O.T")]
+    frame, given = spark.createDataFrame(docs, SCHEMA), dict(labels)
+    labelled_rows = toxicity._labelled(frame, spark.createDataFrame(labels, LABELS), "doc_id", "text")
+    counts = {r.entry: r for r in toxicity._entry_counts(labelled_rows).collect()}
+    for e in ("=idiot", "^gru", "^grumble", "=the", "=moron"):
+        for c in (0, 1):
+            own = [sum(e in toxicity.entries_of(w) for w in toxicity.WORDS.findall(t.lower())) for i, t in docs if given.get(i) == c]
+            if e in counts:
+                assert (counts[e][f"hits_{c}"], counts[e][f"held_{c}"]) == (sum(own), sum(n > 0 for n in own))
+            else:
+                assert not sum(own)
+    voters, pooled = toxicity.induce_voters(labelled_rows)
+    hits_of = toxicity.Hits(voters, pooled)
+    plain = Counter()
+    for i, t in docs:
+        hits, n_words = hits_of.count(t)
+        plain[tuple(sorted(v for v, n in hits.items() if n >= voters[v].least_hits and n >= voters[v].least_rate * n_words)), given.get(i)] += 1
+    signatures = toxicity.votes(frame, spark.createDataFrame(labels, LABELS), voters, pooled, "doc_id", "text")
+    assert Counter({(tuple(r.fired), r.label): r.n for r in signatures.collect()}) == plain
+    # one step of the label model from the labels: weighted shares of firing texts
+    a, prior, *_ = toxicity.label_model(signatures, len(voters), rounds=1)
+    p = {1: 0.95, 0: 0.01}
+    t, c = (sum(n * (p[y] if k == 0 else 1 - p[y]) for (_, y), n in plain.items() if y is not None) for k in (0, 1))
+    for v in range(len(voters)):
+        ft, fc = (sum(n * (p[y] if k == 0 else 1 - p[y]) for (f, y), n in plain.items() if y is not None and v in f) for k in (0, 1))
+        rates = np.clip([(ft + 0.2) / (t + 2), (fc + 0.02) / (c + 20)], 1e-6, 0.98)
+        assert np.allclose(a[v], [max(rates), rates[1]])
+    model = toxicity.learn(frame, spark.createDataFrame(labels, LABELS))
+    for r in toxicity.score(frame, model).collect():
+        hits, n_words = toxicity.Hits(model.voters, model.pooled).count(r.text)
+        z = float(model.weights @ model.features(hits, n_words))
+        assert np.isclose(r.score, 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
 def test_label_model_finds_accuracies_without_labels(spark):
     rng, votes = random.Random(2), Counter()
     for _ in range(4000):
@@ -84,6 +146,8 @@ def test_held_out_quality(spark):
     held = [(r.predicted, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
     right = sum(p == t for p, t in held) / len(held)
     assert right > 0.95, right
+    caught = sum(p and t for p, t in held)
+    assert caught >= 0.85 * sum(t for _, t in held) and caught >= 0.9 * sum(p for p, _ in held)
 
 
 @pytest.fixture(scope="module")
