@@ -56,11 +56,11 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
-def unknown_letters() -> re.Pattern:
-    """Any code point that has no meaning in Python's Unicode tables."""
-    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)]
+def suspects() -> re.Pattern:
+    """Code points of the first plane that have no meaning in Python's Unicode tables, and all of the other planes."""
+    unknown = [unicodedata.category(chr(c)) == "Cn" for c in range(0x10000)]
     ranges = [f"{chr(c)}-" if a else chr(c - 1) for c, (a, b) in enumerate(zip([*unknown, False], [False, *unknown], strict=True)) if a != b]
-    return re.compile(f"[{''.join(ranges)}]")
+    return re.compile(f"[{''.join(ranges)}\U00010000-\U0010ffff]")
 
 
 class Half(NamedTuple):
@@ -83,7 +83,7 @@ class TreeEncoder:
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special_split = regex.compile("|".join(map(regex.escape, self.specials)))
         self.letters = byte_letters()
-        self.unknown = unknown_letters()
+        self.suspects = suspects()
         self.library_normal, self.library_words = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         vocab = tokenizer.get_vocab()
         self.tokens = [""] * (max(vocab.values()) + 1)
@@ -95,7 +95,10 @@ class TreeEncoder:
     # Text to tokens.
 
     def is_odd(self, text: str) -> bool:
-        return not text.isascii() and self.unknown.search(text) is not None
+        """Whether a code point in it has no meaning in Python's Unicode tables."""
+        if text.isascii() or self.suspects.search(text) is None:
+            return False
+        return any(unicodedata.category(c) == "Cn" for c in set(self.suspects.findall(text)))
 
     def places(self, normal: str) -> list[tuple[int, int]]:
         """Start and end of each word of a normalised text."""
