@@ -49,6 +49,9 @@ LEXICON = (
 PHRASES = ("shut up", "go to hell", "drop dead", "kill yourself", "piece of shit", "son of a", "hate you", "you make me sick", "nobody likes you", "waste of space")
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._*-]){3,}[^\W_](?![^\W_])")
 MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[*@!$01345]+[^\W\d_]+")
+# What every match of the two holds, quick to look for.
+SPELLED_SIGN = re.compile(r"[ ._*-][^\W_][ ._*-][^\W_](?![^\W_])")
+MASKED_SIGN = re.compile(r"[*@!$01345](?<=[^\W\d_].)[*@!$01345]*[^\W\d_]")
 UNMASK = str.maketrans("@!$01345", "aisoieas")
 SAMPLE_ROWS = 20_000
 #: An entry's toxic share over its clean share at least, and toxic texts that hold it.
@@ -74,8 +77,11 @@ def _known(word: str) -> bool:
 def patterns_in(lower: str) -> list[str]:
     """Names of the patterns, once for each place in a lower-case text."""
     out = [f"~{p}" for p in PHRASES if p in lower]
-    out += ["~spelled" for m in SPELLED.finditer(lower) if re.sub(r"[ ._*-]", "", m[0]) in LEXICON]
-    return out + ["~masked" for m in MASKED.finditer(lower) if _known(m[0])]
+    if SPELLED_SIGN.search(lower):
+        out += ["~spelled" for m in SPELLED.finditer(lower) if re.sub(r"[ ._*-]", "", m[0]) in LEXICON]
+    if MASKED_SIGN.search(lower):
+        out += ["~masked" for m in MASKED.finditer(lower) if _known(m[0])]
+    return out
 
 
 PATTERNS = ("~spelled", "~masked", *[f"~{p}" for p in PHRASES])
@@ -163,37 +169,40 @@ def _entry_counts(labelled: DataFrame) -> DataFrame:
     counts texts and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {c: (Counter(), Counter(), Counter()) for c in (0, 1)}
+        number: dict[str, int] = {"": 0}
+        memo = Memo(lambda w: [number.setdefault(e, len(number)) for e in entries_of(w)])
+        counts = np.zeros((6, 0), np.int64)  # hits, held, often of clean texts, then of toxic ones
         for batch in batches:
             for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hits, held, often = counts[int(toxic > 0)]
-                words = Counter(WORDS.findall(text.lower()))
-                total = sum(words.values())
-                own: Counter = Counter()
-                for w, n in words.items():
-                    for e in entries_of(w):
-                        own[e] += n
-                own[""] = total
-                hits.update(own)
-                held.update(own.keys())
-                often.update([e for e, n in own.items() if n >= 2 and n >= 0.004 * total])
-                if len(hits) > 200_000:
-                    yield _counted(int(toxic > 0), *counts[int(toxic > 0)])
-                    for c in counts[int(toxic > 0)]:
-                        c.clear()
-        for c, (hits, held, often) in counts.items():
-            if hits:
-                yield _counted(c, hits, held, often)
+                words = WORDS.findall(text.lower())
+                own, n = np.unique(np.fromiter(chain.from_iterable(map(memo.__getitem__, words)), np.int64), return_counts=True)
+                if len(number) > counts.shape[1]:
+                    counts = np.pad(counts, ((0, 0), (0, len(number))))
+                hits, held, often = counts[3:] if toxic > 0 else counts[:3]
+                hits[0] += len(words)
+                held[0] += 1
+                hits[own] += n
+                held[own] += 1
+                often[own[(n >= 2) & (n >= 0.004 * len(words))]] += 1
+                if len(number) > 300_000:
+                    yield from _counted(number, counts)
+                    number.clear()
+                    memo.clear()
+                    number[""] = 0
+                    counts = np.zeros((6, 0), np.int64)
+        yield from _counted(number, counts)
         release()
 
     counts = labelled.select("toxic", "text").mapInArrow(run, "entry string, toxic int, hits long, held long, often long")
     return counts.groupBy("entry").agg(*[F.sum(F.when(F.col("toxic") == c, F.col(n)).otherwise(0)).alias(f"{n}_{c}") for n in ("hits", "held", "often") for c in (0, 1)])
 
 
-def _counted(toxic: int, hits: Counter, held: Counter, often: Counter) -> pa.RecordBatch:
-    names = list(hits)
-    columns = {n: pa.array([c[e] for e in names], pa.int64()) for n, c in (("hits", hits), ("held", held), ("often", often))}
-    return pa.RecordBatch.from_pydict({"entry": pa.array(names, pa.string()), "toxic": pa.array([toxic] * len(names), pa.int32()), **columns})
+def _counted(number: dict[str, int], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    names = pa.array(list(number), pa.string())
+    for toxic, (hits, held, often) in ((0, counts[:3]), (1, counts[3:])):
+        used = np.flatnonzero(held)
+        columns = {n: pa.array(c[used]) for n, c in (("hits", hits), ("held", held), ("often", often))}
+        yield pa.RecordBatch.from_pydict({"entry": names.take(pa.array(used)), "toxic": pa.array(np.full(len(used), toxic, np.int32)), **columns})
 
 
 def _tested(column: str, n_tox: int, n_clean: int):
