@@ -1,6 +1,8 @@
 """Grouped aggregates chosen by name. An aggregate is ``[op, in_col, out_col]``; ``out_col`` defaults to
-``in_col``, and for ``count`` the second item is the output name. Sums run in decimal, so they do not
-depend on the order of the rows; a value that is no number fails the job under ANSI casts."""
+``in_col``, and for ``count`` the second item is the output name. Sums and averages are those of doubles,
+of any size. ``money_sum`` is for amounts of up to four decimals and 20 digits before them: it runs in
+decimal, so it does not depend on the order of the rows. A value that is no number fails the job under
+ANSI casts."""
 
 from __future__ import annotations
 
@@ -14,14 +16,11 @@ from .maps import project
 EXACT = "decimal(24,4)"
 
 
-def _sum(col: Column) -> Column:
-    return F.sum(col.cast(EXACT)).cast("double")
-
-
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
-    "sum": _sum,
+    "sum": lambda c: F.sum(c.cast("double")),
+    "money_sum": lambda c: F.sum(c.cast(EXACT)).cast("double"),
     "max": lambda c: F.max(c.cast("double")),
-    "avg": lambda c: _sum(c) / F.count(c),
+    "avg": lambda c: F.avg(c.cast("double")),
     "count": lambda _: F.count(F.lit(1)),
 }
 

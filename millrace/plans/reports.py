@@ -56,7 +56,7 @@ def monthly_products_steps(s: Sources) -> list[Step]:
     months = [["map_month", {"init_year": s.init_year}]]
     return [
         Select([_in_years(s)], months, ["item_id", "month", "subtotal", "quantity"]),
-        Group(["item_id", "month"], [["sum", "subtotal", "revenue"], ["sum", "quantity", "quantity_sold"]]),
+        Group(["item_id", "month"], [["money_sum", "subtotal", "revenue"], ["money_sum", "quantity", "quantity_sold"]]),
     ]
 
 
@@ -71,7 +71,7 @@ def q3_steps(s: Sources) -> list[Step]:
     halves = [["map_semester", {"init_year": s.init_year, "col_out": "half"}]]
     return [
         Select([_in_years(s), ["hour", "between", s.hours]], halves, ["store_id", "half", "final_amount"]),
-        Group(["store_id", "half"], [["sum", "final_amount", "tpv"]]),
+        Group(["store_id", "half"], [["money_sum", "final_amount", "tpv"]]),
         Join("stores", ("store_id", "store_id"), ["half", "store_name", "tpv"]),
     ]
 

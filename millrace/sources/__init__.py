@@ -7,6 +7,8 @@ line in ``_corrupt``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +90,19 @@ def stream_dataset(spark: SparkSession, path: str, name: str, files_per_trigger:
     return spark.readStream.schema(SCHEMAS[name]).options(**options).csv(path)
 
 
+def in_years(df: DataFrame, column: str, years: Sequence[int]) -> DataFrame:
+    """Rows whose time is in one of the years, as ranges of the column itself, so that they reach the file scan."""
+    kind, found = df.schema[column].dataType, F.lit(False)
+    for year in sorted(set(years)):
+        if year - 1 not in years:
+            last = year
+            while last + 1 in years:
+                last += 1
+            first, end = (F.lit(f"{y:04d}-01-01").cast(kind) for y in (year, last + 1))
+            found = found | (F.col(column) >= first) & (F.col(column) < end)
+    return df.filter(found)
+
+
 def transactions(df: DataFrame) -> DataFrame:
     """Columns the reports need, with the calendar parts of ``created_at``."""
     at = F.col("created_at")

@@ -1,6 +1,7 @@
 """Completion by count: a session's rows are released when as many messages have arrived as its end
 marker announced. The end marker may come first; nothing is ever late. A negative announcement
-aborts the session: its rows are dropped and none is released.
+aborts the session: its rows are dropped and none is released. Of a session that was released or aborted
+only a mark is kept, so that what comes after it is dropped.
 
 Messages have the columns ``session_id string, expected long, n_messages long`` and one payload
 column. A data message has ``expected`` null and ``n_messages`` its weight (a batch that was filtered
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: In place of the number expected, once a session is over.
+OVER = -(2**62)
+
+
 class _Gate(StatefulProcessor):
     def __init__(self, payload: str, ttl_ms: int | None):
         self.payload, self.ttl_ms = payload, ttl_ms
@@ -30,6 +35,8 @@ class _Gate(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         received, expected = self.progress.get() if self.progress.exists() else (0, None)
+        if expected == OVER:
+            return
         kept: list[tuple] = []
         for pdf in rows:
             received += int(pdf["n_messages"].sum())
@@ -42,7 +49,7 @@ class _Gate(StatefulProcessor):
         if expected is not None and (expected < 0 or received >= expected):
             out = [v for (v,) in self.rows.get()] if expected >= 0 and self.rows.exists() else []
             self.rows.clear()
-            self.progress.clear()
+            self.progress.update((0, OVER))
             if out:
                 yield pd.DataFrame({"session_id": [key[0]] * len(out), self.payload: out})
         else:
@@ -53,8 +60,8 @@ class _Gate(StatefulProcessor):
 
 
 def completion_gate(messages: DataFrame, payload: str = "payload", ttl_ms: int | None = None) -> DataFrame:
-    """Streaming form: releases each session's payloads once, when it is complete, and frees its state.
-    ``ttl_ms`` bounds how long an unfinished session is remembered (never forgotten by default)."""
+    """Streaming form: releases each session's payloads once, when it is complete, and frees its rows.
+    ``ttl_ms`` bounds how long a session, or its mark, is remembered (never forgotten by default)."""
     return messages.groupBy("session_id").transformWithStateInPandas(
         _Gate(payload, ttl_ms), outputStructType=f"session_id string, {payload} string", outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None"
     )

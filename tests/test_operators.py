@@ -4,6 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from millrace.sources import in_years
 from millrace.functions import decode_half, decode_month, half_index, month_index, whole_number
 from millrace.operators import (
     MAPS, PREDICATES, build_filter, equi_join, fan_out, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns,
@@ -180,3 +181,24 @@ def test_plans_are_the_ones_wanted(spark, tmp_path):
     assert "GreaterThanOrEqual(v,75" in plan and "ReadSchema: struct<id:bigint,v:double>" in plan
     plan = reduce_rows(df, ["g"], "keep_top_k", {"comp_key": "v", "limit": 3, "ties": ["id"]})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_sums_of_any_size(spark):
+    rows = [("a", 0.00004)] * 100 + [("b", 3e20), ("b", 1.0)]
+    out = {r.k: r for r in group_by(spark.createDataFrame(rows, "k string, v double"), ["k"], [["sum", "v", "s"], ["avg", "v", "m"]]).collect()}
+    assert abs(out["a"].s - 0.004) < 1e-12 and abs(out["a"].m - 0.00004) < 1e-15 and out["b"].s == 3e20
+
+
+def test_result_sets_are_compared_by_position(spark):
+    a = spark.createDataFrame([(1, "x")], "a int, b string")
+    out = {r.name: r.status for r in summary(spark, {"p": a, "q": a}, {"p": a.toDF("c", "d"), "q": a.select("a")}).collect()}
+    assert out == {"p": "matched", "q": "different"}
+
+
+def test_years_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.sql("select timestamp'2023-12-31 23:59:59' as ts, 1 as x union all select timestamp'2024-01-01', 2 union all select timestamp'2025-12-31 23:59:59', 3 union all select timestamp'2027-05-01', 4").write.parquet(path)
+    kept = in_years(spark.read.parquet(path), "ts", (2025, 2024, 2027))
+    assert sorted(r.x for r in kept.collect()) == [2, 3, 4]
+    plan = in_years(spark.read.parquet(path), "ts", (2024, 2025))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024" in plan and "LessThan(ts,2026" in plan
