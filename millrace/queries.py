@@ -8,6 +8,7 @@ whose store is the customer's nation, ``lineitem`` are transaction items, ``part
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from .operators import (
     equi_join, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns, reduce_rows, select_rows, summary, tagged_union,
 )
 from .scratch import new_folder, written
-from .streaming import completed_rows, stream_filter, stream_top_k
+from .streaming import completed_join, completed_rows, completion_gate, read_completed_join, stream_completed_join, stream_filter, stream_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -340,12 +341,70 @@ def _messages(e: DataFrame) -> DataFrame:
     return data.unionByName(ends)
 
 
-@query("completion_gate", """select cast(user_id as varchar) as session_id, cast(event_id as varchar) as payload from events
- where value >= 75 and user_id % 7 <> 0 and user_id % 5 <> 0""")
+_COMPLETE_SQL = """select cast(user_id as varchar) as session_id, cast(event_id as varchar) as payload from events
+ where value >= 75 and user_id % 7 <> 0 and user_id % 5 <> 0"""
+
+
+@query("completion_gate", _COMPLETE_SQL)
 def gate(spark, sf_dir):
     return completed_rows(_messages(table(spark, sf_dir, "events")))
 
 
+def _arriving(messages: DataFrame, what: str) -> DataFrame:
+    """The messages as a stream of some micro-batches, each of rows of any session."""
+    spark, kept = messages.sparkSession, written(messages, what)
+    return spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", max(1, len(kept.inputFiles()) // 3)).parquet(kept._written_to)
+
+
+@query("stream_completion_gate", _COMPLETE_SQL)
+def stream_gate(spark, sf_dir):
+    """The same by the stateful gate over a stream of files."""
+    out, provider = new_folder(spark, "stream-gate"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        released = completion_gate(_arriving(_messages(table(spark, sf_dir, "events")), "messages"))
+        released.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema("session_id string, payload string").parquet(f"{out}/rows")
+
+
+def _order_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders and their items as the two sides of 50 sessions. Of sessions divisible by 5 an order is
+    missing; those divisible by 7 are aborted on the side of the items."""
+    none = F.lit(None).cast("long").alias("expected")
+
+    def side(df: DataFrame, key: str, announced) -> DataFrame:
+        df = df.withColumn("n", F.col(key) % 50)
+        ends = df.groupBy("n").count().select(F.col("n").cast("string").alias("session_id"), announced(F.col("count"), F.col("n")).cast("long").alias("expected"), F.lit(0).cast("long").alias("n_messages"))
+        rows = df.select(F.col("n").cast("string").alias("session_id"), none, F.lit(1).cast("long").alias("n_messages"), *[c for c in df.columns if c != "n"])
+        return rows.unionByName(ends, allowMissingColumns=True)
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return side(orders, "o_orderkey", lambda n, s: F.when(s % 5 == 0, n + 1).otherwise(n)), side(lines, "l_orderkey", lambda n, s: F.when(s % 7 == 0, -1).otherwise(n))
+
+
+_SIDES_SQL = """select cast(o_orderkey % 50 as varchar) as session_id, o_orderkey, o_totalprice, l_orderkey, l_linenumber, l_partkey
+ from orders join lineitem on o_orderkey = l_orderkey where o_orderkey % 50 % 5 <> 0 and o_orderkey % 50 % 7 <> 0"""
+
+
+@query("join_completed", _SIDES_SQL)
+def join_completed(spark, sf_dir):
+    """Sessions are joined only when both of their sides are complete."""
+    return completed_join(*_order_sides(spark, sf_dir), ("o_orderkey", "l_orderkey"))
+
+
+@query("stream_join_completed", _SIDES_SQL)
+def stream_join_completed(spark, sf_dir):
+    """The same over two streams of files."""
+    out = new_folder(spark, "stream-join")
+    left, right = [_arriving(side, "side") for side in _order_sides(spark, sf_dir)]
+    stream_completed_join(left, right, ("o_orderkey", "l_orderkey"), f"{out}/state", f"{out}/checkpoint").awaitTermination()
+    return read_completed_join(spark, f"{out}/state")
+
+
 def _as_csv(spark: SparkSession, sf_dir: str, amount=None) -> str:
     """The events as files of the transactions dataset; the folder."""
     value = F.col("value")
@@ -374,6 +433,100 @@ def csv_dropped(spark, sf_dir):
     return sources.transactions(sources.read_dataset(spark, _as_csv(spark, sf_dir, amount), "transactions", "DROPMALFORMED"))
 
 
+def _csv(df: DataFrame, name: str) -> str:
+    """The rows as files of a dataset, with its header; the folder."""
+    path = new_folder(df.sparkSession, name)
+    df.select(*[F.col(c) for c in sources.SCHEMAS[name].names]).write.option("header", True).csv(path)
+    return path
+
+
+def _scan(df: DataFrame, name: str) -> DataFrame:
+    return sources.read_dataset(df.sparkSession, _csv(df, name), name)
+
+
+def _menu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), F.col("p_type").alias("category"), F.col("p_retailprice").alias("price"),
+        (F.col("p_size") > 25).alias("is_seasonal"), F.lit("2024-01-01").alias("available_from"), F.lit(None).cast("string").alias("available_to"))
+
+
+def _user_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    born = F.date_add(F.lit("1970-01-01").cast("date"), F.col("c_custkey").cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("gender"), born.alias("birthdate"), F.lit("2025-01-01 07:31:48").alias("registered_at"))
+
+
+def _item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("transaction_id"), F.col("l_partkey").alias("item_id"), F.col("l_quantity").cast("int").alias("quantity"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"), F.col("l_extendedprice").alias("subtotal"),
+        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("csv_items_scan", """select cast(l_partkey as integer) as item_id, cast(year(l_shipdate) as integer) as year, cast(month(l_shipdate) as integer) as month,
+ l_extendedprice as subtotal, cast(l_quantity as integer) as quantity from lineitem""")
+def csv_items(spark, sf_dir):
+    return sources.transaction_items(_scan(_item_rows(spark, sf_dir), "transaction_items"))
+
+
+@query("csv_menu_scan", "select cast(p_partkey as integer) as item_id, p_name as item_name from part")
+def csv_menu(spark, sf_dir):
+    return sources.menu_items(_scan(_menu_rows(spark, sf_dir), "menu_items"))
+
+
+@query("csv_stores_scan", "select cast(s_suppkey as integer) as store_id, s_name as store_name from supplier")
+def csv_stores(spark, sf_dir):
+    """The suppliers as stores; the commas of the streets are quoted."""
+    rows = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"), F.concat_ws(", ", "s_name", "s_nationkey").alias("street"), F.lit("00123").alias("postal_code"),
+        F.lit("city").alias("city"), F.lit("state").alias("state"), F.col("s_acctbal").alias("latitude"), F.col("s_acctbal").alias("longitude"))
+    return sources.stores(_scan(rows, "stores"))
+
+
+@query("csv_users_scan", "select c_custkey as user_id, strftime(date '1970-01-01' + cast(c_custkey as integer), '%Y-%m-%d') as birthdate from customer")
+def csv_users(spark, sf_dir):
+    return sources.users(_scan(_user_rows(spark, sf_dir), "users")).withColumn("birthdate", F.col("birthdate").cast("string"))
+
+
+@query("csv_sanitised_round_trip", "select cast(p_partkey as integer) as item_id, p_name as item_name, p_type as category, p_retailprice as price from part")
+def csv_sanitised(spark, sf_dir):
+    """The wide columns of the menu, written without a header and read back."""
+    path = new_folder(spark, "sanitised")
+    sources.wide(_scan(_menu_rows(spark, sf_dir), "menu_items"), "menu_items").write.csv(path)
+    return sources.read_sanitised(spark, path, "menu_items")
+
+
+@query("stream_transactions_scan", _SCANNED)
+def stream_scan(spark, sf_dir):
+    """Files of a dataset folder as increments."""
+    out = new_folder(spark, "stream-scan")
+    rows = sources.transactions(sources.stream_dataset(spark, _as_csv(spark, sf_dir), "transactions", 2))
+    stream_filter(rows, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows")
+
+
+@query("run_all_reports", f"""with o as (select o_orderkey k, o_totalprice v, c_nationkey s, o_custkey u from orders join customer on o_custkey=c_custkey where year(o_orderdate) in (1996,1997))
+select 'query_1' as query, cast(k as varchar) as name, cast(null as varchar) as period, v as value from o where v >= 75
+union all select 'query_2_best_selling', item_name, year_month, cast(sellings_qty as double) from ({_MONTHLY} {_BEST})
+union all select 'query_2_most_profits', item_name, year_month, profit_sum from ({SQL['q2_most_profit']})
+union all select 'query_3', store_name, year_half, tpv from ({Q3_SQL})
+union all select 'query_4', n_name, strftime(date '1970-01-01' + cast(u as integer), '%Y-%m-%d'), null from
+ (select s, u, row_number() over (partition by s order by count(*) desc, u) rn from o group by s, u) join nation on s=n_nationkey where rn<=3""")
+def run_all_reports(spark, sf_dir):
+    """All five reports of a session, published as files and read back."""
+    s, out = replace(order_sources(spark, sf_dir), users=_user_rows(spark, sf_dir).select("user_id", "birthdate")), new_folder(spark, "results")
+    P.run_all(s, out, "session")
+    back = sinks.read_results(spark, out, "session")
+    none = F.lit(None)
+    parts = {
+        "query_1": ("transaction_id", none, "final_amount"), "query_2_best_selling": ("item_name", "year_month", "sellings_qty"), "query_2_most_profits": ("item_name", "year_month", "profit_sum"),
+        "query_3": ("store_name", "year_half", "tpv"), "query_4": ("store_name", "birthdate", none),
+    }
+    column = lambda c, kind: (F.col(c) if isinstance(c, str) else c).cast(kind)
+    rows = {q: back[q].select(column(n, "string").alias("name"), column(p, "string").alias("period"), column(v, "double").alias("value")) for q, (n, p, v) in parts.items()}
+    return tagged_union(rows).select("query", "name", "period", "value")
+
+
 @query("result_files_round_trip", Q1_SQL.replace("event_id as", "cast(event_id as varchar) as"))
 def result_files(spark, sf_dir):
     """The first report through its headerless session files."""

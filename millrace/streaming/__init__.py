@@ -1,6 +1,10 @@
 """Structured Streaming twins: stateless reports, completion by count, top-k per micro-batch."""
 
 from .completion import completed_rows, completion_gate
+from .joins import completed_join, read_completed_join, stream_completed_join
 from .reports import stream_filter, stream_join, stream_top_k
 
-__all__ = ["completed_rows", "completion_gate", "stream_filter", "stream_join", "stream_top_k"]
+__all__ = [
+    "completed_join", "completed_rows", "completion_gate", "read_completed_join", "stream_completed_join", "stream_filter", "stream_join",
+    "stream_top_k",
+]

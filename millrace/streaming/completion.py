@@ -14,6 +14,7 @@ The streaming form keeps state, so the session needs the RocksDB state store pro
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
+#: Rows that are released at a time.
+SLICE = 10_000
 #: In place of the number expected, once a session is over.
 OVER = -(2**62)
 
@@ -47,11 +50,11 @@ class _Gate(StatefulProcessor):
         if kept:
             self.rows.appendList(kept)
         if expected is not None and (expected < 0 or received >= expected):
-            out = [v for (v,) in self.rows.get()] if expected >= 0 and self.rows.exists() else []
+            out = (v for (v,) in self.rows.get()) if expected >= 0 and self.rows.exists() else iter(())
+            while part := list(islice(out, SLICE)):
+                yield pd.DataFrame({"session_id": [key[0]] * len(part), self.payload: part})
             self.rows.clear()
             self.progress.update((0, OVER))
-            if out:
-                yield pd.DataFrame({"session_id": [key[0]] * len(out), self.payload: out})
         else:
             self.progress.update((received, expected))
 
