@@ -157,11 +157,18 @@ def features(voters: Sequence[Voter], hits: dict[int, int], n_words: int) -> np.
 # Voters.
 
 
+def _classes(labels: DataFrame, id_col: str) -> DataFrame:
+    """A row (id, toxic int) for each id with a class."""
+    return labels.filter("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Labelled texts (id, toxic int, text string)."""
-    known = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
-    return texts.join(known, "id")
+    return _texts(docs, id_col, text_col).join(_classes(labels, id_col), "id")
 
 
 def _entry_counts(labelled: DataFrame) -> DataFrame:
@@ -273,12 +280,12 @@ def votes(docs: DataFrame, labels: DataFrame | None, voters: Sequence[Voter], po
 
         return run
 
-    fired = map_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, "fired array<int>", "text", ["id"])
-    nobody = fired.filter("id is null").withColumn("label", F.lit(None).cast("int"))  # without an id: no label, and no need to meet
-    fired = fired.filter("id is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # parted before the texts are read, so that each is read once; rows without an id have no label, and no need to meet
+    fired, nobody = [map_texts(rows.filter(which), make, "fired array<int>", "text", ["id"]) for which in ("id is not null", "id is null")]
+    nobody = nobody.withColumn("label", F.lit(None).cast("int"))
     if labels is not None:
-        known = labels.filter("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("label"))
-        fired = fired.join(known, "id", "left")
+        fired = fired.join(_classes(labels, id_col).withColumnRenamed("toxic", "label"), "id", "left")
     else:
         fired = fired.withColumn("label", F.lit(None).cast("int"))
     return written(fired.unionByName(nobody).groupBy("fired", "label").agg(F.count(F.lit(1)).alias("n")), "toxic-votes")
@@ -387,9 +394,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         release()
 
     # ids by a hash, so that the sample does not depend on the order of rows; repeated rows stay within the bound
-    chosen = labels.filter("toxic is not null").select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
-    sample = labelled.join(F.broadcast(chosen), "id", "left_semi").select("toxic", "text")  # at most sample_rows ids
-    found = sample.mapInArrow(rows, "x array<struct<i:int,v:double>>, y double").limit(sample_rows).collect()
+    chosen = _classes(labels, id_col).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    sample = _texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("toxic", "text")  # at most sample_rows ids
+    # a limit as the last step would run task after task
+    found = sample.mapInArrow(rows, "x array<struct<i:int,v:double>>, y double").limit(sample_rows).filter("y is not null").collect()
     model = Model(voters, pooled, a, prior, discount, correlation, np.zeros(1 + 2 * m + 2))
     if sum(r.y > 0.5 for r in found) and sum(r.y < 0.5 for r in found):
         x = np.zeros((len(found), 1 + 2 * m + 2))
