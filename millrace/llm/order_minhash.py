@@ -98,7 +98,8 @@ class Sketcher:
             at = np.arange(n)
             before = np.empty(n, np.uint64)
             before[order] = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
-            value = mix(value + before * ODD)
+            # first occurrences keep their value: they meet those of texts that repeat nothing
+            value = np.where(before > 0, mix(value + before * ODD), value)
         return value
 
     @classmethod

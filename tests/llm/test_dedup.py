@@ -200,6 +200,17 @@ def test_candidates_meet(n):
         assert shared >= 180, (share, shared)
 
 
+@pytest.mark.parametrize("n,again", [(8, 1), (30, 2), (60, 6), (300, 6), (1000, 6)])
+def test_windows_repeated_on_one_side_only(n, again):
+    """A text against the same with its first words once more at the end: nearly all sketches are those of common windows."""
+    s, met, tries = order_minhash.Sketcher(), 0, 40
+    for seed in range(tries):
+        words = prose(n, 900 + seed).split()
+        a, b = (s.sketch(s.words(" ".join(w))) for w in (words, words + words[:again]))
+        met += len(np.intersect1d(a[0], b[0])) > 0
+    assert met >= 0.95 * tries
+
+
 def test_lengths_that_allow_the_similarity_share_a_scheme():
     fits = lambda n: {s.k for s in order_minhash.SCHEMES if s.least <= n <= s.most}
     assert all(fits(m) & fits(n) for n in range(1, 200) for m in range(1, n + 1) if m >= 0.8 * n)
