@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, fertility, language_id, line_dedup, order_minhash, secret_scan, token_count, toxicity, url_filter
+from . import bpe_tree, decontaminate, fertility, language_id, line_dedup, order_minhash, periodic_runs, secret_scan, token_count, toxicity, url_filter
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,10 @@ def op9(spark, sf_dir):
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
     return secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_RANKS, keep=["doc_id"]))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = docs.select("doc_id", periodic_runs.looped(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic_runs.run_digest(periodic_runs.find_runs(docs, keep=["doc_id"]))
