@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_tree, decontaminate, fertility, language_id, line_dedup, lz_fingerprint, order_minhash, periodic_runs, secret_scan, token_count, toxicity, url_filter
+from . import bpe_tree, decontaminate, fertility, language_id, line_dedup, lz_fingerprint, order_minhash, periodic_runs, secret_scan, spelling, token_count, toxicity, url_filter
 from .common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,12 @@ def op10(spark, sf_dir):
     return secret_scan.span_digest(secret_scan.scan_secrets(table(spark, sf_dir, "documents", "doc_id", "text"), BYTE_RANKS, keep=["doc_id"]))
 
 
+@query("op11_spelling_variants")
+def op11(spark, sf_dir):
+    words = spelling.words_of(table(spark, sf_dir, "documents", "doc_id", "text"), keep=("doc_id",))
+    return spelling.variants(spelling.slips(words, "doc_id"))
+
+
 @query("op12_lz_fingerprint")
 def op12(spark, sf_dir):
     return lz_fingerprint.edit_digest(lz_fingerprint.beside_next(table(spark, sf_dir, "documents", "doc_id", "text")))

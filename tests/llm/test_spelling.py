@@ -1,0 +1,120 @@
+"""Spelling variants against all pairs."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from millrace.llm import queries as Q
+from millrace.llm import spelling as S
+
+from .helpers import ODD, SCHEMA, clash, odd, prose
+
+
+def near_plainly(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def variants_plainly(count, ratio=5):
+    near = {w: [x for x in count if x != w and abs(len(x) - len(w)) < 2 and near_plainly(w, x)] for w in count}
+    form = {w: best for w in count for best in [min(near[w], key=lambda x: (-count[x], x), default=None)] if best and count[best] >= ratio * count[w]}
+
+    def root(w):
+        return root(form[w]) if w in form else w
+
+    return sorted(((w, form.get(w), root(w), count[w], len(near[w]), count[form[w]] if w in form else None) for w in count), key=repr)
+
+
+def counted_plainly(rows):
+    count = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            count[w] += 1
+    return {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+
+
+def edited(word, rng):
+    at, kind, c = rng.randrange(len(word)), rng.randrange(3), rng.choice("abcdeé÷zÿ")
+    return word[:at] + (c if kind else "") + word[at + (kind != 1) :]
+
+
+def some_rows():
+    rng = random.Random(8)
+    base = [w for w in prose(400, 3).split() if len(w) >= 6][:60] + ["aaaaaa", "aaaaaaa", "abcdef", "abcdfe", "x" * 3_000, "x" * 2_999, "ééÉÿþð", "ééÉÿþñ"]
+    words = {}
+    for w in base:
+        words[w] = rng.choice([5, 30, 200, 900])
+        for _ in range(5):  # chains
+            n, w = words[w], edited(w, rng)
+            words[w] = max(rng.choice([4, 6]), n // rng.choice([1, 5, 6]))
+    every = [w if rng.random() < 0.8 else w.upper() for w, n in words.items() for w in [w] * min(n, 30 if len(w) > 99 else n)]
+    rng.shuffle(every)
+    rows = [(k, rng.choice([" ", "-", "7 ", "\n中"]).join(every[at : at + 50])) for k, at in enumerate(range(0, len(every), 50))]
+    return [*rows, *ODD, (None, "nothing nothing nothing"), (9, "nothing nothing nothing")]
+
+
+def test_query_equals_all_pairs(spark, tmp_path):
+    rows = some_rows()
+    clash(spark.createDataFrame(rows, SCHEMA), "word", "n", "key").repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    out = Q.QUERIES["op11_spelling_variants"](spark, str(tmp_path))
+    assert out.columns == ["word", "form", "root", "n", "n_near", "form_n"]
+    assert [t for _, t in out.dtypes] == ["string"] * 3 + ["bigint"] * 3
+    expected = variants_plainly(counted_plainly(rows))
+    assert sorted(map(tuple, out.collect()), key=repr) == expected
+    assert sum(r[1] is not None and r[2] != r[1] for r in expected) > 3 and sum(r[4] > 1 for r in expected) > 20
+
+
+@pytest.mark.parametrize("tile", [1, 7, 40, 10_000])
+def test_tiles_change_no_pair(spark, tile):
+    """One block of very many words: the same letters in other places, and a letter more or less."""
+    rng = random.Random(2)
+    words = {"".join(rng.sample("eeeeaaaat", 9)) for _ in range(150)}
+    words |= {w[:k] + w[k + 1 :] for w in list(words)[:40] for k in (0, 4)} | {w[:3] + "q" + w[4:] for w in list(words)[:30]}
+    words = sorted(words)
+    expected = {frozenset((a, b)) for i, a in enumerate(words) for b in words[:i] if near_plainly(a, b)}
+    found = S.near_words(spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, n long"), tile).collect()
+    assert {frozenset((r.a, r.b)) for r in found} == expected and len(found) == len(expected) > 200
+    assert all(words[r.n_a] == r.a and words[r.n_b] == r.b for r in found)
+
+
+def test_near_words_share_a_block_and_are_kept_in_one():
+    rng = random.Random(6)
+    for _ in range(600):
+        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéßÿ") for _ in range(rng.randrange(6, 20)))
+        b = edited(a, rng)
+        if a == b:
+            continue
+        a, b = sorted((a, b), key=len)
+        keys = S.block_keys([a, b])
+        own = keys[0, : len(S.PAIRS)]
+        other = keys[1, : len(S.PAIRS)] if len(a) == len(b) else keys[1, len(S.PAIRS) :]
+        shared = [k for k in range(len(S.PAIRS)) if own[k] == other[k]]
+        assert shared and sum(len(list(S.close([a], [b], k))) for k in shared) == 1 and S.one_edit(a, b)
+
+
+def test_edits():
+    assert S.one_edit("abc", "abd") and S.one_edit("abc", "xabc") and S.one_edit("abc", "abcx") and S.one_edit("aab", "aaab")
+    assert not S.one_edit("abc", "abc") and not S.one_edit("abc", "acb") and not S.one_edit("abc", "abxyc") and not S.one_edit("abcd", "abc")
+    assert np.array_equal(S.counts(["", "aé÷", "中a"]).sum(axis=1), [0, 3, 2])
+
+
+def test_long_chains_have_one_root(spark):
+    forms = [(f"w{k}", f"w{k + 1}") for k in range(37)] + [("u", "w30"), ("v", "u")]
+    found = {r.word: r.root for r in S.roots(spark.createDataFrame(forms, "word string, form string")).collect()}
+    assert found == {w: "w37" for w, _ in forms}
+
+
+def test_odd_documents(spark):
+    assert S.variants(S.words_of(odd(spark).limit(0))).count() == 0
+    assert S.variants(S.words_of(odd(spark)), min_count=1).count() > 10
