@@ -51,7 +51,7 @@ def name_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Give the first columns these names and leave out the rest; ValueError if there are too few."""
     if len(df.columns) < len(names):
         raise ValueError(f"{len(names)} names for {len(df.columns)} columns")
-    return df.select(df.columns[: len(names)]).toDF(*names)
+    return df.toDF(*names, *[f"__{i}" for i in range(len(names), len(df.columns))]).select(*names)  # the input may repeat a name
 
 
 def pad_columns(df: DataFrame, names: Sequence[str], kind: str = "string") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources as S
-from ..functions import decode_half, decode_month
+from ..functions import decode_half, decode_month, new_session_id
 from ..operators import fan_out
 from .spec import Group, Join, Rename, Select, Step, Top, compile_steps
 
@@ -36,10 +36,15 @@ class Sources:
         return {"menu": self.menu, "stores": self.stores, "users": self.users}
 
 
-def retail_sources(spark: SparkSession, root: str, mode: str = "FAILFAST") -> Sources:
-    """The five CSV datasets under ``root``, one folder each."""
-    read = lambda name: getattr(S, name)(S.read_dataset(spark, f"{root}/{name}", name, mode))
-    return Sources(*[read(n) for n in ("transactions", "transaction_items", "menu_items", "stores", "users")])
+def retail_sources(spark: SparkSession, root: str, mode: str = "FAILFAST", years: tuple[int, ...] = (2024, 2025)) -> Sources:
+    """The five CSV datasets under ``root``, one folder each. The reports' years are ranges of ``created_at``, so that
+    the scan itself drops rows of other years."""
+
+    def read(name: str) -> DataFrame:
+        rows = S.read_dataset(spark, f"{root}/{name}", name, mode)
+        return getattr(S, name)(S.in_years(rows, "created_at", years) if name.startswith("transaction") else rows)
+
+    return Sources(*[read(n) for n in ("transactions", "transaction_items", "menu_items", "stores", "users")], years=years)
 
 
 def _in_years(s: Sources) -> list:
@@ -122,11 +127,14 @@ def top_buyers(s: Sources, k: int = 3, session: str | None = None) -> DataFrame:
 REPORTS: Sequence[str] = ("query_1", "query_2_best_selling", "query_2_most_profits", "query_3", "query_4")
 
 
-def run_all(s: Sources, out_dir: str, session_id: str) -> dict[str, str]:
-    """Write all five reports of one session; returns when every one is committed. The transactions are
-    scanned once for three reports, and the monthly sums are made once for two."""
+def run_all(s: Sources, out_dir: str, session_id: str | None = None) -> dict[str, str]:
+    """Write all five reports of one session (a new one by default); returns when every one is committed, with
+    the path of each. The transactions are scanned once for three reports, and the monthly sums are made once
+    for two. Amounts are summed with four decimals; what lies below the fifth is rounded away row by row."""
     from ..sinks import write_result
 
+    session_id = session_id or new_session_id()
+
     columns = ["transaction_id", "year", "store_id", "user_id", "month", "hour", "final_amount"]
     with_tx = lambda tx: Sources(tx, *list(vars(s).values())[1:])
     paths = {}

@@ -17,10 +17,14 @@ from . import plans as P
 from . import sinks, sources
 from .functions import decode_half, decode_month
 from .operators import (
-    equi_join, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns, reduce_rows, select_rows, summary, tagged_union,
+    Accumulator, accumulate, compared, equi_join, filter_rows, group_by, least_rows, map_rows, multiset_diff, name_columns, pad_columns, reduce_rows,
+    register_accumulator, register_row_order, select_rows, summary, tagged_union, top_rows, totals,
+)
+from .scratch import new_folder, remove, written
+from .streaming import (
+    Published, append_stream, completed_join, completed_rows, completion_gate, read_completed, read_completed_join, read_fan_out, read_top_k, ready_sessions,
+    stream_completed, stream_completed_join, stream_fan_out, stream_filter, stream_join, stream_top_k,
 )
-from .scratch import new_folder, written
-from .streaming import completed_join, completed_rows, completion_gate, read_completed_join, stream_completed_join, stream_filter, stream_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -256,7 +260,7 @@ _TOP = {
 }
 for _name, (_reducer, _params, _sql) in _TOP.items():
     query(_name, _sql)(
-        lambda spark, sf_dir, r=_reducer, p=_params: reduce_rows(table(spark, sf_dir, "events"), ["event_type"], r, p, ["event_type", "event_id", "value"], rank=True)
+        lambda spark, sf_dir, r=_reducer, p=_params: reduce_rows(table(spark, sf_dir, "events"), ["event_type"], r, p, ["event_type", "event_id", "value"], rank=True).withColumn("rank", F.col("rank").cast("int"))
     )
 
 
@@ -316,10 +320,10 @@ def fanout(spark, sf_dir):
  (select *, row_number() over (partition by m order by q desc, k) rn from g) where rn=1
  union all select 'revenue', m, k, cast(v as double) from (select *, row_number() over (partition by m order by v desc, k) rn from g) where rn=1""")
 def shared_aggregate(spark, sf_dir):
-    """The monthly sums are made once, for two rankings."""
-    grouped = written(P.reports.monthly_products(order_sources(spark, sf_dir)), "monthly")
-    top = lambda by: reduce_rows(grouped, ["month"], "keep_top_row", {"comp_key": by, "ties": ["item_id"]}, ["month", "item_id", by]).toDF("m", "k", "x")
-    return tagged_union({"quantity": top("quantity_sold"), "revenue": top("revenue")}).select("query", "m", "k", "x")
+    """The monthly sums are made once, and both rankings in the one aggregation over them."""
+    grouped = P.reports.monthly_products(order_sources(spark, sf_dir))
+    tops = top_rows(grouped, ["month"], {"quantity": "quantity_sold", "revenue": "revenue"}, ["item_id"])
+    return tops.select("query", F.col("month").alias("m"), F.col("item_id").alias("k"), F.col("value").alias("x"))
 
 
 @query("multiset_diff", """select event_type, cast(sum(a) as bigint) as n_expected, cast(sum(b) as bigint) as n_actual from (select event_type, 1 as a, 0 as b from events
@@ -405,11 +409,12 @@ def stream_join_completed(spark, sf_dir):
     return read_completed_join(spark, f"{out}/state")
 
 
-def _as_csv(spark: SparkSession, sf_dir: str, amount=None) -> str:
+def _as_csv(spark: SparkSession, sf_dir: str, amount=None, parts: int | None = None) -> str:
     """The events as files of the transactions dataset; the folder."""
     value = F.col("value")
     path = new_folder(spark, "transactions")
-    table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events")
+    (events.repartition(parts) if parts else events).select(
         F.col("event_id").alias("transaction_id"), (F.col("user_id") % 10).alias("store_id"), F.lit(1).alias("payment_method_id"), F.lit(None).cast("string").alias("voucher_id"),
         F.col("user_id").cast("double").alias("user_id"), value.alias("original_amount"), F.lit(0.0).alias("discount_applied"),
         (value if amount is None else amount).alias("final_amount"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"),
@@ -477,10 +482,13 @@ def csv_menu(spark, sf_dir):
 @query("csv_stores_scan", "select cast(s_suppkey as integer) as store_id, s_name as store_name from supplier")
 def csv_stores(spark, sf_dir):
     """The suppliers as stores; the commas of the streets are quoted."""
-    rows = table(spark, sf_dir, "supplier").select(
+    return sources.stores(_scan(_store_rows(spark, sf_dir), "stores"))
+
+
+def _store_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("store_id"), F.col("s_name").alias("store_name"), F.concat_ws(", ", "s_name", "s_nationkey").alias("street"), F.lit("00123").alias("postal_code"),
         F.lit("city").alias("city"), F.lit("state").alias("state"), F.col("s_acctbal").alias("latitude"), F.col("s_acctbal").alias("longitude"))
-    return sources.stores(_scan(rows, "stores"))
 
 
 @query("csv_users_scan", "select c_custkey as user_id, strftime(date '1970-01-01' + cast(c_custkey as integer), '%Y-%m-%d') as birthdate from customer")
@@ -558,10 +566,255 @@ def stream_q1(spark, sf_dir):
 
 @query("stream_q4", Q4_SQL)
 def stream_q4(spark, sf_dir):
+    """Lists of three buyers a store, kept as the counts grow; the users are joined in the end."""
     out = new_folder(spark, "stream-q4")
-    users = _users(spark, sf_dir)
-    finish = lambda top: equi_join(users, top, ("user_id", "user_id"), ["store_id", "birthdate"]).toDF("store_name", "birthdate")
     rows = filter_rows(_stream(spark, sf_dir), [["year", "equals_any", [2024, 2025]], ["user_id", "not_equals", ["", "None"]]])
-    stream_top_k(rows, f"{out}/checkpoint", ["store_id", "user_id"], [["count", "n"]], ["store_id"], "keep_asc_desc",
-                 {"comp_key": "n", "comp_key2": "user_id", "limit": 3}, lambda df: df.write.mode("overwrite").parquet(f"{out}/rows"), finish).awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    top = {"comp_key": "n", "comp_key2": "user_id", "limit": 3}
+    stream_top_k(rows, out, f"{out}/checkpoint", ["store_id", "user_id"], ["count", "n"], ["store_id"], "keep_asc_desc", top).awaitTermination()
+    lists = read_top_k(spark, out, "store_id string, user_id long, n long")
+    return equi_join(_users(spark, sf_dir), lists, ("user_id", "user_id"), ["store_id", "birthdate"]).toDF("store_name", "birthdate")
+
+
+def _hot(df: DataFrame, spread: int) -> DataFrame:
+    """A stream of the table in several micro-batches."""
+    return _arriving(df.repartition(spread), "increments")
+
+
+@query("stream_append_replayed", Q1_SQL)
+def append_replayed(spark, sf_dir):
+    """The first report appended to a table by a stream. Then the last micro-batch runs again, since its mark in
+    the checkpoint is gone, and a folder lies there that was never published: readers see each row once."""
+    out = new_folder(spark, "append")
+    rows = P.transactions_filter(replace(event_sources(spark, sf_dir), transactions=as_transactions(_hot(table(spark, sf_dir, "events"), 6))))
+    append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    log = Published(spark, f"{out}/table")
+    last = log.batches()[-1]
+    remove(spark, f"{out}/checkpoint/commits/{last}")
+    remove(spark, f"{out}/checkpoint/commits/.{last}.crc")
+    append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    rows_of = log.read(rows.schema)
+    rows_of.write.parquet(log.folder(last + 1))
+    return log.read(rows.schema)
+
+
+#: Lines in a partial result.
+LINES = 500
+
+
+def _partial_results(e: DataFrame) -> DataFrame:
+    """Six sessions' results of each event type, in messages of up to LINES lines. Session 5 lacks a message of its
+    clicks, and session 3 is aborted; of session 4 the end of the views is not announced."""
+    e = e.select((F.col("user_id") % 6).cast("string").alias("session_id"), F.col("event_type").alias("query"), F.floor(F.col("event_id") / LINES).alias("part"),
+                 F.concat_ws(",", F.col("event_id").cast("string"), F.col("value").cast("string")).alias("line"))
+    key = ["session_id", "query"]
+    data = e.groupBy(*key, "part").agg(F.collect_list("line").alias("lines")).select(*key, F.lit(None).cast("long").alias("expected"), F.lit(1).cast("long").alias("n_messages"), "lines")
+    announced = F.when(F.col("session_id") == "3", -1).when((F.col("session_id") == "5") & (F.col("query") == "click"), F.col("n") + 1).otherwise(F.col("n"))
+    ends = e.groupBy(*key).agg(F.count_distinct("part").alias("n")).filter("not (session_id = '4' and query = 'view')")
+    ends = ends.select(*key, announced.cast("long").alias("expected"), F.lit(0).cast("long").alias("n_messages"), F.lit(None).cast("array<string>").alias("lines"))
+    return data.unionByName(ends)
+
+
+_PARTS_SQL = """select cast(user_id % 6 as varchar) as session_id, event_type as query, cast(event_id as varchar) as event_id from events
+ where user_id % 6 <> 3 and not (user_id % 6 = 5 and event_type = 'click') and not (user_id % 6 = 4 and event_type = 'view')"""
+
+
+def _released_parts(spark, sf_dir) -> DataFrame:
+    out = new_folder(spark, "ledger")
+    stream_completed(_hot(_partial_results(table(spark, sf_dir, "events")), 6), ["session_id", "query"], out, f"{out}/checkpoint").awaitTermination()
+    lines = read_completed(spark, out, "session_id string, query string, lines array<string>")
+    return lines.select("session_id", "query", F.explode("lines").alias("line")).select("session_id", "query", F.split("line", ",")[0].alias("event_id"))
+
+
+@query("stream_result_ledger", _PARTS_SQL)
+def result_ledger(spark, sf_dir):
+    """Partial results come in any order; a session's report is published once all of its messages are there."""
+    return _released_parts(spark, sf_dir)
+
+
+@query("stream_ready_sessions", "select distinct cast(user_id % 6 as varchar) as session_id from events where user_id % 6 not in (3, 4, 5)")
+def sessions_ready(spark, sf_dir):
+    """Sessions whose reports are all published."""
+    types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
+    return ready_sessions(_released_parts(spark, sf_dir), types)
+
+
+@query("stream_split_gate", _COMPLETE_SQL)
+def split_gate(spark, sf_dir):
+    """The gate with each session's rows spread over shards; only counts meet in a session."""
+    out = new_folder(spark, "split-gate")
+    stream_completed(_hot(_messages(table(spark, sf_dir, "events")), 6), ["session_id"], out, f"{out}/checkpoint").awaitTermination()
+    return read_completed(spark, out, "session_id string, payload string")
+
+
+@query("stream_fanout_q1_q3_q4", SQL["fanout_q1_q3_q4"])
+def stream_fanout(spark, sf_dir):
+    """One stream of the events feeds three reports; each micro-batch is read once. Sums and counts of the
+    micro-batches are added up in the end."""
+    out, years, hours = new_folder(spark, "stream-fan-out"), ["year", "equals_any", [2024, 2025]], ["hour", "between", [6, 23]]
+    branches = {
+        "q1": lambda d: select_rows(d, [years, hours, ["final_amount", ">=", [75]]], out=["transaction_id", "final_amount"]),
+        "q3": lambda d: group_by(select_rows(d, [years, hours]), ["store_id"], [["money_sum", "final_amount", "v"]]),
+        "q4": lambda d: group_by(select_rows(d, [years, ["user_id", "not_equals", ["", "None"]]]), ["store_id", "user_id"], [["count", "n"]]),
+    }
+    stream_fan_out(as_transactions(_hot(table(spark, sf_dir, "events"), 6)), branches, out, f"{out}/checkpoint").awaitTermination()
+    q1 = read_fan_out(spark, out, "q1", "transaction_id long, final_amount double").select(F.col("transaction_id").cast("string").alias("k"), F.col("final_amount").alias("v"))
+    q3 = group_by(read_fan_out(spark, out, "q3", "store_id string, v double"), ["store_id"], [["money_sum", "v"]]).toDF("k", "v")
+    counts = read_fan_out(spark, out, "q4", "store_id string, user_id long, n long").groupBy("store_id", "user_id").agg(F.sum("n").alias("n"))
+    q4 = reduce_rows(counts, ["store_id"], "keep_asc_desc", {"comp_key": "n", "comp_key2": "user_id", "limit": 3})
+    q4 = q4.select(F.concat_ws("/", "store_id", F.col("user_id").cast("string")).alias("k"), F.col("n").cast("double").alias("v"))
+    return tagged_union({"q1": q1, "q3": q3, "q4": q4}).select("query", "k", "v")
+
+
+@query("stream_join_two_sided", """select o_orderkey, o_totalprice, l_linenumber, l_partkey from orders join lineitem on o_orderkey = l_orderkey
+ where l_shipdate between o_orderdate - interval 130 days and o_orderdate + interval 130 days""")
+def join_two_sided(spark, sf_dir):
+    """Orders and their items as two streams, in append mode; rows that can match nothing any more are freed."""
+    out = new_folder(spark, "stream-stream")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("ordered"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("shipped"))
+    streams = [_arriving(df.repartitionByRange(6, at), "side") for df, at in ((orders, "ordered"), (lines, "shipped"))]
+    joined = stream_join(*streams, ("o_orderkey", "l_orderkey"), ["o_orderkey", "o_totalprice", "l_linenumber", "l_partkey"], ("ordered", "shipped"), "130 days", "3650 days")
+    append_stream(joined, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return Published(spark, f"{out}/table").read(joined.schema)
+
+
+class _Spread(Accumulator):
+    """Largest less smallest value."""
+
+    def new(self):
+        return None
+
+    def add(self, state, value):
+        return state if value is None else (value, value) if state is None else (min(state[0], value), max(state[1], value))
+
+    def merge(self, state, other):
+        return other if state is None else state if other is None else (min(state[0], other[0]), max(state[1], other[1]))
+
+    def result(self, state):
+        return None if state is None else state[1] - state[0]
+
+
+class _Odd(Accumulator):
+    """How many values are odd."""
+
+    out = "long"
+
+    def new(self):
+        return 0
+
+    def add(self, state, value):
+        return state + (value is not None and value % 2)
+
+    def merge(self, state, other):
+        return state + other
+
+
+@query("accumulate_own", "select event_type, max(value) - min(value) as spread, count(*) filter (event_id % 2 = 1) as odd from events group by 1")
+def accumulate_own(spark, sf_dir):
+    """A user's own aggregates by partial states."""
+    register_accumulator("spread", _Spread())
+    register_accumulator("odd", _Odd())
+    return accumulate(table(spark, sf_dir, "events"), ["event_type"], [["spread", "value", "spread"], ["odd", "event_id", "odd"]])
+
+
+@query("reduce_own", """select event_type, event_id, value, rank from (select event_type, event_id, value,
+ row_number() over (partition by event_type order by abs(value - 50), event_id) as rank from events) where rank <= 4""")
+def reduce_own(spark, sf_dir):
+    """A user's own order of rows: the four nearest to 50 of each type."""
+    register_row_order("nearest to 50", lambda row: (row["value"] is None, abs((row["value"] or 0) - 50), row["event_id"]))
+    events = table(spark, sf_dir, "events").select("event_type", "event_id", "value")
+    return least_rows(events, ["event_type"], "nearest to 50", 4, rank=True).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("stream_by_bytes", _SCANNED)
+def stream_by_bytes(spark, sf_dir):
+    """The transactions as increments of about a tenth of their bytes."""
+    out, path = new_folder(spark, "stream-bytes"), _as_csv(spark, sf_dir, parts=20)
+    size = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).agg(F.sum("length")).first()[0]
+    rows = sources.transactions(sources.stream_dataset(spark, path, "transactions", bytes_per_trigger=size // 10))
+    append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return Published(spark, f"{out}/table").read(rows.schema)
+
+
+@query("csv_quarantine", f"""select 'row' as kind, transaction_id, final_amount, null as line from ({_SCANNED} where event_id % 10 <> 3)
+ union all select 'line', null, null, cast(event_id as varchar) from events where event_id % 10 = 3""")
+def csv_quarantine(spark, sf_dir):
+    """Malformed lines go to a table of their own, with their file; the rest stays. One parse for both."""
+    amount = F.when(F.col("event_id") % 10 == 3, "n/a").otherwise(F.col("value").cast("string"))
+    good, bad = sources.quarantine(spark, _as_csv(spark, sf_dir, amount), "transactions")
+    rows = sources.transactions(good).select(F.lit("row").alias("kind"), "transaction_id", "final_amount", F.lit(None).cast("string").alias("line"))
+    lines = bad.filter("file like '%.csv'").select(F.lit("line").alias("kind"), F.lit(None).cast("string"), F.lit(None).cast("double"), F.split("line", ",")[0])
+    return rows.unionAll(lines)
+
+
+def _sets(spark, sf_dir) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    e = table(spark, sf_dir, "events")
+    large, some = (filter_rows(e, [["value", ">=", [v]]]).select("event_type", "user_id") for v in (75, 50))
+    return {"large": large, "some": some, "gone": large}, {"large": stream_q1(spark, sf_dir).select(F.lit("x"), "final_amount"), "some": large}
+
+
+@query("comparison_counts", """with e as (select event_type, user_id, value from events),
+c as (select count(*) filter (value >= 75) as l, count(*) filter (value >= 50) as s, count(*) filter (value >= 75 and year(ts) in (2024,2025) and hour(ts) between 6 and 23) as q from events)
+select 'large' as name, 'different' as status, l as n_expected, q as n_actual, l as n_lost, q as n_added from c
+union all select 'some', case when l = s then 'matched' else 'different' end, s, l, s - l, 0 from c
+union all select 'gone', 'missing', l, 0, l, 0 from c""")
+def comparison_counts(spark, sf_dir):
+    """Result sets held against each other, with the rows that either side lacks."""
+    return compared(spark, *_sets(spark, sf_dir))
+
+
+@query("comparison_totals", """select count(*) filter (true) - 1 as n_compared, count(*) filter (same) as n_matched, count(*) filter (not same) - 1 as n_different, 1 as n_missing,
+ 'failed' as status from (select false as same union all select count(*) filter (value >= 75) = count(*) filter (value >= 50) from events union all select false)""")
+def comparison_totals(spark, sf_dir):
+    return totals(compared(spark, *_sets(spark, sf_dir)))
+
+
+@query("join_duplicate_names", "select o_orderkey as a, o_custkey as b, 'left' as c, c_custkey as d, c_name as e, c_nationkey as f from orders join customer on o_custkey = c_custkey")
+def join_duplicate_names(spark, sf_dir):
+    """All columns of both sides, those of one name included: named by position in the end."""
+    left = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id"), F.lit("left").alias("name"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), "c_nationkey")
+    return name_columns(equi_join(left, right, ("id", "id"), keep_duplicates=True), list("abcdef"))
+
+
+@query("run_new_session", "select count(*) as n_rows, 1 as n_sessions from orders join customer on o_custkey = c_custkey where year(o_orderdate) in (1996, 1997) and o_totalprice >= 75")
+def run_new_session(spark, sf_dir):
+    """All reports under a session id of their own; its first report is found in its folder."""
+    s, out = replace(order_sources(spark, sf_dir), users=_user_rows(spark, sf_dir).select("user_id", "birthdate")), new_folder(spark, "results")
+    paths = P.run_all(s, out)
+    session = paths["query_1"].removeprefix(out).split("/")[1].removeprefix("session_id=")
+    return sinks.read_results(spark, out, session)["query_1"].agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.lit(session)).alias("n_sessions"))
+
+
+def _round_trip(df: DataFrame, name: str) -> DataFrame:
+    """The wide columns of a dataset, written without a header and read back."""
+    path = new_folder(df.sparkSession, "sanitised")
+    sources.wide(_scan(df, name), name).write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return sources.read_sanitised(df.sparkSession, path, name)
+
+
+@query("sanitised_items", """select cast(l_orderkey as varchar) as transaction_id, cast(l_partkey as integer) as item_id, cast(l_quantity as integer) as quantity,
+ l_extendedprice as subtotal, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') as created_at from lineitem""")
+def sanitised_items(spark, sf_dir):
+    back = _round_trip(_item_rows(spark, sf_dir), "transaction_items").drop("unit_price")
+    return back.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("sanitised_users", """select c_custkey as user_id, strftime(date '1970-01-01' + cast(c_custkey as integer), '%Y-%m-%d') as birthdate, '2025-01-01 07:31:48' as registered_at from customer""")
+def sanitised_users(spark, sf_dir):
+    back = _round_trip(_user_rows(spark, sf_dir), "users")
+    return back.select("user_id", F.col("birthdate").cast("string").alias("birthdate"), F.date_format("registered_at", "yyyy-MM-dd HH:mm:ss").alias("registered_at"))
+
+
+@query("sanitised_stores", "select cast(s_suppkey as integer) as store_id, s_name as store_name, 'city' as city, 'state' as state from supplier")
+def sanitised_stores(spark, sf_dir):
+    return _round_trip(_store_rows(spark, sf_dir), "stores")
+
+
+@query("sanitised_transactions", """select cast(event_id as varchar) as transaction_id, cast(user_id % 10 as integer) as store_id, user_id, value as original_amount, value as final_amount,
+ strftime(ts, '%Y-%m-%d %H:%M:%S') as created_at from events""")
+def sanitised_transactions(spark, sf_dir):
+    path = new_folder(spark, "sanitised")
+    rows = sources.read_dataset(spark, _as_csv(spark, sf_dir), "transactions")
+    sources.wide(rows, "transactions").write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    return sources.read_sanitised(spark, path, "transactions").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))

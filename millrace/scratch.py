@@ -35,7 +35,7 @@ def written(df: DataFrame, what: str, partition_by: list[str] | None = None) ->
     """Cut the lineage: write as Parquet to the shared folder and read back."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path, partitionBy=partition_by)
-    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])  # columns of folders come last
     out._written_to = path
     return out
 

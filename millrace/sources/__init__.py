@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import written
+
 CORRUPT = "_corrupt"
 
 
@@ -84,9 +86,23 @@ def read_dataset(spark: SparkSession, path: str | list[str], name: str, mode: st
     return spark.read.schema(schema).options(**options).csv(path)
 
 
-def stream_dataset(spark: SparkSession, path: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """The streaming twin: new files in the folder are the increments."""
-    options = _options("DROPMALFORMED") | {"maxFilesPerTrigger": files_per_trigger}
+def quarantine(spark: SparkSession, path: str | list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of a dataset and, apart, its malformed lines with the file and the block of it that they are
+    in: ``file, block_start, line``. The files are parsed once; both parts are then read from a table in
+    the shared folder that is divided by ``malformed``."""
+    parsed = read_dataset(spark, path, name, "PERMISSIVE")
+    where = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start")
+    parsed = parsed.select("*", *where, F.col(CORRUPT).isNotNull().cast("int").alias("malformed"))
+    kept = written(parsed, "parsed", ["malformed"])
+    bad = kept.filter("malformed = 1").select("file", "block_start", F.col(CORRUPT).alias("line"))
+    return kept.filter("malformed = 0").select(*SCHEMAS[name].names), bad
+
+
+def stream_dataset(spark: SparkSession, path: str, name: str, files_per_trigger: int = 100, bytes_per_trigger: int | None = None) -> DataFrame:
+    """The streaming twin: new files in the folder are the increments, so each holds whole lines. A micro-batch
+    takes so many files at most or, with ``bytes_per_trigger``, files of about so many bytes (one at least)."""
+    limit = {"maxBytesPerTrigger": bytes_per_trigger} if bytes_per_trigger else {"maxFilesPerTrigger": files_per_trigger}
+    options = _options("DROPMALFORMED") | limit
     return spark.readStream.schema(SCHEMAS[name]).options(**options).csv(path)
 
 

@@ -40,15 +40,13 @@ class _Gate(StatefulProcessor):
         received, expected = self.progress.get() if self.progress.exists() else (0, None)
         if expected == OVER:
             return
-        kept: list[tuple] = []
         for pdf in rows:
             received += int(pdf["n_messages"].sum())
             ends = pdf["expected"].dropna()
             if len(ends):
                 expected = int(ends.min())
-            kept += [(v,) for v in pdf[self.payload].dropna()]
-        if kept:
-            self.rows.appendList(kept)
+            if kept := [(v,) for v in pdf[self.payload].dropna()]:
+                self.rows.appendList(kept)
         if expected is not None and (expected < 0 or received >= expected):
             out = (v for (v,) in self.rows.get()) if expected >= 0 and self.rows.exists() else iter(())
             while part := list(islice(out, SLICE)):

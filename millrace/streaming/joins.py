@@ -6,8 +6,8 @@ Both sides are messages as in :mod:`.completion`: ``session_id string, expected
 and columns of their own. End markers and messages without rows have a null join column, so they never
 match.
 
-The streaming form keeps its state in tables: the rows of each micro-batch, and a row of counters for
-each session. A finished session is joined as one batch join on session and key, so a session of any
+The streaming form keeps its state in tables: the rows of each micro-batch, a row of counters for
+each open session, and apart from them the ids of those that are over. A finished session is joined as one batch join on session and key, so a session of any
 size is spread by its keys. Each micro-batch writes folders of its own number and reads only those of
 smaller numbers, so a repeated one writes the same again.
 """
@@ -67,20 +67,26 @@ def stream_completed_join(left: DataFrame, right: DataFrame, on: tuple[str, str]
         table = lambda name, k: f"{root}/{name}/batch={k}"
         batch.write.mode("overwrite").parquet(table("rows", n))
         now = _progress(spark.read.schema(batch.schema).parquet(table("rows", n))).withColumns({"since": F.lit(n), "over": F.lit(None).cast("int")})
-        before = spark.read.schema(now.schema).parquet(table("sessions", n - 1)) if n else now.limit(0)
+        before = now.limit(0)
+        if n:  # what comes for a session that is over is dropped
+            before = spark.read.schema(now.schema).parquet(table("sessions", n - 1)).filter("over is null")
+            past = spark.read.schema("session_id string, batch int").parquet(f"{root}/over").filter(F.col("batch") < n)
+            now = now.join(past, "session_id", "left_anti")
         sums = [F.sum(f"received_{s}").alias(f"received_{s}") for s in SIDES]
         least = [F.min(c).alias(c) for c in ("expected_left", "expected_right", "since", "over")]
         total = before.unionByName(now).groupBy("session_id").agg(*sums, *least)
         total.withColumn("over", F.coalesce("over", F.when(F.expr(f"{COMPLETE} or {ABORTED}"), n))).write.mode("overwrite").parquet(table("sessions", n))
 
-        done = spark.read.schema(now.schema).parquet(table("sessions", n)).filter(f"over = {n} and {COMPLETE}")
+        over = spark.read.schema(total.schema).parquet(table("sessions", n)).filter(f"over = {n}")
+        over.select("session_id").write.mode("overwrite").parquet(table("over", n))
+        done = over.filter(COMPLETE)
         first = done.agg(F.min("since")).first()[0]
         rows = spark.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.IntegerType())])).parquet(f"{root}/rows")
         rows = rows.filter(F.col("batch").between(n if first is None else first, n)).drop("batch")
         _matches(rows, done, on).write.mode("overwrite").parquet(table("joined", n))
 
         # open before this micro-batch: only those sessions' rows can be read by it, or by its repetition
-        needed = before.filter("over is null").agg(F.min("since")).first()[0] if n else 0
+        needed = before.agg(F.min("since")).first()[0] if n else 0
         while freed[0] < (n if needed is None else needed):
             remove(spark, table("rows", freed[0]))
             freed[0] += 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.sources import in_years
 from millrace.functions import decode_half, decode_month, half_index, month_index, whole_number
 from millrace.operators import (
-    MAPS, PREDICATES, build_filter, equi_join, fan_out, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns,
+    AGGREGATES, JOIN_KINDS, MAPS, PREDICATES, REDUCERS, build_filter, equi_join, fan_out, filter_rows, group_by, map_rows, multiset_diff, name_columns, pad_columns,
     reduce_rows, register_aggregate, register_join, register_map, register_predicate, register_reducer, same_rows, select_rows, summary, union_all,
 )
 
@@ -171,7 +171,7 @@ def test_registries_take_new_operators(spark):
     assert rows(group_by(df, ["g"], [["min", "id", "lo"]])) == [("A", 0)]
     assert rows(reduce_rows(df, ["g"], "keep_first", {"comp_key": "id"}, ["id"])) == [(0,)]
     assert equi_join(df, spark.createDataFrame([("a",)], "h string"), ("g", "h"), kind="no_case").count() == 4
-    PREDICATES.pop("even"), MAPS.pop("double_it")
+    PREDICATES.pop("even"), MAPS.pop("double_it"), AGGREGATES.pop("min"), REDUCERS.pop("keep_first"), JOIN_KINDS.pop("no_case")
 
 
 def test_plans_are_the_ones_wanted(spark, tmp_path):
