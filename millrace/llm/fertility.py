@@ -2,11 +2,20 @@
 
 Each word goes through two public vocabularies, once in a memo's lifetime: a sentencepiece BPE with
 byte fallback and a byte-level BPE. A text is then measured by characters per token under both, the
-share of tokens that are byte fallbacks, and the entropy of its tokens. The bands of allowed values
-depend on the text's main script; a text outside a band of its script is rejected. Word and line
-counts beside them form the base rule: too few words, or mostly repeated three-word windows.
-
-Null text counts as having no words, and fails the base rule. Whole texts are measured.
+share of tokens that are byte fallbacks, and the entropy of its tokens. Word and line counts beside them
+form the base rule: too few words, or mostly repeated three-word windows.
+
+Texts that pass it are held against bands of allowed values. Wide fixed bands by main script catch what no
+language does. Narrow ones are fitted to the corpus (:func:`judge_fitted`): quartiles of each measure over all
+texts of a language (or script, where the language is not known) and of about the same number of words, since
+the measures of short texts vary more; a text further than ``SPREAD`` times the distance of the quartiles
+outside of them is rejected. Quartiles are aggregates of bounded size, added up in each task first, and hardly
+move with a share of junk below a fourth. A class of fewer than ``LEAST_TEXTS`` texts takes the bands of its
+whole language; if that has as few, only the fixed ones hold.
+
+Null and empty text has no word, and fails the base rule. Very long texts and words are measured whole.
+Repeated rows are measured, and counted in the bands, each for itself. Extra columns that are kept stay, but
+those named like a measure are replaced. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -18,8 +27,10 @@ from array import array
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from ..scratch import written
 from .common import Memo, map_texts, tool
 
 SYMBOLS = "#*$%&|<>"
@@ -182,8 +193,7 @@ def measure(docs: DataFrame, piece_model: str, byte_ranks: str, pattern: str, te
 
 
 def judge(measured: DataFrame, bands: dict[str, Band] = BANDS, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """Add base_failed, the verdict of the bands (in_band), and kept (neither fails)."""
-    from pyspark.sql import functions as F
+    """Add base_failed, the verdict of the fixed bands (in_band), and kept (neither fails)."""
 
     def inside(b: Band):
         chars = F.col("chars_per_piece").between(b.least_chars, b.most_chars) & F.col("chars_per_byte_token").between(b.least_chars / 2, b.most_chars)
@@ -194,3 +204,46 @@ def judge(measured: DataFrame, bands: dict[str, Band] = BANDS, min_words: int =
         verdict = F.when(F.col("script") == name, inside(band)).otherwise(verdict)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("in_band", verdict).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+
+
+#: Which ends of a measure's band are fitted.
+MEASURES = {"chars_per_piece": (True, True), "chars_per_byte_token": (True, True), "fallback_share": (False, True), "entropy_share": (True, False)}
+#: Distances of the quartiles that a band reaches beyond them, the least such distance, texts that a band is fitted to
+#: at least, and the class of the longest texts (2^11 words and more).
+SPREAD, LEAST_DISTANCE, LEAST_TEXTS, LONGEST = 2.0, 0.01, 50, 11
+
+
+def fitted_bands(judged: DataFrame, group: Column, spread: float = SPREAD) -> DataFrame:
+    """Bands of each group and class of size, and of each group as a whole (size null): a written table, with the
+    number of texts that each was fitted to. Texts that fail the base rule don't count."""
+    sized = judged.filter(~F.col("base_failed")).select(group.alias("group"), size_class().alias("size"), *MEASURES)
+    quartiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in MEASURES]
+    counted = sized.rollup("group", "size").agg(F.count(F.lit(1)).alias("n"), *quartiles).filter("group is not null")
+
+    def band(m: str) -> Column:
+        low, high = F.col(m)[0], F.col(m)[1]
+        reach = spread * F.greatest(high - low, F.lit(LEAST_DISTANCE))
+        return F.struct((low - reach).alias("low"), (high + reach).alias("high")).alias(m)
+
+    return written(counted.select("group", "size", "n", *map(band, MEASURES)), "bands")
+
+
+def size_class() -> Column:
+    return F.least(F.floor(F.log2(F.greatest("n_words", F.lit(1)))), F.lit(LONGEST)).cast("int")
+
+
+def judge_fitted(measured: DataFrame, group: Column, spread: float = SPREAD, least_texts: int = LEAST_TEXTS, **base) -> DataFrame:
+    """As :func:`judge`, with bands fitted to ``measured`` by ``group`` (a name that is not null) as well. The
+    measures are written first, since they are read twice."""
+    judged = judge(written(measured, "measures"), **base)
+    bands = fitted_bands(judged, group, spread).filter(F.col("n") >= least_texts)
+    of = lambda name, whole: bands.filter(F.col("size").isNull() == whole).select(F.col("group").alias(f"{name}_group"), F.col("size").alias(f"{name}_size"), F.struct(*MEASURES).alias(name))
+    rows = judged.withColumns({"__group": group, "__size": size_class()})
+    rows = rows.join(of("__own", False), (F.col("__group") == F.col("__own_group")) & (F.col("__size") == F.col("__own_size")), "left")
+    rows = rows.join(of("__all", True), F.col("__group") == F.col("__all_group"), "left").withColumn("__band", F.coalesce("__own", "__all"))
+    inside = F.lit(True)
+    for m, (low, high) in MEASURES.items():
+        inside = inside & (F.col(m) >= F.col(f"__band.{m}.low") if low else F.lit(True)) & (F.col(m) <= F.col(f"__band.{m}.high") if high else F.lit(True))
+    in_band = F.col("in_band") & F.coalesce(inside, F.lit(True))
+    told = rows.withColumn("in_band", in_band).withColumn("kept", ~F.col("base_failed") & F.col("in_band"))
+    return told.select(*[F.col(f"`{c}`") for c in judged.columns])

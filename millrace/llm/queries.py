@@ -71,8 +71,9 @@ def op4(spark, sf_dir):
 
 @query("op5_fertility")
 def op5(spark, sf_dir):
-    measured = fertility.measure(table(spark, sf_dir, "documents", "doc_id", "text"), PIECES, BYTE_RANKS, public_tokenizers.PATTERN, keep=["doc_id"])
-    return fertility.judge(measured)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    measured = fertility.measure(docs, PIECES, BYTE_RANKS, public_tokenizers.PATTERN, keep=["doc_id", "lang"])
+    return fertility.judge_fitted(measured, F.coalesce("lang", "script")).drop("lang")
 
 
 _KEY = "translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -79,6 +79,70 @@ def test_bands_reject(spark):
     assert row.fallback_share > 0.8 and not row.in_band and not row.kept
 
 
+def bands_plainly(rows, spread=2.0, least=50):
+    """kept by the fitted bands alone, for rows (group, n_words, measures by name); quartiles of all values."""
+    import math
+    from collections import defaultdict
+
+    size = lambda n: min(int(math.log2(max(n, 1))), 11)
+    classes = defaultdict(list)
+    for g, n, m in rows:
+        classes[g, size(n)].append(m)
+        classes[g, None].append(m)
+
+    def inside(g, n, m):
+        of = next((classes[k] for k in ((g, size(n)), (g, None)) if len(classes[k]) >= least), None)
+        if of is None:
+            return True
+        for name, (low, high) in fertility.MEASURES.items():
+            values = sorted(x[name] for x in of)
+            a, b = (values[max(0, math.ceil(q * len(values)) - 1)] for q in (0.25, 0.75))
+            reach = spread * max(b - a, 0.01)
+            if low and m[name] < a - reach or high and m[name] > b + reach:
+                return False
+        return True
+
+    return [inside(*r) for r in rows]
+
+
+def test_fitted_bands_equal_plain_quartiles(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(700):
+        g, n = rng.choice(["a", "a", "a", "b", "c"]), rng.choice([55, 60, 100, 300, 5_000])
+        odd_one = rng.random() < 0.1
+        rows.append((k, n, 0 if rng.random() < 0.95 else n, "latin", rng.gauss(2.2, 0.05) - 0.5 * odd_one, rng.gauss(2.0, 0.05), rng.choice([0.0, 0.0, 0.01, 0.2]), rng.gauss(0.7, 0.05) - 0.2 * odd_one, g))
+    rows += [(1000 + k, 60, 0, "latin", 2.0, 2.0, 0.0, 0.7, "few") for k in range(49)] + [(2000, 60, 0, "latin", 6.9, 6.9, 0.2, 0.5, "few")]
+    schema = "doc_id long, n_words long, n_repeat_words long, script string, chars_per_piece double, chars_per_byte_token double, fallback_share double, entropy_share double, g string"
+    from pyspark.sql import functions as F
+
+    out = {r.doc_id: r for r in fertility.judge_fitted(spark.createDataFrame(rows, schema).repartition(5), F.col("g")).collect()}
+    passed = [r for r in rows if r[2] == 0]
+    plain = bands_plainly([(r[8], r[1], dict(zip(fertility.MEASURES, r[4:8], strict=True))) for r in passed])
+    assert [out[r[0]].kept for r in passed] == plain and 20 < plain.count(False) < 200
+    assert len(out) == len(rows) and not any(out[r[0]].kept for r in rows if r[2])
+
+
+def test_bands_reject_junk_and_keep_clean_texts(spark):
+    """The labels of the table say which texts are junk; what the base rule leaves of them is for the bands."""
+    sf = "/root/testdata/sf0.1"
+    good = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.QUERIES["op5_fertility"](spark, sf).collect() if not r.base_failed and r.doc_id in good]
+    rejected = lambda q: sum(not r.kept for r in rows if good[r.doc_id] == q) / sum(good[r.doc_id] == q for r in rows)
+    assert rejected(0) > 0.75 and rejected(1) < 0.015, (rejected(0), rejected(1))
+
+
+def test_fitted_bands_of_odd_tables(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = clash(odd(spark), "lang", "group", "size", "n_words").withColumn("lang", F.lit(None).cast("string"))
+    docs.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    out = queries.QUERIES["op5_fertility"](spark, str(tmp_path / "a"))
+    assert out.count() == len(ODD) and out.columns[0] == "doc_id" and out.columns[-3:] == ["base_failed", "in_band", "kept"]
+    assert out.filter("kept is null or base_failed is null").isEmpty() and queries.QUERIES["op5_fertility"](spark, str(tmp_path / "b")).count() == 0
+
+
 def test_repeated_words_with_large_numbers():
     import numpy as np
 
