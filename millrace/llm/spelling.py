@@ -39,17 +39,18 @@ from .common import release, ship
 from .order_minhash import ODD, mix
 
 #: Code points of words: A-Z, a-z and U+00C0 to U+00FF.
-WORD = r"[A-Za-zÀ-ÿ]+"
+WORD = "[A-Za-zÀ-ÿ]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_COUNT, RATIO = 6, 5, 5
-#: Words in a tile of a large block, and words that are compared with a tile at a time.
-TILE, STRIP = 2_048, 512
+#: Words in a tile of a large block, words that are compared with a tile at a time, and pairs that are verified at a time.
+TILE, STRIP, VERIFIED = 2_048, 512, 1 << 16
 #: Letters in the order in which they are dealt into groups: common ones first, so that all groups get some.
 LETTERS = "etaoinsrhldcumfpgwybvkxjqzéèàçäöüßáíóúñê"
 GROUPS = 4
 PAIRS = list(combinations(range(GROUPS), 2))
-#: The first pair of groups that an edit in these groups leaves as it was.
-FIRST = {frozenset(t): next(k for k, p in enumerate(PAIRS) if not set(p) & set(t)) for n in range(3) for t in combinations(range(GROUPS), n)}
+BITS = 1 << np.arange(GROUPS)
+#: By touched groups, as bits: the first pair of groups that an edit in them leaves as it was.
+FIRST = np.array([next((k for k, p in enumerate(PAIRS) if not any(bits >> g & 1 for g in p)), -1) for bits in range(1 << GROUPS)])
 
 
 def _columns() -> np.ndarray:
@@ -76,11 +77,16 @@ def counts(words: list[str]) -> np.ndarray:
     return np.bincount(row * WIDTH + column, minlength=len(words) * WIDTH).reshape(len(words), WIDTH)
 
 
+def group_keys(counted: np.ndarray) -> np.ndarray:
+    """Per word and group of letters: 64 bits that tell the counts of those letters."""
+    folded = counted.astype(np.uint64) * WEIGHTS
+    return np.stack([folded[:, GROUP == g].sum(axis=1, dtype=np.uint64) for g in range(GROUPS)], axis=1)
+
+
 def block_keys(words: list[str]) -> np.ndarray:
     """Per word: a key for each pair of groups, in the blocks of its own length (first half) and of the one
     below (second half). Equal counts and lengths have equal keys; other words seldom."""
-    folded = counts(words).astype(np.uint64) * WEIGHTS
-    group = np.stack([folded[:, GROUP == g].sum(axis=1, dtype=np.uint64) for g in range(GROUPS)], axis=1)
+    group = group_keys(counts(words))
     size = np.array([len(w) for w in words], np.uint64)
     keys = []
     for length in (size, size - np.uint64(1)):
@@ -89,49 +95,92 @@ def block_keys(words: list[str]) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Exactly one inserted, deleted or replaced code point; ``b`` is as long as ``a`` or longer by one."""
-    at = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a != b and a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else len(b) == len(a) + 1 and a[at:] == b[at + 1 :]
-
-
-def close(words: list[str], others: list[str], pair: int) -> Iterator[tuple[int, int]]:
-    """Near pairs (position in ``words``, position in ``others``) that belong to the block of this pair of groups."""
-    if not words or not others:
-        return
-    y = counts(others).astype(np.float64)
-    norm = (y * y).sum(axis=1)
-    for at in range(0, len(words), STRIP):
-        x = counts(words[at : at + STRIP]).astype(np.float64)
-        apart = (x * x).sum(axis=1)[:, None] + norm[None, :] - 2 * (x @ y.T)
-        for i, j in zip(*(k.tolist() for k in np.nonzero(apart <= 2)), strict=True):
-            touched = frozenset(GROUP[np.flatnonzero(x[i] != y[j])].tolist())
-            if FIRST.get(touched) == pair and one_edit(words[at + i], others[j]):
-                yield at + i, j
-
-
-class Block:
-    """Words of one block, or of two of its tiles: (word, n, longer, second tile)."""
-
-    def __init__(self, key: tuple):
-        self.pair, self.own = key[1], key[2] == key[3]
-        self.rows: list[tuple[str, int, bool, bool]] = []
-
-    def near(self) -> Iterator[tuple[str, int, str, int]]:
-        part = lambda longer, second: [(w, n) for w, n, x, s in self.rows if x == longer and s == second]
-        short, long = [part(False, s) for s in (False, True)], [part(True, s) for s in (False, True)]
-        if self.own:  # one tile, or a whole block
-            yield from self._found(short[0], short[0], True)
-            yield from self._found(short[0], long[0])
+def codes(words: list[str]) -> np.ndarray:
+    """Words of one length as rows of code points."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), -1)
+
+
+def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Row by row: exactly one inserted, deleted or replaced code point; rows of ``b`` are as long or longer by one."""
+    n = a.shape[1]
+    if n == b.shape[1]:
+        return (a != b).sum(axis=1) == 1
+    head = np.minimum.accumulate(a == b[:, :n], axis=1).sum(axis=1)
+    tail = np.minimum.accumulate((a == b[:, 1:])[:, ::-1], axis=1).sum(axis=1)
+    return head + tail >= n
+
+
+class Blocks:
+    """Whole blocks, or pairs of tiles of blocks, row by row: their words are rows of one matrix of letter counts."""
+
+    def __init__(self, pairs: np.ndarray, words: list[str], longer: np.ndarray):
+        self.pairs, self.words, self.longer = pairs, words, longer
+        self.size = np.array([len(w) for w in words], np.int64)
+        exact = self.size.max(initial=0) < 2_000  # so that sums of squares are exact in single precision
+        counted = counts(words)
+        self.groups = group_keys(counted)
+        self.counts = counted.astype(np.float32 if exact else np.float64)
+        self.norm = (self.counts * self.counts).sum(axis=1)
+        self.other = self.counts[:, -1] > 0
+        self.waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
+        self.near: list[tuple[int, int]] = []
+
+    def compare(self, left: slice, right: slice) -> None:
+        """All pairs of two stretches of rows of one block. Pairs of the same letters are near only if they have
+        code points outside the letters."""
+        least = -1 if self.other[left].any() and self.other[right].any() else 0.5
+        for at in range(left.start, left.stop, STRIP):
+            rows = slice(at, min(at + STRIP, left.stop))
+            apart = self.norm[rows, None] + self.norm[None, right] - 2 * (self.counts[rows] @ self.counts[right].T)
+            i, j = np.nonzero((apart > least) & (apart < 2.5))
+            if len(i):
+                self.waiting.append((i + at, j + right.start))
+                self.n_waiting += len(i)
+                if self.n_waiting > VERIFIED:
+                    self.verify()
+
+    def verify(self) -> None:
+        """Of the pairs found so far, keep those of one edit, each once in its block, in the first block that they share."""
+        if not self.waiting:
+            return
+        i, j = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
+        kept = (self.longer[j] | (i < j)) & (self.size[j] == self.size[i] + self.longer[j])
+        i, j = i[kept], j[kept]
+        for at in range(0, len(i), VERIFIED):
+            a, b = i[at : at + VERIFIED], j[at : at + VERIFIED]
+            touched = self.groups[a] != self.groups[b]
+            first = FIRST[touched @ BITS] == self.pairs[a]
+            a, b = a[first], b[first]
+            lengths = self.size[a] * 2 + self.longer[b]
+            for length in np.unique(lengths):
+                x, y = a[lengths == length], b[lengths == length]
+                step = max(1, (VERIFIED << 4) // int(length))
+                for k in range(0, len(x), step):
+                    p, q = x[k : k + step], y[k : k + step]
+                    edit = one_edit(codes([self.words[m] for m in p.tolist()]), codes([self.words[m] for m in q.tolist()]))
+                    self.near += zip(p[edit].tolist(), q[edit].tolist(), strict=True)
+
+
+def near_in_blocks(pairs: np.ndarray, own: np.ndarray, cuts: list[int], words: list[str], longer: np.ndarray, second: np.ndarray) -> list[tuple[int, int]]:
+    """Near pairs of rows. ``cuts`` are the bounds of blocks; in a block, shorter words come first, and of
+    those of a length the first tile's. A whole block is ``own``; else two tiles of it meet."""
+    blocks = Blocks(pairs, words, longer)
+    shorts = np.concatenate([[0], np.cumsum(~longer)])
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        mid = lo + int(shorts[hi] - shorts[lo])
+        if hi - lo < 2 or mid == lo:
+            continue
+        if own[lo]:
+            blocks.compare(slice(lo, mid), slice(lo, hi))
         else:
-            yield from self._found(short[0], short[1])
-            yield from self._found(short[0], long[1])
-            yield from self._found(short[1], long[0])
-
-    def _found(self, left: list, right: list, same: bool = False) -> Iterator[tuple[str, int, str, int]]:
-        for i, j in close([w for w, _ in left], [w for w, _ in right], self.pair):
-            if not same or i < j:
-                yield *left[i], *right[j]
+            a, b = lo + int((~second[lo:mid]).sum()), mid + int((~second[mid:hi]).sum())
+            for left, right in ((slice(lo, a), slice(a, mid)), (slice(lo, a), slice(b, hi)), (slice(a, mid), slice(mid, b))):
+                if left.start < left.stop and right.start < right.stop:
+                    blocks.compare(left, right)
+    blocks.verify()
+    return blocks.near
 
 
 def blocked(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
@@ -167,27 +216,26 @@ def near_words(vocabulary: DataFrame, tile: int = TILE) -> DataFrame:
     fields = pa.schema([("a", pa.string()), ("n_a", pa.int64()), ("b", pa.string()), ("n_b", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(blocks: list[Block]) -> pa.RecordBatch:
-            near = [pair for b in blocks if len(b.rows) > 1 for pair in b.near()]
-            columns = zip(*near, strict=True) if near else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
-
-        at, block = None, None
-        for batch in batches:
-            done = []
-            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
-            for key, row in zip(zip(*columns[:4], strict=True), zip(*columns[4:], strict=True), strict=True):
-                if key != at:
-                    if block:
-                        done.append(block)
-                    at, block = key, Block(key)
-                block.rows.append(row)
-            yield found(done)
-        if block:
-            yield found([block])
+        def near(b: pa.RecordBatch, cuts: list[int]) -> pa.RecordBatch:
+            pairs, i, j, longer, second = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 6, 7))
+            found = near_in_blocks(pairs, i == j, cuts, b.column(4).to_pylist(), longer, second)
+            x, y = (pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([b.column(4).take(x), b.column(5).take(x), b.column(4).take(y), b.column(5).take(y)], schema=fields)
+
+        left: pa.RecordBatch | None = None  # the last block, which may go on in the next batch
+        for b in batches:
+            b = pa.concat_batches([left, b]) if left is not None else b
+            if b.num_rows:
+                keys = [b.column(k).to_numpy() for k in range(4)]
+                cuts = [0, *(np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1).tolist()]
+                yield near(b.slice(0, cuts[-1]), cuts)
+                left = b.slice(cuts[-1])
+        if left is not None:
+            yield near(left, [0, left.num_rows])
         release()
 
-    met = rows.repartition("key", "pair", "i", "j").sortWithinPartitions("key", "pair", "i", "j")
+    order = ("key", "pair", "i", "j")
+    met = rows.repartition(*order).sortWithinPartitions(*order, "longer", "second")
     pairs = written(met.mapInArrow(compare, "a string, n_a long, b string, n_b long"), "near-words")
     remove_tables(*rows._spare)
     return pairs
@@ -201,8 +249,9 @@ def vocabulary(words: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MI
 
 def words_of(docs: DataFrame, text_col: str = "text", min_chars: int = MIN_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each run of letters with ``min_chars`` code points at least, A-Z in lower case."""
-    runs = F.explode(F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(WORD), F.lit(0))).alias("run")
-    return docs.select(*keep, runs).filter(F.char_length("run") >= min_chars).select(*keep, F.translate("run", UPPER, LOWER).alias("word"))
+    long = f"{WORD}{{{min_chars},}}+"  # maximal runs, as the quantifier is possessive; shorter ones never become rows
+    runs = F.explode(F.regexp_extract_all(F.col(f"`{text_col}`").cast("string"), F.lit(long), F.lit(0))).alias("run")
+    return docs.select(*keep, runs).select(*keep, F.translate("run", UPPER, LOWER).alias("word"))
 
 
 def roots(forms: DataFrame) -> DataFrame:

@@ -81,6 +81,7 @@ def test_tiles_change_no_pair(spark, tile):
     rng = random.Random(2)
     words = {"".join(rng.sample("eeeeaaaat", 9)) for _ in range(150)}
     words |= {w[:k] + w[k + 1 :] for w in list(words)[:40] for k in (0, 4)} | {w[:3] + "q" + w[4:] for w in list(words)[:30]}
+    words |= {w + c for w in list(words)[:20] for c in "中文"}  # letters outside the matrix
     words = sorted(words)
     expected = {frozenset((a, b)) for i, a in enumerate(words) for b in words[:i] if near_plainly(a, b)}
     found = S.near_words(spark.createDataFrame([(w, k) for k, w in enumerate(words)], "word string, n long"), tile).collect()
@@ -100,12 +101,18 @@ def test_near_words_share_a_block_and_are_kept_in_one():
         own = keys[0, : len(S.PAIRS)]
         other = keys[1, : len(S.PAIRS)] if len(a) == len(b) else keys[1, len(S.PAIRS) :]
         shared = [k for k in range(len(S.PAIRS)) if own[k] == other[k]]
-        assert shared and sum(len(list(S.close([a], [b], k))) for k in shared) == 1 and S.one_edit(a, b)
+        assert shared and near(a, b)
+        at = lambda k: S.near_in_blocks(np.array([k, k], np.int8), np.array([True] * 2), [0, 2], [a, b], np.array([False, len(a) < len(b)]), np.array([False] * 2))
+        assert sum(len(at(k)) for k in shared) == 1
+
+
+def near(a, b):
+    return bool(S.one_edit(S.codes([a]), S.codes([b]))[0])
 
 
 def test_edits():
-    assert S.one_edit("abc", "abd") and S.one_edit("abc", "xabc") and S.one_edit("abc", "abcx") and S.one_edit("aab", "aaab")
-    assert not S.one_edit("abc", "abc") and not S.one_edit("abc", "acb") and not S.one_edit("abc", "abxyc") and not S.one_edit("abcd", "abc")
+    assert near("abc", "abd") and near("abc", "xabc") and near("abc", "abcx") and near("aab", "aaab")
+    assert not near("abc", "abc") and not near("abc", "acb") and not near("abc", "abxy") and not near("abc", "acbd")
     assert np.array_equal(S.counts(["", "aé÷", "中a"]).sum(axis=1), [0, 3, 2])
 
 
