@@ -189,3 +189,31 @@ def test_stages_keep_the_columns_of_documents(spark, corpus):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     changed = corpus_pipeline.lines(spark, spark.read.parquet(f"{corpus[0]}/documents.parquet"), corpus[0])
     assert all(r.n_chars == len(r.text or "") for r in changed.collect())
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_with_an_empty_table(spark, tmp_path, empty):
+    docs = [(k, prose(60, k), "en", "s", 9) for k in range(12)] + [(20, None, None, None, None), (21, "", "en", "s", 0), (22, "you idiot moron idiot " * 9, "en", "s", 9), (0, prose(60, 0), "en", "s", 9)]
+    tables = {
+        "documents": spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"),
+        "labels": spark.createDataFrame([(k, int(k == 22)) for k in [*range(12), 22]], LABELS),
+        "benchmark": spark.createDataFrame([(1, docs[3][1])], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        (df.limit(0) if name == empty else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty == "documents":
+        assert not out
+        return
+    left = sorted(r.doc_id for r in out)
+    assert len(left) == len(set(left)) and {*range(12)} - {3} <= set(left) and {20, 21} <= set(left)
+    assert (3 in left) == (empty == "benchmark")
+
+
+def test_stages_with_clashing_columns(spark, corpus):
+    docs = clash(spark.read.parquet(f"{corpus[0]}/documents.parquet").limit(60), "__toxic", "__leaks", "n_lines", "hits", "score", "class_id")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = stage(spark, docs, corpus[0])
+        assert docs.columns == columns or sorted(docs.columns) == sorted(columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, corpus[0]).count() == docs.count() > 0
