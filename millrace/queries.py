@@ -22,8 +22,8 @@ from .operators import (
 )
 from .scratch import new_folder, remove, written
 from .streaming import (
-    Published, append_stream, completed_join, completed_rows, completion_gate, read_completed, read_completed_join, read_fan_out, read_top_k, ready_sessions,
-    stream_completed, stream_completed_join, stream_fan_out, stream_filter, stream_join, stream_top_k,
+    Published, append_stream, completed_join, completed_keys, completed_rows, completion_gate, read_completed, read_completed_join, read_fan_out, read_session,
+    read_top_k, ready_sessions, stream_completed, stream_completed_join, stream_fan_out, stream_filter, stream_join, stream_results, stream_top_k,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,7 +524,10 @@ def run_all_reports(spark, sf_dir):
     """All five reports of a session, published as files and read back."""
     s, out = replace(order_sources(spark, sf_dir), users=_user_rows(spark, sf_dir).select("user_id", "birthdate")), new_folder(spark, "results")
     P.run_all(s, out, "session")
-    back = sinks.read_results(spark, out, "session")
+    return _as_one(sinks.read_results(spark, out, "session"))
+
+
+def _as_one(back: dict[str, DataFrame]) -> DataFrame:
     none = F.lit(None)
     parts = {
         "query_1": ("transaction_id", none, "final_amount"), "query_2_best_selling": ("item_name", "year_month", "sellings_qty"), "query_2_most_profits": ("item_name", "year_month", "profit_sum"),
@@ -618,10 +621,14 @@ _PARTS_SQL = """select cast(user_id % 6 as varchar) as session_id, event_type as
  where user_id % 6 <> 3 and not (user_id % 6 = 5 and event_type = 'click') and not (user_id % 6 = 4 and event_type = 'view')"""
 
 
-def _released_parts(spark, sf_dir) -> DataFrame:
+def _ledger(spark, sf_dir) -> str:
     out = new_folder(spark, "ledger")
-    stream_completed(_hot(_partial_results(table(spark, sf_dir, "events")), 6), ["session_id", "query"], out, f"{out}/checkpoint").awaitTermination()
-    lines = read_completed(spark, out, "session_id string, query string, lines array<string>")
+    stream_results(_hot(_partial_results(table(spark, sf_dir, "events")), 6), out, f"{out}/checkpoint").awaitTermination()
+    return out
+
+
+def _released_parts(spark, sf_dir) -> DataFrame:
+    lines = read_completed(spark, _ledger(spark, sf_dir), "session_id string, query string, lines array<string>")
     return lines.select("session_id", "query", F.explode("lines").alias("line")).select("session_id", "query", F.split("line", ",")[0].alias("event_id"))
 
 
@@ -635,7 +642,23 @@ def result_ledger(spark, sf_dir):
 def sessions_ready(spark, sf_dir):
     """Sessions whose reports are all published."""
     types = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().collect()]
-    return ready_sessions(_released_parts(spark, sf_dir), types)
+    return ready_sessions(completed_keys(spark, _ledger(spark, sf_dir), "session_id string, query string"), types)
+
+
+@query("stream_session_results", SQL["run_all_reports"])
+def session_results(spark, sf_dir):
+    """The five reports of two sessions arrive in parts of up to LINES lines, in any order; the one session that
+    is complete is read back, typed. Of the other, one report lacks a message."""
+    s, out = replace(order_sources(spark, sf_dir), users=_user_rows(spark, sf_dir).select("user_id", "birthdate")), new_folder(spark, "session-results")
+    reports = zip(P.reports.REPORTS, (P.transactions_filter, P.best_selling, P.most_profit, P.payment_volume, P.top_buyers), strict=True)
+    lines = tagged_union({q: f(s).select(F.to_csv(F.struct("*")).alias("line")) for q, f in reports})
+    parts = lines.withColumn("part", F.floor(F.monotonically_increasing_id() / LINES)).groupBy("query", "part").agg(F.collect_list("line").alias("lines"))
+    parts = written(parts.select("query", "lines"), "parts").withColumn("session_id", F.explode(F.array(F.lit("first"), F.lit("second"))))
+    messages = parts.select("session_id", "query", F.lit(None).cast("long").alias("expected"), F.lit(1).cast("long").alias("n_messages"), "lines")
+    lacks = F.when((F.col("session_id") == "second") & (F.col("query") == "query_3"), 1).otherwise(0)
+    ends = parts.groupBy("session_id", "query").count().select("session_id", "query", (F.col("count") + lacks).alias("expected"), F.lit(0).cast("long").alias("n_messages"), F.lit(None).cast("array<string>").alias("lines"))
+    stream_results(_hot(messages.unionByName(ends), 6), out, f"{out}/checkpoint").awaitTermination()
+    return _as_one(read_session(spark, out, "first"))
 
 
 @query("stream_split_gate", _COMPLETE_SQL)

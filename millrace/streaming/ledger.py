@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.reports import REPORTS
 from ..scratch import remove
+from ..sources import RESULT_SCHEMAS
 from .published import Published, run_through
 
 MARKS = ("expected", "n_messages")
@@ -49,8 +51,8 @@ class Ledger:
 
     def step(self, batch: DataFrame, n: int) -> None:
         spark, keys, own = batch.sparkSession, self.keys, self._own(batch.columns)
-        log = Published(spark, f"{self.root}/released")
-        if log.has(n):
+        released, finished = (Published(spark, f"{self.root}/{name}") for name in ("released", "keys"))
+        if finished.has(n):
             return run_through(batch)
         shard = F.pmod(F.xxhash64(*own), F.lit(self.shards)).cast("int").alias("shard")
         batch.select("*", shard).write.mode("overwrite").parquet(self._table("rows", n))
@@ -66,7 +68,10 @@ class Ledger:
         total.write.mode("overwrite").parquet(self._table("counts", n))
         total = spark.read.schema(counts).parquet(self._table("counts", n))
         total.filter(f"{COMPLETE} or {ABORTED}").select(*keys).write.mode("overwrite").parquet(self._table("over", n))
-        log.append(n, self._released(spark, kept, total.filter(COMPLETE), n), self.partition_by)
+        done = total.filter(COMPLETE)
+        if not released.has(n):
+            released.append(n, self._released(spark, kept, done, n), self.partition_by)
+        finished.append(n, done.select(*keys))  # last, so that the rows of a key that is told of are there
         self._free(spark, total, n)
 
     def _released(self, spark: SparkSession, schema: T.StructType, done: DataFrame, n: int) -> DataFrame:
@@ -102,7 +107,34 @@ def read_completed(spark: SparkSession, root: str, schema: str | T.StructType) -
     return Published(spark, f"{root.rstrip('/')}/released").read(schema)
 
 
-def ready_sessions(released: DataFrame, reports: Sequence[str], session: str = "session_id", query: str = "query") -> DataFrame:
-    """Sessions all of whose reports are released."""
-    seen = released.filter(F.col(query).isin(*reports)).groupBy(session, query).count()
-    return seen.groupBy(session).count().filter(F.col("count") == len(set(reports))).select(session)
+def completed_keys(spark: SparkSession, root: str, schema: str | T.StructType) -> DataFrame:
+    """The keys that were released so far, those without any row included."""
+    return Published(spark, f"{root.rstrip('/')}/keys").read(schema)
+
+
+def ready_sessions(keys: DataFrame, reports: Sequence[str], session: str = "session_id", query: str = "query") -> DataFrame:
+    """Sessions all of whose reports are among the completed keys."""
+    return keys.filter(F.col(query).isin(*reports)).groupBy(session).agg(F.count_distinct(query).alias("n")).filter(F.col("n") == len(set(reports))).select(session)
+
+
+#: The key of a partial result, and its own column: lines as the result files have them.
+RESULT_KEYS, RESULT_LINES = ("session_id", "query"), "lines array<string>"
+
+
+def stream_results(messages: DataFrame, root: str, checkpoint: str, shards: int = SHARDS) -> StreamingQuery:
+    """Collect the partial results of sessions' reports, over what is there now. Messages hold ``lines``, and an end
+    marker for each session and report tells how many messages it has."""
+    return stream_completed(messages, RESULT_KEYS, root, checkpoint, shards, RESULT_KEYS)
+
+
+def read_session(spark: SparkSession, root: str, session_id: str) -> dict[str, DataFrame]:
+    """All five reports of a session in their fixed order, typed; LookupError while one of them is not complete."""
+    keys = "session_id string, query string"
+    done = {r[0] for r in completed_keys(spark, root, keys).filter(F.col("session_id") == session_id).select("query").collect()}
+    waiting = [q for q in REPORTS if q not in done]
+    if waiting:
+        raise LookupError(f"not complete yet: {', '.join(waiting)}")
+    lines = read_completed(spark, root, f"{keys}, {RESULT_LINES}").filter(F.col("session_id") == session_id)
+    schema = lambda q: ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RESULT_SCHEMAS[q])
+    parsed = lambda q: lines.filter(F.col("query") == q).select(F.explode("lines").alias("line")).select(F.from_csv("line", schema(q)).alias("r")).select("r.*")
+    return {q: parsed(q) for q in REPORTS}

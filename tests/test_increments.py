@@ -11,7 +11,7 @@ from millrace import queries as Q
 from millrace import sources
 from millrace.operators import group_by, reduce_rows, same_rows
 from millrace.streaming import (
-    Published, append_stream, completed_rows, read_completed, read_fan_out, read_top_k, ready_sessions, stream_completed, stream_fan_out, stream_join, stream_top_k,
+    Published, append_stream, completed_keys, completed_rows, read_completed, read_fan_out, read_session, read_top_k, ready_sessions, stream_completed, stream_fan_out, stream_join, stream_results, stream_top_k,
 )
 from millrace.streaming.ledger import Ledger
 
@@ -83,13 +83,34 @@ def test_reports_are_published_when_all_parts_are_there(spark, tmp_path, seed, s
     expected = sorted((s, q, f"{s}{q}{k}") for s, q in (("a", "query_1"), ("a", "query_3"), ("b", "query_1")) for k in range(5))
     released = lambda: read_completed(spark, root, "session_id string, query string, line string")
     assert rows(released()) == expected
-    assert rows(ready_sessions(released(), ["query_1", "query_3"])) == [("a",)]
+    keys = completed_keys(spark, root, "session_id string, query string")
+    assert rows(keys) == [("a", "query_1"), ("a", "query_3"), ("b", "query_1"), ("d", "query_1")]  # the last one without a row
+    assert rows(ready_sessions(keys, ["query_1", "query_3"])) == [("a",)] and rows(ready_sessions(keys, ["query_1"])) == [("a",), ("b",), ("d",)]
     replay(tmp_path)
     stream_completed(stream, KEYS, root, str(tmp_path / "c"), shards=3, partition_by=KEYS).awaitTermination(300)
     assert rows(released()) == expected
     assert len(glob.glob(f"{root}/counts/batch=*")) <= 2
 
 
+def test_a_session_is_read_when_its_five_reports_are_complete(spark, tmp_path):
+    lines = {
+        "query_1": ["t1,80.5"], "query_2_best_selling": ['2024-12,"Latte, large",5', "2025-01,Mocha,1"], "query_2_most_profits": ["2024-12,99.25,Mocha"],
+        "query_3": [], "query_4": ["G Coffee,1980-01-08"],
+    }
+    schema, root = "session_id string, query string, expected long, n_messages long, lines array<string>", str(tmp_path / "out")
+    data = [(s, q, None, 1, [x]) for s in ("a", "b") for q, own in lines.items() for x in own]
+    ends = [(s, q, len(own), 0, None) for s in ("a", "b") for q, own in lines.items() if (s, q) != ("b", "query_3")]
+    stream = increments(spark, str(tmp_path / "in"), [ends[:6] + data[:3], data[3:] + ends[6:]], schema)
+    stream_results(stream, root, str(tmp_path / "c")).awaitTermination(300)
+    back = read_session(spark, root, "a")
+    assert {q: len(rows(df)) for q, df in back.items()} == {q: len(own) for q, own in lines.items()} and list(back) == list(lines)
+    assert rows(back["query_2_best_selling"]) == [("2024-12", "Latte, large", 5), ("2025-01", "Mocha", 1)]
+    assert rows(back["query_1"]) == [("t1", 80.5)] and str(back["query_4"].first().birthdate) == "1980-01-08"
+    for session, missing in (("b", "query_3"), ("nobody", "query_1, query_2")):
+        with pytest.raises(LookupError, match=missing):
+            read_session(spark, root, session)
+
+
 def test_a_step_that_failed_before_it_published_is_done_again(spark, tmp_path, monkeypatch):
     parts = [[("a", "q", None, 1, "x")], [("a", "q", 2, 0, None)], [("a", "q", None, 1, "y")], [("a", "q", None, 1, "late")]]
     frames = [spark.createDataFrame(p, MESSAGES) for p in parts]
