@@ -18,7 +18,7 @@ from . import sinks, sources
 from .functions import decode_half, decode_month
 from .operators import (
     Accumulator, accumulate, compared, equi_join, filter_rows, group_by, least_rows, map_rows, multiset_diff, name_columns, pad_columns, reduce_rows,
-    register_accumulator, register_row_order, select_rows, summary, tagged_union, top_rows, totals,
+    register_accumulator, register_join, register_map, register_predicate, register_row_order, select_rows, summary, tagged_union, top_rows, totals,
 )
 from .scratch import new_folder, remove, written
 from .streaming import (
@@ -841,3 +841,94 @@ def sanitised_transactions(spark, sf_dir):
     rows = sources.read_dataset(spark, _as_csv(spark, sf_dir), "transactions")
     sources.wide(rows, "transactions").write.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     return sources.read_sanitised(spark, path, "transactions").withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+_SESSIONS_SQL = """with e as (select cast(user_id % 8 as varchar) as session_id, event_type as store_id, user_id, year(ts) as y from events where user_id % 8 not in (3, 6)),
+g as (select session_id, store_id, user_id, count(*) as n from e where y in (2024, 2025) group by 1, 2, 3),
+r as (select *, row_number() over (partition by session_id, store_id order by n desc, user_id) as rn from g)
+select session_id, store_id as store_name, c_name as birthdate from r join customer on user_id = c_custkey where rn <= 3"""
+
+
+@query("stream_session_top_buyers", _SESSIONS_SQL)
+def session_top_buyers(spark, sf_dir):
+    """From messages to a report: eight sessions' transactions arrive in any order, those of complete sessions are
+    grouped, ranked and joined, session by session. Session 3 is aborted, session 6 lacks a message."""
+    out, s = new_folder(spark, "session-buyers"), event_sources(spark, sf_dir)
+    session = (F.col("user_id") % 8).cast("string").alias("session_id")
+    tx = as_transactions(table(spark, sf_dir, "events"))
+    none, own = F.lit(None).cast("long"), tx.columns
+    data = tx.select(session, none.alias("expected"), F.lit(1).cast("long").alias("n_messages"), *own)
+    announced = F.when(F.col("session_id") == "3", -1).when(F.col("session_id") == "6", F.col("count") + 1).otherwise(F.col("count"))
+    ends = tx.groupBy(session).count().select("session_id", announced.alias("expected"), F.lit(0).cast("long").alias("n_messages"))
+    stream_completed(_hot(data.unionByName(ends, allowMissingColumns=True), 6), ["session_id"], out, f"{out}/checkpoint").awaitTermination()
+    released = read_completed(spark, out, "session_id string, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tx.schema))
+    return P.top_buyers(replace(s, transactions=released), session="session_id")
+
+
+@query("project_identity", "select event_id, user_id, event_type, value from events")
+def project_identity(spark, sf_dir):
+    return map_rows(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), [["identity", {}]])
+
+
+@query("own_predicate_and_map", "select event_id, value * 2 as value from events where event_id % 2 = 0 and value >= 20")
+def own_predicate_and_map(spark, sf_dir):
+    """A predicate and a map action of a user's own beside those of the kit."""
+    register_predicate("divisible", lambda col, _, by: col % by[0] == 0)
+    register_map("times", lambda df, *, col, by: df.withColumn(col, F.col(col) * by))
+    return select_rows(table(spark, sf_dir, "events"), [["event_id", "divisible", [2]], ["value", ">=", [20]]], [["times", {"col": "value", "by": 2}]], ["event_id", "value"])
+
+
+@query("own_join", "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey")
+def own_join(spark, sf_dir):
+    """A join kind of a user's own: keys that are equal as text without blanks, in any case."""
+    register_join("same_text", lambda a, b: F.lower(F.trim(a)) == F.lower(F.trim(b)))
+    key = lambda c, case: case(F.concat_ws("", F.lit(" n"), F.col(c).cast("string"))).alias("k")
+    left = table(spark, sf_dir, "nation").select(key("n_nationkey", F.upper), "n_name")
+    right = table(spark, sf_dir, "customer").select(key("c_nationkey", F.lower), "c_custkey")
+    return equi_join(left, right, ("k", "k"), ["c_custkey", "n_name"], kind="same_text")
+
+
+@query("text_parts", "select c_custkey, split_part(c_name, '#', 1) as a, split_part(c_name, '#', 2) as b, split_part(c_name, '#', 2) || ',' || split_part(c_name, '#', 1) as c from customer")
+def text_parts(spark, sf_dir):
+    """Strip, split, join."""
+    parts = F.split(F.trim(F.concat(F.lit("  "), F.col("c_name"), F.lit(" "))), "#")
+    return table(spark, sf_dir, "customer").select("c_custkey", parts[0].alias("a"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("b")).withColumn("c", F.concat_ws(",", "b", "a"))
+
+
+@query("csv_permissive", "select event_id % 10 = 3 as broken, count(*) as n from events group by 1")
+def csv_permissive(spark, sf_dir):
+    """Malformed rows stay, with their raw line beside them."""
+    amount = F.when(F.col("event_id") % 10 == 3, "n/a").otherwise(F.col("value").cast("string"))
+    rows = sources.read_dataset(spark, _as_csv(spark, sf_dir, amount), "transactions", "PERMISSIVE")
+    kept = written(rows.select("transaction_id", F.col(sources.CORRUPT).alias("raw"), "final_amount"), "permissive")
+    return kept.groupBy(F.col("raw").isNotNull().alias("broken")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("header_dispatch", """select 'transactions' as dataset, count(*) as n from events union all select 'menu_items', count(*) from part
+ union all select 'users', count(*) from customer union all select 'stores', count(*) from supplier union all select 'transaction_items', count(*) from lineitem""")
+def header_dispatch(spark, sf_dir):
+    """Folders of unknown kind are read by the headers of their files."""
+    made = {"menu_items": _menu_rows, "users": _user_rows, "stores": _store_rows, "transaction_items": _item_rows}
+    folders = [_as_csv(spark, sf_dir), *[_csv(rows(spark, sf_dir), name) for name, rows in made.items()]]
+    read = {sources.detect(spark, f): f for f in folders}
+    counts = [sources.read_dataset(spark, f, n).agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("dataset"), "n") for n, f in read.items()]
+    return tagged_union(dict(enumerate(counts))).select("dataset", "n")
+
+
+@query("results_appended", f"select transaction_id, final_amount from ({Q1_SQL.replace('event_id as', 'cast(event_id as varchar) as')}) cross join (select unnest([1, 2]))")
+def results_appended(spark, sf_dir):
+    """A report written in two parts, and the same once more: appended rows are all there."""
+    out, report = new_folder(spark, "results"), q1(spark, sf_dir)
+    for part in (report.filter("final_amount < 90"), report.filter("final_amount >= 90"), report):
+        path = sinks.write_result(part, out, "session", "query_1", mode="append")
+    return sources.read_result(spark, path, "query_1")
+
+
+@query("session_aborted", Q1_SQL.replace("event_id as", "cast(event_id as varchar) as"))
+def session_aborted(spark, sf_dir):
+    """Of two sessions one is aborted: its results are gone, the other's stay."""
+    out = new_folder(spark, "results")
+    for session in ("kept", "aborted"):
+        sinks.write_result(q1(spark, sf_dir), out, session, "query_1")
+    sinks.abort_session(spark, out, "aborted")
+    return spark.read.schema("transaction_id string, final_amount double, session_id string, query string").csv(out).select("transaction_id", "final_amount")

@@ -70,6 +70,18 @@ def dataset_of(header: str) -> str:
     raise ValueError(f"unknown header: {header!r}")
 
 
+def detect(spark: SparkSession, path: str) -> str:
+    """The dataset of a folder by the header of its files; ValueError if it is unknown, or if they differ. Only the
+    lines that begin as a header does are collected, and each kind of them once."""
+    first = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    starts = [",".join(SCHEMAS[n].names[:2]) for n in SCHEMAS]
+    heads = first.filter(F.col("value").rlike("^(" + "|".join(starts) + "),")).distinct().limit(len(starts) + 1).collect()
+    found = {dataset_of(r.value) for r in heads}
+    if len(found) != 1:
+        raise ValueError(f"{path} holds {', '.join(sorted(found)) or 'no known header'}")
+    return found.pop()
+
+
 def _options(mode: str) -> dict[str, object]:
     return {
         "header": True, "recursiveFileLookup": True, "pathGlobFilter": "*.csv", "enforceSchema": False, "mode": mode,

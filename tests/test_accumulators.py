@@ -209,3 +209,16 @@ def test_a_run_makes_its_own_session(spark, tmp_path):
     s = P.retail_sources(spark, str(tmp_path))
     sessions = [P.run_all(s, str(tmp_path / "out"))["query_1"].split("session_id=")[1].split("/")[0] for _ in range(2)]
     assert sessions[0] != sessions[1] and all(len(x) == 36 for x in sessions)
+
+
+def test_folders_are_known_by_their_headers(spark, tmp_path):
+    users, stores = (",".join(sources.SCHEMAS[n].names) for n in ("users", "stores"))
+    (tmp_path / "a" / "sub").mkdir(parents=True), (tmp_path / "b").mkdir(), (tmp_path / "c").mkdir()
+    (tmp_path / "a" / "1.csv").write_text(users + "\n1,m,1971-03-18,2025-01-01 07:31:48\n"), (tmp_path / "a" / "sub" / "2.csv").write_text(users + "\n")
+    (tmp_path / "b" / "1.csv").write_text(users + "\n"), (tmp_path / "b" / "2.csv").write_text(stores + "\n")
+    (tmp_path / "c" / "1.csv").write_text("user_id,gender,other\n")
+    assert sources.detect(spark, str(tmp_path / "a")) == "users"
+    with pytest.raises(ValueError, match="stores, users"):
+        sources.detect(spark, str(tmp_path / "b"))
+    with pytest.raises(ValueError, match="unknown header"):
+        sources.detect(spark, str(tmp_path / "c"))
