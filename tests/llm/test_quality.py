@@ -198,6 +198,66 @@ def test_guess_cost_is_the_least_of_all_cuts(value):
     assert math.isclose(g.cheapest(value)[0], min(every(0, True)))
 
 
+def cheapest_plainly(g, value):
+    """Least cost over all cuts, from each segment's definition, for values without words, walks and long runs of a character."""
+    n, each, best = len(value), math.log10(g.alphabet(value)), [0.0] + [math.inf] * len(value)
+    for i in range(n):
+        ends = {i + 1: (each, 0.0)}
+        more = lambda j, c, ends=ends: ends.__setitem__(j, min(ends.get(j, (math.inf, 0)), (c, 0.3)))
+        for size in range(2, (n - i) // 2 + 1):
+            block = value[i : i + size]
+            if any(block == block[:d] * (size // d) for d in range(1, size) if size % d == 0):
+                continue
+            times = 1
+            while value.startswith(block, i + times * size):
+                times += 1
+            for t in range(max(2, times - 3), times + 1):
+                more(i + t * size, size * each + math.log10(t))
+        for j in range(i + 4, min(n, i + 10) + 1):
+            if secret_scan.DATE.fullmatch(value[i:j]):
+                more(j, 2.1 if j - i == 4 else 4.6)
+        for j, (c, extra) in ends.items():
+            best[j] = min(best[j], best[i] + c + (extra if i else 0.0))
+    return best[n]
+
+
+def test_repeats_of_any_block_and_all_date_ends():
+    g, rng = secret_scan.GuessCost(), random.Random(21)
+    for _ in range(300):
+        unit = "".join(rng.choice("\u00e9\u0416\u4e2d\u03a9\u05d0") for _ in range(rng.randrange(1, 12)))
+        value = unit * rng.randrange(1, 5) + rng.choice(["", "19991231", "2024", "1201999", "31.12.1999"]) + unit[: rng.randrange(3)] * 2
+        if not re.search(r"(.)\1\1", value):
+            assert math.isclose(g.cheapest(value)[0], cheapest_plainly(g, value)), value
+    chars = "".join(random.Random(1).sample("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 60)) * 20
+    for size in (16, 17, 60, 1_000):
+        block = "".join(random.Random(size).choice(chars) for _ in range(size))
+        once, often = g.cheapest(block)[0], g.cheapest(block * 4)[0]
+        assert often < once + size * 0.1 + 2, (size, once, often)
+
+
+def test_any_blanks_before_a_value():
+    scan = secret_scan.Scanner().scan
+    for between in (":", " : ", "     =      ", "\t=\t", " \t  =>", "  is \t "):
+        text = f"the password{between}xK9#mQ2$vL7!pR"
+        assert [s[:3] for s in scan(text) if s[0] == "guess"] == [("guess", len(text) - 14, len(text))], between
+
+
+def test_a_value_of_a_megabyte():
+    import time
+    import tracemalloc
+
+    rng = random.Random(5)
+    text = "token := " + "".join(rng.choice("abcdef0123456789XYZ#") for _ in range(1_000_000))
+    scanner, began = secret_scan.Scanner(price_fixed=False), time.process_time()
+    found = scanner.scan(text)
+    assert [s[:3] for s in found if s[0] == "guess"] == [("guess", 9, len(text))] and time.process_time() - began < 60
+    tracemalloc.start()
+    scanner.scan(text[: 200_000])
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert all(s[3] is None for s in scanner.scan("f" * 64 + " AKIA" + "B" * 30)) and all(s[3] for s in secret_scan.Scanner().scan("f" * 64))
+
+
 def test_guess_cost_equals_listing_all_segments():
     g, rng = secret_scan.GuessCost(), random.Random(8)
     for _ in range(300):
