@@ -165,7 +165,7 @@ def _with_follower(docs: DataFrame, id_col: str, text_col: str, firsts: list[tup
                 columns = [c.cast(f.type) for c, f in zip(taken.columns, list(fields)[2:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part, guest, *columns], schema=fields)
 
-    dealt = source.mapInArrow(route, schema).repartition(len(firsts), "part")
+    dealt = source.mapInArrow(route, schema).repartitionById(len(firsts), F.col("part"))  # a task for each range
     return dealt.sortWithinPartitions("part", "guest", "none", "id", "hash")
 
 
