@@ -592,14 +592,33 @@ def append_replayed(spark, sf_dir):
     append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     log = Published(spark, f"{out}/table")
     last = log.batches()[-1]
-    remove(spark, f"{out}/checkpoint/commits/{last}")
-    remove(spark, f"{out}/checkpoint/commits/.{last}.crc")
+    _forget_commit(spark, f"{out}/checkpoint", last)
     append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     rows_of = log.read(rows.schema)
     rows_of.write.parquet(log.folder(last + 1))
     return log.read(rows.schema)
 
 
+@query("stream_append_compacted", Q1_SQL)
+def append_compacted(spark, sf_dir):
+    """The same table, its micro-batches merged into one folder before the last one is repeated."""
+    out = new_folder(spark, "append")
+    rows = P.transactions_filter(replace(event_sources(spark, sf_dir), transactions=as_transactions(_hot(table(spark, sf_dir, "events"), 6))))
+    append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    log = Published(spark, f"{out}/table")
+    log.compact(rows.schema)
+    log.vacuum()
+    _forget_commit(spark, f"{out}/checkpoint", log.batches()[-1])
+    append_stream(rows, f"{out}/table", f"{out}/checkpoint").awaitTermination()
+    return log.read(rows.schema)
+
+
+def _forget_commit(spark: SparkSession, checkpoint: str, n: int) -> None:
+    """As if the driver had been lost before micro-batch ``n`` was marked as done."""
+    for name in (str(n), f".{n}.crc"):
+        remove(spark, f"{checkpoint}/commits/{name}")
+
+
 #: Lines in a partial result.
 LINES = 500
 

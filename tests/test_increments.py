@@ -49,6 +49,29 @@ def test_published_table(spark, tmp_path):
     assert os.path.isdir(tmp_path / "csv" / "batch=0" / "session_id=s") and rows(text.read("a int, session_id string")) == [(1, "s")]
 
 
+def test_micro_batches_are_merged_by_one_mark(spark, tmp_path, monkeypatch):
+    log, frame = Published(spark, str(tmp_path / "t")), lambda k: spark.createDataFrame([(k, f"g{k % 2}")], "a int, g string")
+    for n in (0, 1, 2, 5, 7, 8):
+        log.append(n, frame(n), ["g"])
+    every, see = [(n, f"g{n % 2}") for n in (0, 1, 2, 5, 7, 8)], lambda: rows(log.read("a int, g string"))
+    create = Published._publish
+    monkeypatch.setattr(Published, "_publish", lambda self, span, df, by: df.write.parquet(self.folder(span)) or (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        log.compact("a int, g string")
+    assert see() == every and log.vacuum() == []  # the merged folder was not published
+    monkeypatch.setattr(Published, "_publish", create)
+    assert log.compact("a int, g string", partition_by=["g"]) == [(0, 2), (7, 8)] and log.spans() == [(0, 2), (5, 5), (7, 8)]
+    assert see() == every and log.batches() == [0, 1, 2, 5, 7, 8]
+    assert log.vacuum() == [(0, 0), (1, 1), (2, 2), (7, 7), (8, 8)] and see() == every
+    assert not os.path.exists(log.folder(1)) and not log.append(1, frame(99)) and log.append(6, frame(6), ["g"])  # merged ones are known
+    assert rows(log.read("a int", [5, 6])) == [(5,), (6,)]
+    with pytest.raises(ValueError, match="merged"):
+        log.read("a int", [1])
+    assert log.compact("a int, g string", partition_by=["g"]) == [(5, 8)] and log.spans() == [(0, 2), (5, 8)]
+    log.vacuum()
+    assert see() == sorted([*every, (6, "g0")], key=repr)
+
+
 def test_a_repeated_micro_batch_adds_nothing(spark, tmp_path):
     stream = increments(spark, str(tmp_path / "in"), [[(k,)] for k in range(4)], "k long")
     for _ in range(2):
