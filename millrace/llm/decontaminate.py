@@ -23,8 +23,8 @@ has a bound for any number of items. Counts of items and of words are those of a
 no result.
 
 Null and empty texts and items without words match nothing; items of fewer than five words must stand
-in the passage as they are. Long texts are searched whole, in passages. Repeated rows and items are each
-reported, items by their ids, of any type. Input columns named like the output are replaced, other
+in the passage as they are. Long texts are searched whole, in passages; of equal passages of a text the first
+is told. Repeated rows and items are each reported, items by their ids, of any type. Input columns named like the output are replaced, other
 columns stay.
 """
 

@@ -12,7 +12,8 @@ row for each language and piece, however large the corpus is.
 Words are runs of letters (and letter-like numbers) in lower case, of any length: the sums run along the
 whole of a word and are scaled on the way, a very long one in slices that hand on the last sums. Null
 texts, and texts without a letter, are ``und`` with score 0. Texts without a language are not learned
-from; without any training text all texts are ``und``. Repeated rows are each counted and predicted.
+from; without any training text all texts are ``und``. Repeated rows are each counted and predicted. Of equally
+likely languages the first in the model's order is predicted.
 Other columns stay, but those named like an output are replaced.
 """
 

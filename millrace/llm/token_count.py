@@ -7,7 +7,8 @@ another character, merges never cross the start of a word, so counts are made wo
 remembered in a bounded memo.
 
 Null text counts as empty: 0 bytes, 0 tokens. Texts of any length are counted whole; one long run
-without spaces costs n log n. Columns of the input stay, except those named like an output.
+without spaces costs n log n. Repeated rows are each counted; of equal ranks the leftmost pair merges first. Columns of
+the input stay, except those named like an output.
 """
 
 from __future__ import annotations
