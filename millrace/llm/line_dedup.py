@@ -5,9 +5,14 @@ line and the largest id among them. Documents come in batches by a hash of their
 in one batch only. A batch is reduced to a row for each line, in the same buckets, and merge-anti-joined
 with the runs that are there, bucket by bucket and without a shuffle: what is new becomes the batch's
 own run of level 0, what is there already is set aside with its counts. When a level is full, its runs
-are merged into one of the next level, again bucket by bucket. In the end the few runs left and the
+are merged into one of the next level, again bucket by bucket for two runs; a third one meets their joined
+rows, which Spark deals out anew. In the end the few runs left and the
 lines set aside give the counts of every line in the corpus.
 
+The number of buckets follows from the number of lines, so a bucket stays of one size however large the
+corpus is. It is a multiple of the shuffle partitions: rows dealt by their hash to that many tasks hold
+whole buckets in each, so a run is written without another shuffle and each bucket by one task.
+
 A line's key is the line without blanks ``[ \\t-\\r]`` at both ends and with A-Z in lower case; it is
 known by two 64-bit hashes with different seeds. Keys of at least ``min_chars`` code points that
 ``min_docs`` documents or more hold lose all their lines, except in the document of largest id.
@@ -33,6 +38,8 @@ from ..scratch import new_folder, remove
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Documents in a batch, and batches at least.
 BATCH_DOCS, LEAST_BATCHES = 50_000_000, 4
+#: Lines in a bucket over all runs, about; 16 bytes of hashes and some counts each, read as a sorted stream.
+BUCKET_LINES = 20_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -55,15 +62,23 @@ def long_keys(text: Column, min_chars: int) -> Column:
     return F.transform(F.filter(placed, lambda p: F.char_length(p.key) >= min_chars), lambda p: F.struct(hashes(p.key).alias("h"), p.at.alias("at")))
 
 
+def bucket_count(spark: SparkSession, n_lines: int, bucket_lines: int = BUCKET_LINES) -> int:
+    """The least multiple of the shuffle partitions that keeps buckets to ``bucket_lines``, within Spark's
+    limit of buckets (beyond it buckets are larger, with the same result)."""
+    tasks, most = (int(spark.conf.get(f"spark.sql.{name}")) for name in ("shuffle.partitions", "sources.bucketing.maxBuckets"))
+    return tasks * max(1, min(math.ceil(n_lines / (tasks * bucket_lines)), most // tasks))
+
+
 class LineRuns:
     """Levels of sorted runs in a shared folder. ``fanout`` runs of a level make one of the next.
 
     Runs hold different lines: a batch is merge-anti-joined with all runs, and only what is new makes
     its own run. What the runs already hold is set aside as recurrences, with its counts."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
+    def __init__(self, spark: SparkSession, fanout: int = 3, n_lines: int = 0, bucket_lines: int = BUCKET_LINES):
+        """``n_lines``: lines that will be added in all, about."""
         self.spark, self.fanout = spark, fanout
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = bucket_count(spark, n_lines, bucket_lines)
         self.folder, self.name = new_folder(spark, "line-runs"), f"line_runs_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
         self.again: list[list[str]] = []  # levels of recurrences
@@ -130,7 +145,7 @@ def batch_run(lines: DataFrame) -> DataFrame:
     return once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("max_doc"))
 
 
-def lost_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int) -> DataFrame:
+def lost_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int, batches: int, fanout: int, bucket_lines: int = BUCKET_LINES) -> DataFrame:
     """Per document and text that loses lines: (doc, text_hash, lost), the places of those lines."""
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     text = F.col(f"`{text_col}`")
@@ -139,7 +154,7 @@ def lost_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_
     path = new_folder(spark, "lines")
     held.select("doc", "text_hash", "k.at", "k.h.h1", "k.h.h2", batch).write.partitionBy("batch").parquet(path)
     lines = spark.read.schema(f"doc {id_type}, text_hash long, at int, h1 long, h2 long, batch int").parquet(path)
-    runs = LineRuns(spark, fanout)
+    runs = LineRuns(spark, fanout, lines.count(), bucket_lines)  # the count comes from the files' footers
     for k in range(batches):
         runs.add(batch_run(lines.filter(F.col("batch") == k)))
     found = new_folder(spark, "common-lines")
@@ -152,16 +167,17 @@ def lost_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_
 
 def dedup_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
-    batches: int | None = None, fanout: int = 3, n_lines: str = "n_lines", n_dropped: str = "n_dropped",
+    batches: int | None = None, fanout: int = 3, n_lines: str = "n_lines", n_dropped: str = "n_dropped", bucket_lines: int = BUCKET_LINES,
 ) -> DataFrame:
     """The documents with their common lines removed from ``text_col``, and two counts per document.
 
-    ``batches`` (by default as many as ``BATCH_DOCS`` asks for) bounds what one batch sorts at a time."""
+    ``batches`` (by default as many as ``BATCH_DOCS`` asks for) bounds what one batch sorts at a time,
+    ``bucket_lines`` what a bucket of all runs holds."""
     source = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (n_lines, n_dropped)])
     known, unknown = source.filter(F.col(f"`{id_col}`").isNotNull()), source.filter(F.col(f"`{id_col}`").isNull())
     if batches is None:
         batches = max(LEAST_BATCHES, math.ceil(known.count() / BATCH_DOCS))
-    lost = lost_lines(known.select(id_col, text_col), id_col, text_col, min_chars, min_docs, batches, fanout)
+    lost = lost_lines(known.select(id_col, text_col), id_col, text_col, min_chars, min_docs, batches, fanout, bucket_lines)
     lost = lost.select(F.col("doc").alias("__line_doc"), F.col("text_hash").alias("__line_text"), F.col("lost").alias("__line_lost"))
     text = F.col(f"`{text_col}`")
     joined = known.join(lost, (F.col(f"`{id_col}`") == F.col("__line_doc")) & (F.xxhash64(text) == F.col("__line_text")), "left")

@@ -94,6 +94,33 @@ def test_lines_of_an_empty_table(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_buckets_follow_the_number_of_lines(spark):
+    """More lines, more buckets: always whole buckets for a task, so that no run needs a shuffle beyond its counting."""
+    count = line_dedup.bucket_count
+    assert [count(spark, n, 1000) for n in (0, 4000, 4001, 1_000_000)] == [4, 4, 8, 1000]
+    assert count(spark, 10**18, 1) == 100_000  # Spark's own limit
+    runs = line_dedup.LineRuns(spark, n_lines=60, bucket_lines=5)
+    assert runs.buckets == 12
+    for k in range(3):
+        runs.add(line_dedup.batch_run(spark.createDataFrame([(h * 7, h, k) for h in range(20 * k, 20 * k + 40)], "h1 long, h2 long, doc long")))
+    left = [name for level in [*runs.levels, *runs.again] for name in level]
+    for name in left:  # each bucket in one file
+        files = [f.rsplit("_", 1)[1].split(".")[0] for f in spark.table(name).inputFiles()]
+        assert len(files) == len(set(files)) and len(files) <= 12
+    assert "Exchange" not in runs._merged(left[:2])._jdf.queryExecution().executedPlan().toString()
+    assert {(r.h2, r.n_docs, r.max_doc) for r in runs.counted().collect()} == {
+        (h, sum(20 * k <= h < 20 * k + 40 for k in range(3)), max(k for k in range(3) if 20 * k <= h < 20 * k + 40)) for h in range(80)
+    }
+    runs.drop()
+
+
+@pytest.mark.parametrize("bucket_lines", [3, 10])
+def test_line_dedup_with_many_buckets(spark, bucket_lines):
+    rows = line_rows()
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), batches=3, fanout=2, bucket_lines=bucket_lines)
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in out.collect()) == lines_plainly(rows)
+
+
 def test_line_dedup_runs_no_python(spark):
     plan = line_dedup.dedup_lines(spark.createDataFrame(line_rows(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
