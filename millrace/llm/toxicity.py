@@ -3,8 +3,10 @@
 Voters are lexicon words, word starts and patterns. A short fixed lexicon and the patterns (its words
 spelled out or masked, abusive phrases) are always there; more entries are induced from labelled texts:
 words and word starts that toxic texts hold far oftener than others, counted over all labelled texts.
-Entries of some support are voters of their own; the rarer ones, if a test tells them from chance, vote
-together, in a voter for each band of strength, so none is left out for number. A voter fires on a text where its
+The strongest of some support are voters of their own: of few toxic texts even true ones can't pass a test
+against chance, and the label model and the classifier weigh them. Rarer ones, which are many more, must
+pass such a test, corrected for the number of entries tried. They and what is beyond the number of voters
+vote together, in a voter for each band of strength, so none is left out for number. A voter fires on a text where its
 entries are frequent enough. A generative label model then treats the true class as hidden and
 estimates, by expectation maximisation over the votes of all texts, how often each voter fires on either
 class (its accuracies); given labels take part as one more voter that may err. From the joint firings of
@@ -13,7 +15,10 @@ posteriors are the targets of a linear (logistic) classifier, fitted on a bounde
 classifier scores every text.
 
 What reaches the driver: the significant entries, counts for each voter and each pair of voters, and
-features of at most ``sample_rows`` labelled texts. Entries and votes are counted over all texts.
+features of at most ``sample_rows`` labelled texts. Entries and votes are counted over all texts. An entry
+of less than ``POOL_SHARE`` of the toxic texts is no voter, so there are at most (distinct entries of a
+toxic text, on average) / ``POOL_SHARE`` of them whatever the corpus, and at most ``OWN_VOTERS`` vote alone,
+which bounds the matrices: both are the same at every size.
 
 Null and empty texts get the score of a text without any entry. Very long texts are read whole. Label
 rows without a class, or for unknown ids, teach nothing; an id labelled twice counts as toxic if it once
@@ -47,6 +52,7 @@ LEXICON = (
 ).split()
 # Common English abuse of several words.
 PHRASES = ("shut up", "go to hell", "drop dead", "kill yourself", "piece of shit", "son of a", "hate you", "you make me sick", "nobody likes you", "waste of space")
+PHRASE = {p: re.compile(rf"(?<![^\W_]){p}(?![^\W_])") for p in PHRASES}
 SPELLED = re.compile(r"(?<![^\W_])(?:[^\W_][ ._*-]){3,}[^\W_](?![^\W_])")
 MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]+[*@!$01345]+[^\W\d_]+")
 # What every match of the two holds, quick to look for.
@@ -56,12 +62,28 @@ UNMASK = str.maketrans("@!$01345", "aisoieas")
 SAMPLE_ROWS = 20_000
 #: An entry's toxic share over its clean share at least, and toxic texts that hold it.
 LEAST_LIFT, LEAST_TEXTS = 6.0, 3
-#: Share of the toxic texts that an entry needs for a voter of its own; the test value (G squared) against
-#: chance of the others, which are many more, and their bands of lift.
-OWN_SHARE, LEAST_TEST, BANDS = 0.02, 25.0, (6.0, 20.0, 60.0)
+#: Share of the toxic texts that an entry needs for a voter of its own, and for any; voters of their own at
+#: most; bands of lift of the others.
+OWN_SHARE, POOL_SHARE, OWN_VOTERS, BANDS = 0.02, 1e-3, 200, (6.0, 20.0, 60.0)
+#: The test value (G squared) that a rare entry needs at least, and the share of entries without a bearing on
+#: toxicity among those that pass, at most: with many entries it asks for more.
+LEAST_TEST, ERROR_RATE, TEST_STEP, TEST_STEPS = 25.0, 0.05, 0.5, 400
 ROUNDS = 6
 
 
+def least_test(n_entries: int, passing: dict[int, int], error_rate: float = ERROR_RATE) -> float:
+    """The least test value (one degree of freedom, one side) at which at most ``error_rate`` of the
+    passing entries pass by chance (step-up rule of Benjamini and Hochberg), in steps of ``TEST_STEP``.
+
+    ``n_entries``: entries tried; ``passing``: entries for each step."""
+    least, passed = math.inf, 0
+    for step in sorted(passing, reverse=True):
+        passed += passing[step]
+        if n_entries * 0.5 * math.erfc(math.sqrt(step * TEST_STEP / 2)) <= error_rate * passed:
+            least = step * TEST_STEP
+    return least
+
+
 def entries_of(word: str) -> list[str]:
     """The word itself, and its starts."""
     return ["=" + word, *["^" + word[:k] for k in PREFIXES if k < len(word)]]
@@ -75,8 +97,8 @@ def _known(word: str) -> bool:
 
 
 def patterns_in(lower: str) -> list[str]:
-    """Names of the patterns, once for each place in a lower-case text."""
-    out = [f"~{p}" for p in PHRASES if p in lower]
+    """Names of the patterns, once for each place in a lower-case text; phrases begin and end with a word."""
+    out = [f"~{p}" for p, whole in PHRASE.items() if p in lower for _ in whole.finditer(lower)]
     if SPELLED_SIGN.search(lower):
         out += ["~spelled" for m in SPELLED.finditer(lower) if re.sub(r"[ ._*-]", "", m[0]) in LEXICON]
     if MASKED_SIGN.search(lower):
@@ -221,7 +243,7 @@ def _tested(column: str, n_tox: int, n_clean: int):
     return F.when(t >= LEAST_TEXTS, lift).otherwise(0.0).alias(f"lift_{column}"), F.when(t >= LEAST_TEXTS, test).otherwise(0.0).alias(f"test_{column}")
 
 
-def induce_voters(labelled: DataFrame) -> tuple[list[Voter], dict[str, int]]:
+def induce_voters(labelled: DataFrame, own_voters: int = OWN_VOTERS) -> tuple[list[Voter], dict[str, int]]:
     """The fixed voters and those of the entries that tell toxic texts; and the rarer entries with their voters."""
     fixed = [Voter(e) for e in (*["=" + w for w in LEXICON], *PATTERNS)]
     counts = written(_entry_counts(labelled), "entries")
@@ -229,37 +251,47 @@ def induce_voters(labelled: DataFrame) -> tuple[list[Voter], dict[str, int]]:
     if size is None or not size.held_1 or not size.held_0:
         remove_tables(counts)
         return fixed, {}
-    tested = counts.filter("entry <> ''").select("*", *_tested("held", size.held_1, size.held_0), _tested("often", size.held_1, size.held_0)[0])
+    tried = counts.filter(f"entry <> '' and held_0 + held_1 >= {LEAST_TEXTS}")
+    tested = tried.select("*", *_tested("held", size.held_1, size.held_0), _tested("often", size.held_1, size.held_0)[0])
+    tested = tested.filter(f"held_1 >= {max(LEAST_TEXTS, POOL_SHARE * size.held_1)}")
+    step = F.least(F.floor(F.col("test_held") / TEST_STEP), F.lit(TEST_STEPS)).cast("int")
+    steps = tested.filter("lift_held > 1").groupBy(step.alias("step")).count().collect()  # TEST_STEPS rows at most
+    least = max(LEAST_TEST, least_test(tried.count(), {r.step: r["count"] for r in steps}))
     own = f"held_1 >= {OWN_SHARE * size.held_1} and greatest(lift_held, lift_often) > {LEAST_LIFT}"
-    rows = tested.filter(f"{own} or lift_held > {LEAST_LIFT} and test_held > {LEAST_TEST}").collect()  # what the voters are made of
+    rows = tested.filter(f"{own} or lift_held > {LEAST_LIFT} and test_held > double('{least}')").collect()  # what the voters are made of
     remove_tables(counts)
     words_tox, words_clean = max(1, size.hits_1), max(1, size.hits_0)
-    found, rare = [], []
+    found, together = [], {}  # voters of their own, best first; the rows of those that vote together
     for r in rows:
         rates = max(r.hits_1, 0.5) / words_tox, max(r.hits_0, 0.5) / words_clean
         if r.held_1 < OWN_SHARE * size.held_1:
-            rare.append((r.entry, r.lift_held, r.hits_1, r.hits_0))
+            together[r.entry] = f"+{sum(r.lift_held > b for b in BANDS) - 1}", r
             continue
         for column, least_hits, least_rate in (("held", 1, 0.0), ("often", 2, 0.004)):
             t, lift = r[f"{column}_1"], r[f"lift_{column}"]
             if lift > LEAST_LIFT:
-                found.append(((t + 0.5) / (size.held_1 + 1) * math.log(lift), r.entry, t, Voter(r.entry, least_hits, least_rate, *rates)))
+                band = f"+{sum(lift > b for b in BANDS) - 1}" if least_hits == 1 else "+often"
+                found.append(((t + 0.5) / (size.held_1 + 1) * math.log(lift), r.entry, t, Voter(r.entry, least_hits, least_rate, *rates), band, r))
     found.sort(key=lambda f: (-f[0], -len(f[1]), f[1]))
     voters: dict[str, Voter] = {}
     supports: dict[str, int] = {}
-    for _, e, support, voter in found:
+    for _, e, support, voter, band, r in found:
         # an entry that covers the texts of one that is there, at its start or end, says nothing new
         if not any(e[1:].startswith(o[1:]) and support <= supports[o] and support > 0.9 * supports[o] or o[1:].startswith(e[1:]) and support < 1.1 * supports[o] for o in voters):
-            voters[e], supports[e] = voter, support
+            if e in voters or len(voters) < own_voters:
+                voters[e], supports[e] = voter, support
+            else:
+                together.setdefault(e, (band, r))
     out = [*voters.values(), *[v for v in fixed if v.entry not in voters]]
     pooled: dict[str, int] = {}
-    for k, least in enumerate(BANDS):
-        most = BANDS[k + 1] if k + 1 < len(BANDS) else math.inf
-        own = [r for r in rare if least < r[1] <= most and r[0] not in voters]
+    taken = {v.entry for v in out}
+    for band in sorted({band for band, _ in together.values()}):
+        own = [r for e, (b, r) in together.items() if b == band and e not in taken]
         if own:
-            pooled |= {r[0]: len(out) for r in own}
-            out.append(Voter(f"+{k}", 1, 0.0, sum(r[2] for r in own) / words_tox, max(0.5, sum(r[3] for r in own)) / words_clean))
-    return out, {e: i for e, i in pooled.items() if e not in {v.entry for v in out}}
+            pooled |= {r.entry: len(out) for r in own}
+            rates = sum(r.hits_1 for r in own) / words_tox, max(0.5, sum(r.hits_0 for r in own)) / words_clean
+            out.append(Voter(band, 2, 0.004, *rates) if band == "+often" else Voter(band, 1, 0.0, *rates))
+    return out, pooled
 
 
 # Label model.

@@ -1,6 +1,7 @@
 """Toxicity, and the pipeline against a brute-force version of its stages."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
@@ -67,6 +68,38 @@ def test_rare_entries_vote_together(spark):
     assert sum(x >= 0.3 for x in scores) > 0.95 * len(scores)
 
 
+def test_rare_entries_must_pass_more_where_more_are_tried():
+    least = toxicity.least_test
+    assert least(1000, {}) == least(1000, {2: 5}) == math.inf
+    assert least(1000, {60: 1, 2: 5}) == 30.0 != least(10**9, {60: 1, 2: 5})
+    steps = (60, 40, 30, 20, 8)
+    for n in (10, 300, 10_000, 10**7):  # the rule, over values one by one
+        chance = [0.5 * math.erfc(math.sqrt(x * toxicity.TEST_STEP / 2)) for x in steps]
+        rank = max((k for k, x in enumerate(chance, 1) if n * x <= toxicity.ERROR_RATE * k), default=0)
+        assert least(n, dict.fromkeys(steps, 1)) == (steps[rank - 1] * toxicity.TEST_STEP if rank else math.inf)
+
+
+def test_more_voters_than_matrices_take_vote_together(spark):
+    """Beyond the voters of their own, entries go on as a group: none is lost."""
+    words = [f"{chr(97 + k)}zqvex" for k in range(12)]
+    docs = [(i, f"{prose(20, 50_000 + i)} {words[i // 2 % 12]}" if i % 2 == 0 else prose(20, 50_000 + i)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], LABELS)
+    labelled_rows = toxicity._labelled(spark.createDataFrame(docs, SCHEMA), labels, "doc_id", "text")
+    for most in (0, 5, 200):
+        voters, pooled = toxicity.induce_voters(labelled_rows, own_voters=most)
+        fixed = {*["=" + w for w in toxicity.LEXICON], *toxicity.PATTERNS}
+        own = {v.entry for v in voters} - fixed
+        assert len([e for e in own if e[0] != "+"]) <= most
+        assert all(any(e in own or e in pooled for e in toxicity.entries_of(w)) for w in words)
+        assert all(voters[i].entry[0] == "+" for i in pooled.values())
+
+
+def test_phrases_are_whole_words(spark):
+    names = lambda t: sorted(toxicity.patterns_in(t.lower()))
+    assert names("This person of a certain age") == []
+    assert names("You son of a gun, shut up! Shut up, dishut upon") == ["~shut up", "~shut up", "~son of a"]
+
+
 def test_learning_equals_brute_force(spark):
     """Entry counts, votes, the label model and the scores, each against plain Python."""
     docs, labels = labelled(150)
