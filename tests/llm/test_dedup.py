@@ -268,6 +268,50 @@ def test_recall_in_a_crowd(spark):
     assert all(whole[r.doc_id] == whole[r.class_id] for r in out.values())  # nothing is linked that should not be
 
 
+def one_bucket(sizes, seed):
+    """Texts of random words as :func:`order_minhash.near_links` takes them, all in one bucket and alone in all finer
+    ones; for each size a text and an edit of it, four words in five alike. The rows, and the words of each text."""
+    rng, rows, words = np.random.default_rng(seed), [], {}
+    for n in sizes:
+        base = rng.integers(0, 2**32, n, dtype=np.uint32)
+        other = base.copy()
+        other[rng.choice(n, n // 5, replace=False)] = rng.integers(0, 2**32, n // 5, dtype=np.uint32)
+        for w in (base, other):
+            k = len(rows)
+            hid = rng.bytes(16)
+            rows.append((k, hid, len(w), w.astype("<u4").tobytes(), [7], [8 + 10 * k], [9 + 10 * k], [10 + 10 * k]))
+            words[hid] = w
+    return rows, words
+
+
+@pytest.mark.parametrize("tile", [5, 16_384])
+def test_no_pair_of_a_bucket_is_lost(spark, tile):
+    """Pairs that neither of the bucket's centres is like, and that share no finer sketch."""
+    rows, words = one_bucket([40, 45, 50, 55, 60, 64, 80, 100, 125, 300, 1000] * 2, 5)
+    df = spark.createDataFrame(rows, "id long, hid binary, n_words int, words binary, k0 array<long>, k1 array<long>, k2 array<long>, k3 array<long>")
+    links, parts = order_minhash.near_links(df, tile=tile)
+    want = {tuple(sorted(p)) for p in itertools.combinations(words, 2) if order_minhash.similarity(words[p[0]], words[p[1]]) is not None}
+    assert len(want) == 22 and {(bytes(r.a), bytes(r.c)) for r in links.collect()} == want
+    assert {(bytes(r.a), bytes(r.c)) for r in parts.collect()} == {(c, a) for a, c in want}
+
+
+def test_shared_bins_drop_no_similar_pair():
+    rng, texts = np.random.default_rng(8), []
+    for n in [5, 6, 8, 10, 30, 31, 40, 100, 300, 301, 2000]:
+        for words in (2, 50, 2**32):  # over 255 words in a bin, too
+            base = rng.integers(0, words, n, dtype=np.uint32)
+            texts += [base, base[: n - n // 5], np.r_[base[n // 10 :], rng.integers(0, 2**32, n // 10, dtype=np.uint32)]]
+    n, label, all_of = np.array(list(map(len, texts))), np.arange(len(texts)) // 2, np.arange(len(texts))
+    bins, beyond = zip(*map(order_minhash.tally, texts), strict=True)
+    bins = np.frombuffer(b"".join(bins), np.uint8).reshape(-1, order_minhash.BINS)
+    assert max(beyond) > 0
+    similar = {(i, j) for i, j in itertools.permutations(range(len(texts)), 2) if label[i] != label[j] and order_minhash.similarity(texts[i], texts[j]) is not None}
+    found = set(zip(*(x.tolist() for x in order_minhash.can_be_similar(n, label, bins, np.array(beyond), all_of, all_of, 0.8)), strict=True))
+    assert similar and similar <= found and len(found) < 3 * len(similar)
+    few = set(zip(*(x.tolist() for x in order_minhash.can_be_similar(n, label, bins, np.array(beyond), all_of[:9], all_of[9:], 0.8)), strict=True))
+    assert few == {(i, j) for i, j in found if i < 9 <= j}
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = near_rows()
     docs = clash(spark.createDataFrame(rows, SCHEMA), "class_id", "words")
