@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import remove_tables, written
 from .common import Memo, map_texts, release, ship
@@ -69,6 +70,8 @@ OWN_SHARE, POOL_SHARE, OWN_VOTERS, BANDS = 0.02, 1e-3, 200, (6.0, 20.0, 60.0)
 #: toxicity among those that pass, at most: with many entries it asks for more.
 LEAST_TEST, ERROR_RATE, TEST_STEP, TEST_STEPS = 25.0, 0.05, 0.5, 400
 ROUNDS = 6
+#: Bits of a bit map of Spark's.
+BITMAP = 1 << 15
 
 
 def least_test(n_entries: int, passing: dict[int, int], error_rate: float = ERROR_RATE) -> float:
@@ -188,9 +191,24 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
 
 
+def _perhaps_labelled(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts whose id is in ``classes``, and one in eight of the others: a bit map of the ids' hashes, about one
+    byte for a label, is sent to where the texts are. All texts, where the ids are of two types or no whole numbers or strings."""
+    kind = texts.schema["id"].dataType
+    if kind != classes.schema["id"].dataType or not isinstance(kind, (T.IntegralType, T.StringType)):
+        return texts
+    places = BITMAP * max(1, math.ceil(8 * classes.count() / BITMAP))
+    part, bit = (f(F.pmod(F.xxhash64("id"), F.lit(places))) for f in (F.bitmap_bucket_number, F.bitmap_bit_position))
+    marked = classes.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return texts.withColumn("part", part).join(F.broadcast(marked), "part").filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select("id", "text")
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Labelled texts (id, toxic int, text string)."""
-    return _texts(docs, id_col, text_col).join(_classes(labels, id_col), "id")
+    """Labelled texts (id, toxic int, text string). Texts and labels are shuffled to meet at any size, so what is
+    shuffled grows as the input does; most texts without a label are not."""
+    classes = _classes(labels, id_col).filter("id is not null")
+    return _perhaps_labelled(_texts(docs, id_col, text_col), classes).join(classes.hint("merge"), "id")
 
 
 def _entry_counts(labelled: DataFrame) -> DataFrame:
@@ -401,6 +419,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """``labels``: rows (id, toxic 0/1) that may be learned from. Entries are counted over all labelled texts
     and votes over all of ``docs``; the classifier is fitted on at most ``sample_rows`` labelled texts."""
     ship(docs.sparkSession)
+    labels = written(_classes(labels, id_col).withColumnRenamed("id", id_col), "labels")
     labelled = _labelled(docs, labels, id_col, text_col)
     voters, pooled = induce_voters(labelled)
     m = len(voters)
@@ -430,6 +449,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = _texts(docs, id_col, text_col).join(F.broadcast(chosen), "id").select("toxic", "text")  # at most sample_rows ids
     # a limit as the last step would run task after task
     found = sample.mapInArrow(rows, "x array<struct<i:int,v:double>>, y double").limit(sample_rows).filter("y is not null").collect()
+    remove_tables(labels)
     model = Model(voters, pooled, a, prior, discount, correlation, np.zeros(1 + 2 * m + 2))
     if sum(r.y > 0.5 for r in found) and sum(r.y < 0.5 for r in found):
         x = np.zeros((len(found), 1 + 2 * m + 2))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -44,6 +45,19 @@ def test_induced_words_are_learned(spark):
     assert model.correlations.shape == (len(model.voters),) * 2 and (model.discounts <= 1).all()
 
 
+def test_few_texts_without_a_label_are_shuffled(spark):
+    """Of 20,000 texts 200 have labels: these reach the join, and few others."""
+    docs = spark.range(-10_000, 10_000).select("id", F.lit("a text").alias("text"))
+    labels = spark.range(0, 10_000, 50).select("id", (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    for kind in ("long", "string"):
+        texts, classes = (df.withColumn("id", F.col("id").cast(kind)) for df in (docs, labels))
+        left = [int(r.id) for r in toxicity._perhaps_labelled(texts, classes).collect()]
+        assert set(range(0, 10_000, 50)) <= set(left) and len(left) == len(set(left)) < 3000
+        found = toxicity._labelled(texts, classes, "id", "text").collect()
+        assert sorted((int(r.id), r.toxic) for r in found) == [(i, int(i % 3 == 0)) for i in range(0, 10_000, 50)]
+    assert toxicity._labelled(docs, labels.filter("id < 0"), "id", "text").isEmpty()
+
+
 def test_patterns_fire():
     names = lambda t: sorted(set(toxicity.patterns_in(t.lower())))
     assert names("You I D I O T, m-o-r-o-n") == ["~spelled"] and names("such an id!ot, a m*ron and tr4sh") == ["~masked"]
