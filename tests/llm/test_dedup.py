@@ -312,6 +312,57 @@ def test_shared_bins_drop_no_similar_pair():
     assert few == {(i, j) for i, j in found if i < 9 <= j}
 
 
+def test_links_of_a_bucket_join_its_similar_texts():
+    """Links alone make the components of all similar pairs, one link fewer than texts for each; pairs of texts that
+    share words, but in another order, are not aligned."""
+    rng, words = np.random.default_rng(12), []
+    for n in (5, 20, 60, 200, 700):
+        base = rng.integers(0, 40, n, dtype=np.uint32)
+        for _ in range(12):
+            other = base.copy()
+            other[rng.choice(n, n // 10, replace=False)] = rng.integers(0, 40, n // 10, dtype=np.uint32)
+            words += [other, rng.permutation(base)]
+    n, label, all_of = np.array(list(map(len, words))), np.arange(len(words)), np.arange(len(words))
+    components = lambda pairs: {frozenset(c) for c in connected(pairs, len(words))}
+    similar = [(i, j) for i, j in itertools.combinations(range(len(words)), 2) if order_minhash.similarity(words[i], words[j]) is not None]
+    links = list(order_minhash.links_of(n, label, words, lambda x, y: True, all_of, all_of, 0.8))
+    assert all(order_minhash.similarity(words[i], words[j]) == s for i, j, s in links)
+    assert components([x[:2] for x in links]) == components(similar)
+    assert len(similar) > 5 * len(links) and len(links) == len(words) - len(components(similar))
+    assert not list(order_minhash.links_of(n, label, words, lambda x, y: False, all_of, all_of, 0.8))
+    left, right = all_of[::2], all_of[1::2]
+    across = {(i, j) for i, j in similar if (i - j) % 2} | {(j, i) for i, j in similar if (i - j) % 2}
+    assert {x[:2] for x in order_minhash.links_of(n, label, words, lambda x, y: True, left, right, 0.8)} <= across
+
+
+def connected(pairs, n):
+    """Connected components of 0 to n - 1."""
+    root = list(range(n))
+    for i, j in pairs:
+        a, b = root[i], root[j]
+        root = [a if r == b else r for r in root]
+    return [[k for k in range(n) if root[k] == r] for r in set(root)]
+
+
+@pytest.mark.parametrize("tile", [7, 16_384])
+def test_a_bucket_gives_no_more_links_than_members(spark, tile):
+    """Near copies that no centre is like: one class, not a link for each two of them."""
+    rng, rows = np.random.default_rng(7), []
+    base = rng.integers(0, 2**32, 200, dtype=np.uint32)
+    for k in range(62):
+        other = base.copy()
+        other[rng.choice(200, 8, replace=False)] = rng.integers(0, 2**32, 8, dtype=np.uint32)
+        hid = bytes([k]) + rng.bytes(15)
+        if k in (0, 61):  # the centres
+            other = rng.integers(0, 2**32, 200, dtype=np.uint32)
+        rows.append((k, hid, 200, other.tobytes(), [7], [8 + 10 * k], [9 + 10 * k], [10 + 10 * k]))
+    df = spark.createDataFrame(rows, "id long, hid binary, n_words int, words binary, k0 array<long>, k1 array<long>, k2 array<long>, k3 array<long>")
+    links, parts = order_minhash.near_links(df, tile=tile)
+    assert {(bytes(r.a), bytes(r.c)) for r in parts.collect()} == {(r[1], rows[1][1]) for r in rows[2:61]}
+    tiles = -(-62 // tile)
+    assert 59 <= links.count() <= 62 * tiles
+
+
 def test_one_document_of_each_class_stays(spark):
     rows = near_rows()
     docs = clash(spark.createDataFrame(rows, SCHEMA), "class_id", "words")
