@@ -82,7 +82,7 @@ class TreeEncoder:
         self.model, self.first_window = tokenizer.model, first_window
         self.specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special_split = regex.compile("|".join(map(regex.escape, self.specials)))
-        self.letters = byte_letters()
+        self.letters = dict(enumerate(byte_letters()))
         self.suspects = suspects()
         self.library_normal, self.library_words = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         vocab = tokenizer.get_vocab()
@@ -113,11 +113,18 @@ class TreeEncoder:
         return text.replace("Σ", "σ").lower() if "Σ" in text else text.lower()
 
     def word_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize("".join([self.letters[b] for b in word.encode()]))]
+        if not (word.isascii() and word.isprintable()):  # else each byte is its own letter: a word has no blanks
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(word)]
 
     def chunk_ids(self, chunk: str) -> tuple[int, ...]:
         """Ids of a text without white space."""
-        return tuple([i for word in WORDS.findall(chunk) for i in self.word_ids(word)])
+        if chunk.isascii() and chunk.isalpha():  # one word
+            return tuple(self.word_ids(chunk))
+        if len(words := WORDS.findall(chunk)) == 1:
+            return tuple(self.word_ids(words[0]))
+        # the same words stand alone elsewhere
+        return tuple(chain.from_iterable([self.memo[word] if word.isalpha() else self.word_ids(word) for word in words]))
 
     def plain_ids(self, normal: str) -> list[int]:
         """Ids of a normalised text, whole."""

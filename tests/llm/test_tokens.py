@@ -27,6 +27,17 @@ def texts(seed):
     return out + ["".join(rng.choice(["th", "e", "r", "ing"]) for _ in range(400)) for _ in range(10)] + [prose(2000, seed)]
 
 
+def test_a_word_beside_marks_is_encoded_once(library):
+    """Control characters and bytes beyond ASCII have stand-ins; a word is looked up wherever it stands."""
+    encoder = bpe_tree.TreeEncoder(WORD_BPE)
+    odd_words = "a\x00b \x01 \x7f!\x80 ~\x85 \xad \xa1 it's we'll ABC's (the) the, ééé É!"
+    assert encoder.encode(odd_words) == library.encode(odd_words, add_special_tokens=False).ids
+    seen, own = [], encoder.word_ids
+    encoder.word_ids = lambda word: seen.append(word) or own(word)
+    encoder.encode("theing (theing) theing, theing! 'theing")
+    assert seen.count("theing") == 1
+
+
 def test_tree_equals_the_library_wherever_it_is_cut(library):
     encoder = bpe_tree.TreeEncoder(WORD_BPE, first_window=8)
     for text in texts(1):
