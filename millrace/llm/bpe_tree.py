@@ -121,6 +121,8 @@ class TreeEncoder:
         """Ids of a text without white space."""
         if chunk.isascii() and chunk.isalpha():  # one word
             return tuple(self.word_ids(chunk))
+        if chunk.isascii() and chunk.isprintable() and chunk[:-1].isalpha():  # a word and one mark or digit
+            return (*self.memo[chunk[:-1]], *self.memo[chunk[-1]])
         if len(words := WORDS.findall(chunk)) == 1:
             return tuple(self.word_ids(words[0]))
         # the same words stand alone elsewhere
