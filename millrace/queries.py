@@ -367,7 +367,7 @@ def stream_gate(spark, sf_dir):
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        released = completion_gate(_arriving(_messages(table(spark, sf_dir, "events")), "messages"))
+        released = completion_gate(_arriving(_messages(table(spark, sf_dir, "events")), "messages"), groups=1024)
         released.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     finally:
         spark.conf.set(provider, before)

@@ -150,6 +150,42 @@ def test_gate_frees_the_rows_it_released(spark, tmp_path):
     assert {r.key.session_id for r in state.collect()} == {"open"}
 
 
+@pytest.mark.parametrize("groups", [None, 2])
+def test_gate_of_many_sessions(spark, tmp_path, groups, monkeypatch):
+    """Sessions that share groups, over three micro-batches: some are cut by HELD, ENTRY and SLICE, some get their end last, some two ends."""
+    from millrace.streaming import completion
+
+    sizes = {f"s{k}": 7 * k + 1 for k in range(12)} | {"big": 450}
+    data = [(s, None, 1, f"{s}/{i}" if i % 3 else None) for s, n in sizes.items() for i in range(n)]
+    ends = [(s, -1 if s == "s3" else n + (s == "s5"), 0, None) for s, n in sizes.items()] + [("s4", 10**6, 0, None), ("none", 1, 0, None), (None, 1, 0, None), (None, None, 1, "x")]
+    for part in (data[::2], ends + data[1::4], data[3::4]):  # each a file and micro-batch
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    for name, n in (("PACK", 5), ("ENTRY", 20), ("HELD", 60), ("SLICE", 7)):
+        monkeypatch.setattr(completion, name, n)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    gate = completion_gate(stream, groups=groups)
+    gate.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination(120)
+    expected = rows(completed_rows(spark.read.schema(SCHEMA).json(str(tmp_path / "in"))))
+    assert {s for s, _ in expected} == set(sizes) - {"s0", "s3", "s5"}  # s0 has one message and no rows
+    assert rows(spark.read.schema("session_id string, payload string").parquet(str(tmp_path / "out"))) == expected
+    state = spark.read.format("statestore").option("stateVarName", "rows").load(str(tmp_path / "c"))
+    assert {r.user_map_key.session_id for r in state.collect()} == {"s5"}  # only what is open
+
+
+def test_gate_packs_rows_by_session():
+    import pyarrow as pa
+
+    from millrace.streaming.completion import PACK, _fold
+
+    n = 3 * PACK + 1
+    messages = pa.table({"session_id": ["a", "b"] * n, "expected": pa.nulls(2 * n, pa.int64()), "n_messages": [1] * (2 * n), "payload": [str(i) if i % 2 or i < 4 else None for i in range(2 * n)]})
+    out = pa.Table.from_batches(_fold("payload")(iter(messages.to_batches(max_chunksize=50)))).to_pylist()
+    assert {r["session_id"]: r["n_messages"] for r in out if r["n_messages"]} == {"a": n, "b": n}
+    packs = [(r["session_id"], len(r["payload"])) for r in out if r["payload"]]
+    assert sorted(packs) == [("a", 2), ("b", 1), *[("b", PACK)] * 3]
+    assert [v for r in out if r["session_id"] == "b" for v in r["payload"] or ()] == [str(i) for i in range(1, 2 * n, 2)]
+
+
 LEFT = [
     ("late", None, 1, 1, "e"), ("late", 1, 0, None, None), ("both", 2, 0, None, None), ("both", None, 1, 1, "a"), ("both", None, 1, 2, "b"),  # the end comes first
     ("half", None, 1, 1, "c"), ("half", 1, 0, None, None), ("gone", None, 1, 1, "d"), ("gone", 1, 0, None, None), ("empty", 0, 0, None, None),
