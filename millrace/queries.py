@@ -23,7 +23,7 @@ from .operators import (
 from .scratch import new_folder, remove, written
 from .streaming import (
     Published, append_stream, completed_join, completed_keys, completed_rows, completion_gate, read_completed, read_completed_join, read_fan_out, read_session,
-    read_top_k, ready_sessions, stream_completed, stream_completed_join, stream_fan_out, stream_filter, stream_join, stream_results, stream_top_k,
+    read_top_k, ready_sessions, stream_completed, stream_completed_join, stream_fan_out, stream_filter, stream_near_join, stream_results, stream_top_k,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -711,13 +711,13 @@ def stream_fanout(spark, sf_dir):
  where l_shipdate between o_orderdate - interval 130 days and o_orderdate + interval 130 days""")
 def join_two_sided(spark, sf_dir):
     """Orders and their items as two streams, in append mode; rows that can match nothing any more are freed."""
-    out = new_folder(spark, "stream-stream")
+    out, cols = new_folder(spark, "stream-stream"), ["o_orderkey", "o_totalprice", "l_linenumber", "l_partkey"]
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderdate").cast("timestamp").alias("ordered"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("shipped"))
-    streams = [_arriving(df.repartitionByRange(6, at), "side") for df, at in ((orders, "ordered"), (lines, "shipped"))]
-    joined = stream_join(*streams, ("o_orderkey", "l_orderkey"), ["o_orderkey", "o_totalprice", "l_linenumber", "l_partkey"], ("ordered", "shipped"), "130 days", "3650 days")
-    append_stream(joined, f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return Published(spark, f"{out}/table").read(joined.schema)
+    files, on = max(6, spark.sparkContext.defaultParallelism), ("o_orderkey", "l_orderkey")
+    left, right = [_arriving(df.repartitionByRange(files, at), "side") for df, at in ((orders, "ordered"), (lines, "shipped"))]
+    stream_near_join(left, right, on, cols, ("ordered", "shipped"), "130 days", "3650 days", out, f"{out}/checkpoint").awaitTermination()
+    return Published(spark, f"{out}/table").read(equi_join(orders, lines, on, cols).schema)
 
 
 class _Spread(Accumulator):

@@ -11,7 +11,7 @@ from millrace import queries as Q
 from millrace import sources
 from millrace.operators import group_by, reduce_rows, same_rows
 from millrace.streaming import (
-    Published, append_stream, completed_keys, completed_rows, read_completed, read_fan_out, read_session, read_top_k, ready_sessions, stream_completed, stream_fan_out, stream_join, stream_results, stream_top_k,
+    Published, append_stream, completed_keys, completed_rows, read_completed, read_fan_out, read_session, read_top_k, ready_sessions, stream_completed, stream_fan_out, stream_join, stream_near_join, stream_results, stream_top_k,
 )
 from millrace.streaming.ledger import Ledger
 
@@ -236,6 +236,52 @@ def test_joined_streams_free_their_rows(spark, tmp_path):
     assert kept[1] == 120 and freed[1] < 60
 
 
+@pytest.mark.parametrize("apart,late", [("2 days", "1 day"), ("2 days", "3650 days")])
+def test_near_join_keeps_and_frees_tables(spark, tmp_path, apart, late):
+    """No row is in the state of Spark; what can match nothing any more is freed, and nothing that can."""
+    at = lambda d: F.timestamp_seconds(86_400 * (d + 10_000))
+    order = range(0, 60, 10) if late == "1 day" else (30, 0, 50, 20, 10, 40)  # in time, or in any order
+    write = lambda df, name: df.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+    for k in order:
+        side = spark.range(k, k + 10).select("id", at(F.col("id")).alias("t"))
+        write(side.unionAll(spark.sql(f"select null, timestamp_seconds(864000000 + {k})")).unionAll(spark.sql(f"select {k}L, null")), "l")
+        # a day later, so the last one of a file meets the next; three days later; a day later in another file
+        for days, x in ((1, 2), (3, 3)):
+            write(side.select("id", (F.col("t") + F.expr(f"interval {days} day")).alias("u"), (F.col("id") * x).alias("x")), "r")
+    schemas = {"l": "id long, t timestamp", "r": "id long, u timestamp, x long"}
+    stream = lambda name, n: spark.readStream.schema(schemas[name]).option("maxFilesPerTrigger", n).parquet(str(tmp_path / name))
+    root = str(tmp_path / "out")
+    run = lambda: stream_near_join(stream("l", 1), stream("r", 2), ("id", "id"), ["id", "x"], ("t", "u"), apart, late, root, str(tmp_path / "c"))
+    q = run()
+    q.awaitTermination(300)
+    assert not any(p["stateOperators"] for p in q.recentProgress)
+    read = lambda: rows(Published(spark, f"{root}/table").read("id long, x long"))
+    expected = sorted([(k, 2 * k) for k in range(60)], key=repr)
+    assert read() == expected
+    assert len(list((tmp_path / "out" / "left").glob("batch=*"))) == (6 if late == "3650 days" else 1)
+    assert len(list((tmp_path / "out" / "right").glob("batch=*"))) <= (6 if late == "3650 days" else 2)
+    last = Published(spark, f"{root}/table").batches()[-1]
+    (tmp_path / "c" / "commits" / str(last)).unlink()  # the last micro-batch runs again
+    (tmp_path / "c" / "commits" / f".{last}.crc").unlink(missing_ok=True)
+    run().awaitTermination(300)
+    assert read() == expected
+    write(spark.range(59, 60).select("id", at(F.col("id") - 1).alias("t")), "l")  # one side only: meets what is kept
+    run().awaitTermination(300)
+    assert read() == sorted([*expected, (59, 118)], key=repr)
+
+
+def test_two_sided_join_needs_no_state(spark, monkeypatch):
+    from pyspark.sql.streaming.readwriter import DataStreamWriter
+
+    started, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(start(self, *a, **k)) or started[-1])
+    out = Q.QUERIES["stream_join_two_sided"](spark, SF)
+    assert len(started) == 1 and len(started[0].recentProgress) > 1 and not any(p["stateOperators"] for p in started[0].recentProgress)
+    orders, lines = [spark.read.parquet(f"{SF}/{t}.parquet") for t in ("orders", "lineitem")]
+    near = F.expr("o_orderkey = l_orderkey and l_shipdate between o_orderdate - interval 130 days and o_orderdate + interval 130 days")
+    assert same_rows(orders.join(lines, near).select(*out.columns), out)
+
+
 def test_increments_by_bytes(spark, tmp_path):
     header = "user_id,gender,birthdate,registered_at\n"
     (tmp_path / "in").mkdir()
