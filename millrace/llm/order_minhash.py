@@ -67,6 +67,10 @@ LEVELS = len(SCHEMES[0].sizes)
 #: Bins of words, and members and words of a tile where all pairs of a bucket are compared; pairs at a time, and
 #: of those that bins leave.
 BINS, TILE, TILE_WORDS, CELLS, STEP = 256, 16_384, 1 << 22, 1 << 18, 1 << 13
+#: Words from which a bucket of few classes is cut into more tiles than it must be, up to so many: where a thousand near
+#: copies are just below the similarity, most pairs are aligned, and tiles spread that over the tasks. Each tile sends
+#: every text of the bucket once more.
+SPREAD_WORDS, SPREAD = 1 << 18, 4
 #: Texts whose sketches are made together.
 TOGETHER = 1000
 MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -354,26 +358,41 @@ def verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 def stars(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of (a, c), a written table of the same columns: every node a and its component's
-    smallest node c, for all nodes but the smallest. Large and small stars in turn until nothing changes. Every round is written to the shared folder. A node's smallest neighbour
-    is written before the neighbours are joined with it, so that Spark can split a node of very many."""
+    smallest node c, for all nodes but the smallest. Large and small stars in turn until every node has one smaller
+    neighbour or none, and none but the smallest a larger one. Every step is written to the shared folder. A node's
+    smallest neighbour is written before the neighbours are joined with it, so that Spark can split a node of very many."""
     edges = written(links.select(F.least("a", "c").alias("c"), F.greatest("a", "c").alias("a")).filter("a <> c").distinct(), "stars")
-    for _ in range(rounds):
+    for step in range(2 * rounds):
         both = edges.select(F.col("a").alias("u"), F.col("c").alias("v")).unionAll(edges.select(F.col("c").alias("u"), F.col("a").alias("v")))
-        # large star: larger neighbours of each node go to its smallest neighbour (or itself)
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        large = written(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("c")).filter("a <> c").distinct(), "stars")
-        # small star: a node and its smaller neighbours go to the smallest of them
-        least = written(large.groupBy("a").agg(F.min("c").alias("m")), "low")
-        small = large.join(least, "a").select(F.when(F.col("c") == F.col("m"), F.col("a")).otherwise(F.col("c")).alias("a"), F.col("m").alias("c"))
-        small = written(small.filter("a <> c").distinct(), "stars")
-        same = edges.join(small, ["a", "c"], "left_anti").isEmpty() and small.join(edges, ["a", "c"], "left_anti").isEmpty()
-        remove_tables(edges, low, large, least)
-        edges = small
-        if same:
+        one = F.least(F.min("v"), F.first("u")).alias("m")
+        low = written(both.groupBy("u").agg(one, F.count_if(F.expr("v < u")).alias("smaller"), F.count_if(F.expr("v > u")).alias("larger")), "low")
+        if low.filter("smaller > 1 or smaller > 0 and larger > 0").isEmpty():
+            remove_tables(low)
             return edges
+        if step % 2 == 0:  # large star: larger neighbours of each node go to its smallest neighbour (or itself)
+            new = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("c"))
+        else:  # small star: a node and its smaller neighbours go to the smallest of them
+            new = edges.join(low, edges["a"] == low["u"]).select(F.when(F.col("c") == F.col("m"), F.col("a")).otherwise(F.col("c")).alias("a"), F.col("m").alias("c"))
+        new = written(new.filter("a <> c").distinct(), "stars")
+        remove_tables(edges, low)
+        edges = new
     raise RuntimeError(f"the components of the links are not found after {rounds} rounds")
 
 
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``parts`` (as of :func:`stars`) when ``links`` (a, c) are added: only classes that these touch
+    are contracted, each as its smallest node."""
+    ends = links.select("a", "c")
+    for side in ("a", "c"):
+        root = parts.select(F.col("a").alias(side), F.col("c").alias("root"))
+        ends = ends.join(root, side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    merged = stars(ends)
+    out = parts.join(merged.select(F.col("a").alias("c"), F.col("c").alias("root")), "c", "left").select("a", F.coalesce("root", "c").alias("c"))
+    out = written(out.unionAll(merged.select("a", "c")), "stars")
+    remove_tables(merged)
+    return out
+
+
 def met(members: DataFrame, who: list[str], spare: list[DataFrame]) -> DataFrame:
     """Members (key, hid, n, ...) of buckets of two or more, each with its bucket's centres ``lo`` and ``hi``:
     the least and the largest by ``who``. Centres are written first, so that Spark can split a bucket that
@@ -413,8 +432,9 @@ def rest(members: DataFrame, rows: DataFrame, once: DataFrame, least: float, spa
     all similar pairs are of one component. Members are dealt out to tiles, and each two tiles of a bucket meet.
     Two texts that share several buckets are compared in the one of smallest key."""
     # of up to three members each has met all others as centres
-    of = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"), F.min("label").alias("x"), F.max("label").alias("y"))
-    tiles = F.greatest(F.ceil(F.col("size") / tile), F.ceil(F.col("all") / TILE_WORDS)).cast("int").alias("tiles")
+    of = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("all"), F.min("label").alias("x"), F.max("label").alias("y"), F.count_distinct("label").alias("labels"))
+    spread = F.when(F.col("size") >= 2 * F.col("labels"), F.least(F.ceil(F.col("all") / SPREAD_WORDS), F.lit(SPREAD))).otherwise(1)
+    tiles = F.greatest(F.ceil(F.col("size") / tile), F.ceil(F.col("all") / TILE_WORDS), spread).cast("int").alias("tiles")
     sizes = written(of.filter("size > 3 and x <> y").select("key", tiles), "tiles")
     # written, so that Spark knows when these texts are few and does not shuffle the words of all others
     shared = members.join(sizes, "key").groupBy("hid").agg(F.array_sort(F.collect_set("key")).alias("keys"))
@@ -494,7 +514,7 @@ def near_links(rows: DataFrame, least: float = SIMILARITY, tile: int = TILE) ->
     if not others.isEmpty():
         before = links, parts
         links = written(links.unionAll(others), "links")
-        parts = stars(parts.select("a", "c").unionAll(others.select("a", "c")))
+        parts = joined(parts, others)
         remove_tables(*before)
     remove_tables(once, *spare)
     return links, parts

@@ -396,6 +396,59 @@ def test_components(spark):
         order_minhash.stars(spark.createDataFrame(chain, "a binary, c binary"), rounds=1)
 
 
+def seen(monkeypatch):
+    """What :func:`order_minhash.written` is called for, and the rows of the tables named ``tiles``."""
+    names, tiles, write = [], [], order_minhash.written
+
+    def noted(df, what, *more):
+        out = write(df, what, *more)
+        names.append(what)
+        tiles.extend(out.collect() if what == "tiles" else [])
+        return out
+
+    monkeypatch.setattr(order_minhash, "written", noted)
+    return names, tiles
+
+
+def test_components_take_no_needless_steps(spark, monkeypatch):
+    names, _ = seen(monkeypatch)
+    out = order_minhash.stars(spark.createDataFrame([(b"m", b"a"), (b"n", b"a"), (b"x", b"b"), (b"x", b"b")], "a binary, c binary"))
+    assert sorted((bytes(r.a), bytes(r.c)) for r in out.collect()) == [(b"m", b"a"), (b"n", b"a"), (b"x", b"b")]
+    assert names == ["stars", "low"]
+    assert order_minhash.stars(spark.createDataFrame([], "a binary, c binary")).collect() == []
+
+
+def test_links_added_to_components(spark):
+    """As if the components of all links were found anew."""
+    rng = random.Random(3)
+    some, more = ([(bytes([rng.randrange(200)]), bytes([rng.randrange(200)])) for _ in range(n)] for n in (90, 25))
+    frame = lambda pairs: spark.createDataFrame(pairs, "a binary, c binary")
+    out = order_minhash.joined(order_minhash.stars(frame(some)), frame(more))
+    want = {(bytes([k]), bytes([min(c)])) for c in connected([(x[0], y[0]) for x, y in some + more], 200) for k in c if k != min(c)}
+    assert out.columns == ["a", "c"] and sorted((bytes(r.a), bytes(r.c)) for r in out.collect()) == sorted(want)
+
+
+def test_near_copies_just_below_the_similarity_are_dealt_to_more_tasks(spark, monkeypatch):
+    """A bucket of few classes is cut into tiles by its words, with the same classes; one of many classes is not."""
+    rng, rows = np.random.default_rng(17), []
+    for key, often in ((7, 20), (8, 1)):
+        for k in range(6 * 20 // often):
+            base = rng.integers(0, 2**32, 100, dtype=np.uint32)
+            for _ in range(often):
+                other = base.copy()
+                other[rng.choice(100, 4, replace=False)] = rng.integers(0, 2**32, 4, dtype=np.uint32)
+                hid, at = rng.bytes(16), len(rows)
+                rows.append((at, hid, 100, other.tobytes(), [key, 1000 + 100 * key + k], [10_000 + 10 * at] * 2, [10_001 + 10 * at] * 2, [10_002 + 10 * at] * 2))
+    df = spark.createDataFrame(rows, "id long, hid binary, n_words int, words binary, k0 array<long>, k1 array<long>, k2 array<long>, k3 array<long>")
+    _, tiles = seen(monkeypatch)
+    parts = []
+    for words in (1 << 18, 1000):
+        monkeypatch.setattr(order_minhash, "SPREAD_WORDS", words)
+        parts.append({(bytes(r.a), bytes(r.c)) for r in order_minhash.near_links(df)[1].collect()})
+    assert parts[0] == parts[1] and len(parts[0]) == 6 * 19
+    assert sorted(tuple(r) for r in tiles) == [(7, 1), (7, 4), (8, 1), (8, 1)]
+
+
 # Benchmark items.
 
 ITEMS = [(i, prose(n, 700 + i) + ".\nThe answer is " + prose(6, 800 + i)) for i, n in enumerate([12, 30, 50, 90, 200])] + [(10, "two words"), (11, ""), (12, None), (13, "!!")]
