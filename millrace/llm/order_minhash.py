@@ -187,8 +187,9 @@ class Sketcher:
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edit distance of two sequences if it is at most ``most``, else None. A band of diagonals around the
-    main one is swept as one bit vector that moves a row down with each column."""
+    """Edit distance of two sequences if it is at most ``most``, else None. The band of the diagonals that so few
+    edits can reach is swept as one bit vector that moves a row down with each column. The distance is kept for the
+    diagonal of the last cell, where it never falls."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return None
@@ -208,29 +209,30 @@ def banded_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     if not m:
         return n if n <= most else None
     most = min(most, n)
-    # At column j, bit p stands for row j - most + p; rows above 0 get values that keep row 0 right.
-    full = (1 << (2 * most + 1)) - 1
+    apart = n - m
+    spare = (most - apart) // 2  # diagonals beyond the main one and beyond that of the last cell
+    # At column j, bit p stands for row j - spare + p; rows above 0 get values that keep row 0 right.
+    size = apart + 2 * spare + 1
+    full = (1 << size) - 1
     places: dict[int, int] = {}
-    for i, x in enumerate(a.tolist()):
-        places[x] = places.get(x, 0) | (1 << (i + most))
-    down = (1 << (most + 1)) - 1  # rows whose value is one less than the row above
+    for i, x in enumerate(a.tolist(), spare):
+        places[x] = places.get(x, 0) | (1 << i)
+    down = (1 << (spare + 1)) - 1  # rows whose value is one less than the row above
     up = full ^ down  # rows whose value is one more
-    centre, bottom = 1 << most, 1 << (2 * most)
-    distance = 0  # on the main diagonal
+    last, bottom = 1 << (spare + apart), 1 << (size - 1)
+    distance = apart
     for j, x in enumerate(b.tolist()):
         up, down = (up >> 1) | bottom, down >> 1  # the band moves a row down
         match = (places.get(x, 0) >> j) & full
         same = ((((match & up) + up) ^ up) | match | down) & full  # equal to the cell before it on its diagonal
-        right_up, right_down = (down | ~(same | up)) & full, same & up
-        if not same & centre:
+        if not same & last:
             distance += 1
-            if distance > most + n - m:
+            if distance > most:
                 return None
+        right_up, right_down = (down | ~(same | up)) & full, same & up
         above = ((right_up << 1) | 1) & full
         up, down = ((right_down << 1) | ~(same | above)) & full, above & same
-    rest = (1 << (n - m)) - 1
-    distance += (up >> (most + 1) & rest).bit_count() - (down >> (most + 1) & rest).bit_count()
-    return distance if distance <= most else None
+    return distance
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float | None:
