@@ -15,7 +15,7 @@ similar pair, then by alignment, in the same task. A pair that is similar makes
 a bucket's tile come at most as many links as it has members. So two similar texts that share a sketch of the
 smallest size are always of one class, whatever the size of their bucket; only pairs inside a class are not
 all compared. Such buckets are cut into tiles of ``TILE`` members and ``TILE_WORDS`` words, so a task holds
-two tiles at most; the comparisons by bins are quadratic in the members of like length. Which texts share a
+two tiles at most; one of few classes is cut into some more (``SPREAD``). The comparisons by bins are quadratic in the members of like length. Which texts share a
 sketch is left to chance: of pairs with random word edits at a similarity of 0.8, tests hold the share that
 does to 0.9 at least, for any length from five words on.
 
